@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crystalspark.llm import decontaminate, exact_dedup, hilbert_shards, mixing, simhash_bktree, token_store
+from crystalspark.llm import decontaminate, exact_dedup, hilbert_shards, mixing, repeated_substrings, simhash_bktree, token_store
 from crystalspark.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_substrings.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), n=10)
@@ -47,7 +51,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_store, op4_hilbert_shards, op7_decontaminate, op8_exact_dedup, op9_mixing, op10_simhash)}
+    return {f.__name__: f for f in (op2_token_store, op4_hilbert_shards, op5_repeats, op7_decontaminate, op8_exact_dedup, op9_mixing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
