@@ -1,0 +1,70 @@
+"""A corpus pipeline over ``documents``: five stages, each written and read again.
+
+Toxic documents go, one document of each near-duplicate group stays, documents
+that hold benchmark passages go, the sources are mixed to their target weights,
+and what is left is sharded along a Hilbert curve. Every stage but the last
+returns the columns of its input.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from crystalspark.llm import decontaminate, hilbert_shards, mixing, registry, simhash_bktree, toxicity
+from crystalspark.llm.common import materialise, table
+
+#: Share of the tokens that the mix asks for; a document is taken once at most.
+MIX_FRACTION, MIX_EPOCHS, SHARDS = 0.9, 1, 40
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold; the classifier learns from this stage's input."""
+    classifier = registry.toxicity_classifier(spark, sf_dir, docs.select("doc_id", "text"))
+    return toxicity.score(docs, classifier, name="_score").where(F.col("_score") < registry.TOXIC).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group; of rows that share that id, one."""
+    found = simhash_bktree.near_duplicates(docs.select("doc_id", "text"))
+    stay = materialise(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_n")), "pipeline-stay")
+    joined = docs.join(stay.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    once = joined.where("_n = 1").select(*docs.columns)
+    if stay.where("_n > 1").isEmpty():
+        return once
+    return once.union(joined.where("_n > 1").dropDuplicates(["doc_id"]).select(*docs.columns))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), remove="documents", n=10)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix's choice; rows that share a doc_id are taken together."""
+    chosen = mixing.mix(mixing.with_domain(docs), fraction=MIX_FRACTION, max_epochs=MIX_EPOCHS).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return hilbert_shards.assign(docs, shards=SHARDS, law="rows").select("doc_id", "lang", "source", "size", "text_crc32", "curve", "shard", "slot")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
+
+#: No SQL: the first stages train a model and follow links of fingerprints.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for at, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if at < len(STAGES) - 1:
+            docs = materialise(docs, f"pipeline-{name}")
+    return docs

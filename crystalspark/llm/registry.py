@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crystalspark.llm import decontaminate, exact_dedup, hilbert_shards, mixing, repeated_substrings, simhash_bktree, token_store
-from crystalspark.llm.common import table
+from crystalspark.llm import class_lm, decontaminate, exact_dedup, hilbert_shards, html_blocks, mixing, repeated_substrings, simhash_bktree, token_store, toxicity
+from crystalspark.llm.common import crc_mod, table
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -15,10 +15,29 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_blocks.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", "n_chars", "n_blocks", "n_kept")
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_sum(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
 
 
+#: Documents at or above this score count as toxic.
+TOXIC = 0.3
+
+
+def toxicity_classifier(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Classifier:
+    return toxicity.fit(docs, table(spark, sf_dir, "labels"), learn=crc_mod("doc_id", 4) != 2)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_classifier(spark, sf_dir, docs))
+    return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = hilbert_shards.assign(table(spark, sf_dir, "documents"), shards=40, law="rows")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
@@ -28,6 +47,11 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_substrings.remove_repeats(table(spark, sf_dir, "documents"), length=400)
 
 
+def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = class_lm.score(table(spark, sf_dir, "documents"), train=crc_mod("doc_id", 7) != 2)
+    return found.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), n=10)
@@ -51,7 +75,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_store, op4_hilbert_shards, op5_repeats, op7_decontaminate, op8_exact_dedup, op9_mixing, op10_simhash)}
+    return {f.__name__: f for f in (op1_main_text, op2_token_store, op3_toxicity, op4_hilbert_shards, op5_repeats, op6_class_lm, op7_decontaminate, op8_exact_dedup, op9_mixing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
