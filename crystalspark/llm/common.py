@@ -41,6 +41,14 @@ def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None
     return spark.read.schema(StructType(df.schema.fields)).parquet(path)
 
 
+def worker_state() -> dict:
+    """A dictionary that lives as long as the Python worker, over all tasks it runs."""
+    import sys
+    import types
+
+    return vars(sys.modules.setdefault("_crystalspark_worker", types.ModuleType("_crystalspark_worker")))
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a written table through Hadoop's file system API."""
     jvm = spark.sparkContext._jvm

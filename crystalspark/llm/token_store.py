@@ -21,6 +21,9 @@ a few bytes a chunk instead of the ids.
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 from hashlib import sha256
 
@@ -30,11 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from crystalspark.llm.common import delete, materialise, new_path, raw, running_start
+from crystalspark.llm.common import delete, materialise, new_path, running_start, worker_state
 
 #: Ids: at least, on average beyond that, at most in a chunk; ids the rolling hash sees.
 LEAST, MEAN, MOST, SPAN = 64, 512, 4096, 32
-#: Words whose ids a task remembers.
+#: Pieces in each half of a worker's cache.
 CACHE = 400_000
 
 
@@ -78,37 +81,76 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-class WordEncoder:
-    """Ids of whole texts, word by word.
+class Encoder:
+    """Ids of whole texts by the tokenizers library, piece by piece.
 
-    Valid for tokenizers that never join text across ASCII white space and drop
-    it, so that ids of a text are those of its words in turn; words met before
-    come from a bounded cache.
+    A tokenizer that lower-cases, splits by ``PIECE`` and never looks beyond a
+    piece gives a text the ids of its pieces in turn, so pieces met before come
+    from a cache. Its two bounded halves outlive the task: when the younger is
+    full it becomes the older. Texts beyond Latin-1, with control characters or
+    with the name of a special token, and tokenizers of another kind, are encoded
+    whole.
     """
 
     def __init__(self, path: str, end_id: int, dtype: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
-        self.cache: dict[str, bytes] = {}
+        state = worker_state().setdefault(("ids", path, dtype), {})
+        if not state:
+            tokenizer = Tokenizer.from_file(path)
+            config = json.loads(tokenizer.to_str())
+            added = [x["content"].lower() for x in config.get("added_tokens", [])]
+            state |= {"tokenizer": tokenizer, "plain": splits_like_this(config), "added": added, "young": {}, "old": {}}
+        self.state, self.dtype = state, dtype
         self.end = np.array([end_id], dtype=dtype).tobytes()
 
-    def ids(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").replace("\t", " ").split(" ")
-        get = self.cache.get
-        parts = list(map(get, words))
-        if None in parts:
-            missing = list({w for w, p in zip(words, parts) if p is None})
-            if len(self.cache) + len(missing) > CACHE:
-                self.cache.clear()
-                missing = list(set(words))
-            for at in range(0, len(missing), 4096):
-                block = missing[at : at + 4096]
-                for word, e in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False)):
-                    self.cache[word] = np.array(e.ids, dtype=self.dtype).tobytes()
-            parts = list(map(get, words))
-        parts.append(self.end)
-        return np.frombuffer(b"".join(parts), dtype=self.dtype)
+    def plain(self, text: str) -> bool:
+        if not self.state["plain"] or _CONTROL.search(text):
+            return False
+        if "<" in text and any(x in text.lower() for x in self.state["added"]):
+            return False
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return True
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, the end id last."""
+        plain = [self.plain(t) for t in texts]
+        pieces = [PIECE.findall(t.lower()) if p else [] for t, p in zip(texts, plain)]
+        whole = iter(self.state["tokenizer"].encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False))
+        young, old = self.state["young"], self.state["old"]
+        missing = set().union(*pieces).difference(young)
+        if missing:
+            if len(young) > CACHE:
+                old = self.state["old"] = young
+                young = self.state["young"] = {}
+                missing = set().union(*pieces)
+            again = missing.intersection(old)
+            young.update((w, old[w]) for w in again)
+            model, pack = self.state["tokenizer"].model.tokenize, struct.Struct
+            for w in missing - again:
+                ids = [t.id for t in model(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES))]
+                young[w] = pack(f"<{len(ids)}{'H' if self.dtype == '<u2' else 'I'}").pack(*ids)
+        get = young.__getitem__
+        return [np.frombuffer((b"".join(map(get, found)) if p else np.array(next(whole).ids, dtype=self.dtype).tobytes()) + self.end, dtype=self.dtype) for found, p in zip(pieces, plain)]
+
+
+#: Pieces of a lower-case Latin-1 text: the splitting pattern of the tokenizer, its classes written out.
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\s\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
+_CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f]")
+#: The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+def splits_like_this(config: dict) -> bool:
+    """Whether a tokenizer normalises and splits as ``Encoder`` does for Latin-1 texts."""
+    normal = [x["type"] for x in (config.get("normalizer") or {}).get("normalizers", [])]
+    splits = (config.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    return normal == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"] and splits[0]["pattern"] == {"Regex": pattern} and not splits[1]["use_regex"]
 
 
 def encode_chunks(docs: DataFrame, tokenizer_path: str, end_id: int = 1, text: str = "text", doc_id: str = "doc_id", wide: bool = False) -> DataFrame:
@@ -122,11 +164,10 @@ def encode_chunks(docs: DataFrame, tokenizer_path: str, end_id: int = 1, text: s
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordEncoder(tokenizer_path, end_id, dtype)
-        for batch in batches:
+        encoder = Encoder(tokenizer_path, end_id, dtype)
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             lengths, roots, pieces = [], [], []
-            for body in batch.column("text").to_pylist():
-                ids = encoder.ids(body)
+            for ids in encoder.encode(batch.column("text").to_pylist()):
                 chunks, last = [], 0
                 for end in cut_points(ids):
                     blob = ids[last:end].tobytes()

@@ -82,3 +82,14 @@ def test_cut_points_follow_content():
 def test_crc_combine():
     a, b = b"hello" * 31, b"world!" * 17
     assert ts.crc_combine(zlib.crc32(a), zlib.crc32(b), len(b), ts._combine_table()) == zlib.crc32(a + b)
+
+
+def test_pieces_are_what_the_library_gives():
+    tok = Tokenizer.from_file(tokenizer_path())
+    encoder = ts.Encoder(tokenizer_path(), 1, "<u4")
+    assert encoder.state["plain"]
+    odd = ["Ünï ½ x²y ª don't we'll DON'T I'Ve", "日本語 text Σίσυφος ΣΑΣ", "é combining", "tab\x0bvt\x0cff\x1cfs", "nb\xa0sp\x85nel", "<|endoftext|> <|StartOfText|>", "", "   ", "İstanbul ÀÉ 's'tx're", "µ ß ÿ Ÿ œ", "­soft a­b", "a" * 9000, "!?" * 300, "\r\n x\r\n"]
+    rng = np.random.default_rng(4)
+    odd += ["".join(map(chr, rng.integers(9, 256, 60))) for _ in range(300)] + ["".join(map(chr, rng.integers(32, 700, 60))) for _ in range(100)]
+    for text, ids in zip(odd, encoder.encode(odd)):
+        assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids + [1], text
