@@ -38,7 +38,7 @@ from crystalspark.llm.common import delete, materialise, new_path, running_start
 #: Ids: at least, on average beyond that, at most in a chunk; ids the rolling hash sees.
 LEAST, MEAN, MOST, SPAN = 64, 512, 4096, 32
 #: Pieces in each half of a worker's cache.
-CACHE = 400_000
+CACHE = 900_000
 
 
 def _gear(ids: np.ndarray) -> np.ndarray:
@@ -49,24 +49,27 @@ def _gear(ids: np.ndarray) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(32)).astype(np.uint32)
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream, the last being its length."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    h = _gear(ids)
-    step = 1
+def cut_marks(ids: np.ndarray) -> np.ndarray:
+    """Places after which the rolling hash of the last SPAN ids asks for a cut."""
+    h, step = _gear(ids), 1
     while step < SPAN:  # sum of gear << distance over the last SPAN ids, by doubling
         shifted = np.zeros_like(h)
         shifted[step:] = h[:-step] << np.uint32(step)
         h = h + shifted
         step *= 2
-    marks = np.flatnonzero(h < np.uint32((1 << 32) // MEAN)) + 1
-    ends, last, k = [], 0, 0
+    return np.flatnonzero(h < np.uint32((1 << 32) // MEAN)) + 1
+
+
+def cut_points(n: int, marks: np.ndarray) -> list[int]:
+    """Ends of the chunks of a stream of n ids with the given marks, the last being n.
+
+    Chunks hold at least LEAST ids (but for the last), more than SPAN: marks of
+    streams that were hashed in a row are therefore those of each on its own.
+    """
+    ends, last = [], 0
     while n - last > LEAST:
         k = int(np.searchsorted(marks, last + LEAST))
-        at = int(marks[k]) if k < len(marks) else n
-        last = min(at, last + MOST, n)
+        last = min(int(marks[k]) if k < len(marks) else n, last + MOST, n)
         ends.append(last)
     if last < n:
         ends.append(n)
@@ -115,8 +118,8 @@ class Encoder:
             return False
         return True
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, the end id last."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text, the end id last."""
         plain = [self.plain(t) for t in texts]
         pieces = [PIECE.findall(t.lower()) if p else [] for t, p in zip(texts, plain)]
         whole = iter(self.state["tokenizer"].encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False))
@@ -134,11 +137,12 @@ class Encoder:
                 ids = [t.id for t in model(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES))]
                 young[w] = pack(f"<{len(ids)}{'H' if self.dtype == '<u2' else 'I'}").pack(*ids)
         get = young.__getitem__
-        return [np.frombuffer((b"".join(map(get, found)) if p else np.array(next(whole).ids, dtype=self.dtype).tobytes()) + self.end, dtype=self.dtype) for found, p in zip(pieces, plain)]
+        return [(b"".join(map(get, found)) if p else np.array(next(whole).ids, dtype=self.dtype).tobytes()) + self.end for found, p in zip(pieces, plain)]
 
 
-#: Pieces of a lower-case Latin-1 text: the splitting pattern of the tokenizer, its classes written out.
-PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\s\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
+#: Pieces of a lower-case Latin-1 text: the splitting pattern of the tokenizer, its classes written out and
+#: the commonest first (alternatives that start alike keep their order).
+PIECE = re.compile(r"[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|'(?:s|t|re|ve|m|ll|d)|[^\s\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 _CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f]")
 #: The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -158,7 +162,7 @@ def encode_chunks(docs: DataFrame, tokenizer_path: str, end_id: int = 1, text: s
     kind = dict(docs.dtypes)[doc_id]
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     dtype = "<u4" if wide else "<u2"
-    piece = pa.struct([("address", pa.binary()), ("n", pa.int32()), ("ids", pa.binary())])
+    width = np.dtype(dtype).itemsize
 
     def run(batches):
         import os
@@ -166,18 +170,25 @@ def encode_chunks(docs: DataFrame, tokenizer_path: str, end_id: int = 1, text: s
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = Encoder(tokenizer_path, end_id, dtype)
         for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
-            lengths, roots, pieces = [], [], []
-            for ids in encoder.encode(batch.column("text").to_pylist()):
-                chunks, last = [], 0
-                for end in cut_points(ids):
-                    blob = ids[last:end].tobytes()
-                    chunks.append({"address": sha256(blob).digest(), "n": end - last, "ids": blob})
+            packed = encoder.encode(batch.column("text").to_pylist())
+            lengths = [len(p) // width for p in packed]
+            starts = np.concatenate(([0], np.cumsum(lengths)))
+            marks = cut_marks(np.frombuffer(b"".join(packed), dtype=dtype))
+            slices = np.searchsorted(marks, starts, side="right")
+            roots, addresses, sizes, blobs, offsets = [], [], [], [], [0]
+            for k, (blob, n) in enumerate(zip(packed, lengths)):
+                last, first = 0, len(addresses)
+                for end in cut_points(n, marks[slices[k] : slices[k + 1]] - starts[k]):
+                    piece = blob[last * width : end * width]
+                    addresses.append(sha256(piece).digest())
+                    sizes.append(end - last)
+                    blobs.append(piece)
                     last = end
-                lengths.append(len(ids))
-                roots.append(merkle([c["address"] for c in chunks]))
-                pieces.append(chunks)
+                roots.append(merkle(addresses[first:]))
+                offsets.append(len(addresses))
+            pieces = pa.StructArray.from_arrays([pa.array(addresses, pa.binary()), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary())], names=["address", "n", "ids"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(lengths, pa.int64()), pa.array(roots, pa.binary()), pa.array(pieces, pa.list_(piece))],
+                [batch.column("doc_id"), pa.array(lengths, pa.int64()), pa.array(roots, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pieces)],
                 names=["doc_id", "n_tokens", "root", "chunks"],
             )
 
@@ -230,37 +241,34 @@ def verify_manifest(spark: SparkSession, path: str) -> None:
         raise ValueError(f"{path}: recipes differ from the manifest")
 
 
-def _combine_table() -> list[list[int]]:
-    """Powers of the crc32 step: entry k advances a crc over 2**k zero bytes."""
-    one = [0xEDB88320, *[1 << i for i in range(31)]]
-    square = lambda m: [_times(m, m[i]) for i in range(32)]
-    m = square(square(square(one)))  # 8 zero bits
-    out = []
-    for _ in range(40):
-        out.append(m)
-        m = square(m)
-    return out
+def _advance(crcs: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+    """What each crc32 becomes when its bytes are followed by as many zero bytes, without the final inversions."""
+    matrix = np.array([0xEDB88320, *[1 << i for i in range(31)]], dtype=np.uint32)  # one zero bit
 
+    def times(vectors: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(vectors)
+        for bit in range(32):
+            out ^= matrix[bit] * ((vectors >> np.uint32(bit)) & np.uint32(1))
+        return out
 
-def _times(matrix: list[int], vector: int) -> int:
-    total, i = 0, 0
-    while vector:
-        if vector & 1:
-            total ^= matrix[i]
-        vector >>= 1
-        i += 1
-    return total
+    for _ in range(3):
+        matrix = times(matrix)
+    crcs, left = crcs.astype(np.uint32), zeros.astype(np.int64)
+    while left.any():
+        odd = (left & 1).astype(bool)
+        crcs[odd] = times(crcs[odd])
+        matrix, left = times(matrix), left >> 1
+    return crcs
 
 
-def crc_combine(first: int, second: int, length: int, powers: list[list[int]]) -> int:
-    """crc32 of two byte strings joined, from theirs and the second's length."""
-    k = 0
-    while length:
-        if length & 1:
-            first = _times(powers[k], first)
-        length >>= 1
-        k += 1
-    return first ^ second
+def crc_join(crcs: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """crc32 of each run of byte strings joined, from theirs and their sizes; ``first``: where each run starts."""
+    if not len(first):
+        return np.empty(0, dtype=np.int64)
+    ends = np.append(first[1:], len(crcs))
+    upto = np.cumsum(sizes)
+    after = np.repeat(upto[ends - 1], ends - first) - upto
+    return np.bitwise_xor.reduceat(_advance(crcs, after), first).astype(np.int64)
 
 
 def chunk_sums(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
@@ -291,20 +299,22 @@ def read_sums(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
     kind = dict(recipes.dtypes)["doc_id"]
 
     def run(batches):
-        powers = _combine_table()
         for batch in batches:
-            crcs, counts = [], []
-            for steps_, n, root in zip(batch.column("steps").to_pylist(), batch.column("n_tokens").to_pylist(), batch.column("root").to_pylist()):
-                if any(s["crc"] is None for s in steps_):
-                    raise ValueError("a recipe names a chunk that is not stored")
-                if merkle([s["address"] for s in steps_]) != root or sum(s["n"] for s in steps_) != n:
+            steps_ = batch.column("steps")
+            if isinstance(steps_, pa.ChunkedArray):
+                steps_ = steps_.combine_chunks()
+            flat, bounds = steps_.flatten(), np.concatenate(([0], np.cumsum(steps_.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+            if flat.field("crc").null_count:
+                raise ValueError("a recipe names a chunk that is not stored")
+            addresses, sizes = flat.field("address").to_pylist(), flat.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
+            upto = np.concatenate(([0], np.cumsum(sizes)))
+            if (np.diff(upto[bounds]) != batch.column("n_tokens").to_numpy(zero_copy_only=False)).any():
+                raise ValueError("a document does not match its length")
+            for k, root in enumerate(batch.column("root").to_pylist()):
+                if merkle(addresses[bounds[k] : bounds[k + 1]]) != root:
                     raise ValueError("a document does not match its root")
-                crc = 0
-                for s in steps_:
-                    crc = crc_combine(crc, s["crc"], 4 * s["n"], powers)
-                crcs.append(crc)
-                counts.append(len(steps_))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(crcs, pa.int64()), pa.array(counts, pa.int32())], names=["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks"])
+            crcs = crc_join(flat.field("crc").to_numpy(zero_copy_only=False), 4 * sizes, bounds[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(crcs, pa.int64()), pa.array(np.diff(bounds).astype(np.int32))], names=["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks"])
 
     return lists.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, n_chunks int")
 
