@@ -38,7 +38,7 @@ from crystalspark.llm.common import delete, materialise, new_path, running_start
 #: Ids: at least, on average beyond that, at most in a chunk; ids the rolling hash sees.
 LEAST, MEAN, MOST, SPAN = 64, 512, 4096, 32
 #: Pieces in each half of a worker's cache.
-CACHE = 900_000
+CACHE = 500_000
 
 
 def _gear(ids: np.ndarray) -> np.ndarray:
