@@ -57,6 +57,15 @@ PAIRS_SQL = lit_table("pc", "e1, e2, cutoff", [(*p, c) for a, c in dims.PAIR_CUT
 W_ = f"WITH RECURSIVE {SQL}"
 
 
+def r0(c) -> F.Column:
+    """Already rounded, without a negative zero."""
+    return c + F.lit(0.0)
+
+
+def cs(expr: str, name: str) -> str:
+    return f"{expr} + 0.0 AS {name}"
+
+
 def rs(expr: str, name: str) -> str:
     return f"round({expr}, 6) + 0.0 AS {name}"
 
@@ -84,18 +93,18 @@ def _canonical_sql(e: str) -> str:
     return f"round_even(CASE WHEN abs(({e}) - floor({e}) - 1) <= 1e-8 THEN 0 ELSE ({e}) - floor({e}) END, 8)"
 
 
-@query(f"{W_} SELECT structure_id, atom_idx, {rs(_canonical_sql('1.25 - 3 * fx'), 'fx')}, {rs(_canonical_sql('fy - 2'), 'fy')}, {rs(_canonical_sql('-fz'), 'fz')} FROM atoms")
+@query(f"{W_} SELECT structure_id, atom_idx, {cs(_canonical_sql('1.25 - 3 * fx'), 'fx')}, {cs(_canonical_sql('fy - 2'), 'fy')}, {cs(_canonical_sql('-fz'), 'fz')} FROM atoms")
 def canonical_frac(spark, sf_dir):
     a = corpus.atoms(spark, sf_dir)
-    return a.select("structure_id", "atom_idx", *[r6(g.canonical(v)).alias(n) for v, n in ((1.25 - 3 * F.col("fx"), "fx"), (F.col("fy") - 2, "fy"), (-F.col("fz"), "fz"))])
+    return a.select("structure_id", "atom_idx", *[r0(g.canonical(v)).alias(n) for v, n in ((1.25 - 3 * F.col("fx"), "fx"), (F.col("fy") - 2, "fy"), (-F.col("fz"), "fz"))])
 
 
 _IMAGES = "im AS (SELECT a.structure_id, a.atom_idx, a.element, a.label, a.a, a.b, a.c, a.alpha, a.beta, a.gamma, o.op_idx, " + ", ".join(f"{_canonical_sql(f'o.r{k}1 * a.fx + o.r{k}2 * a.fy + o.r{k}3 * a.fz + o.t{k} / 24.0::DOUBLE')} AS g{x}" for k, x in ((1, "x"), (2, "y"), (3, "z"))) + " FROM cells a JOIN ops o USING (sg))"
 
 
-@query(f"{W_}, {OPS_SQL}, {_IMAGES} SELECT structure_id, atom_idx, op_idx, {rs('gx', 'gx')}, {rs('gy', 'gy')}, {rs('gz', 'gz')} FROM im")
+@query(f"{W_}, {OPS_SQL}, {_IMAGES} SELECT structure_id, atom_idx, op_idx, gx + 0.0 AS gx, gy + 0.0 AS gy, gz + 0.0 AS gz FROM im")
 def symop_apply(spark, sf_dir):
-    return symmetry.apply(corpus.atoms(spark, sf_dir), ops(spark)).select("structure_id", "atom_idx", "op_idx", *[r6(c).alias(c) for c in ("gx", "gy", "gz")])
+    return symmetry.apply(corpus.atoms(spark, sf_dir), ops(spark)).select("structure_id", "atom_idx", "op_idx", *[r0(F.col(c)).alias(c) for c in ("gx", "gy", "gz")])
 
 
 @query(f"{W_}, {OPS_SQL}, {_IMAGES}, s AS (SELECT DISTINCT structure_id, element, gx, gy, gz FROM im) SELECT structure_id, element, count(*) AS n_sites FROM s GROUP BY ALL")
@@ -121,12 +130,12 @@ def merge_near_sites(spark, sf_dir):
 
 
 @query(f"""{W_}, ct(latt, k, c1, c2, c3) AS (VALUES {', '.join(f'({n}, {k}, {c[0]}, {c[1]}, {c[2]})' for n, v in dims.CENTERINGS.items() for k, c in enumerate(v))})
-SELECT structure_id, atom_idx, k, {rs(_canonical_sql('fx + c1 / 24.0::DOUBLE'), 'gx')}, {rs(_canonical_sql('fy + c2 / 24.0::DOUBLE'), 'gy')}, {rs(_canonical_sql('fz + c3 / 24.0::DOUBLE'), 'gz')} FROM atoms JOIN ct ON latt = structure_id % 7 + 1""")
+SELECT structure_id, atom_idx, k, {cs(_canonical_sql('fx + c1 / 24.0::DOUBLE'), 'gx')}, {cs(_canonical_sql('fy + c2 / 24.0::DOUBLE'), 'gy')}, {cs(_canonical_sql('fz + c3 / 24.0::DOUBLE'), 'gz')} FROM atoms JOIN ct ON latt = structure_id % 7 + 1""")
 def centering_expand(spark, sf_dir):
     rows = [(n, k, *c) for n, v in dims.CENTERINGS.items() for k, c in enumerate(v)]
     ct = F.broadcast(spark.createDataFrame(rows, "latt int, k int, c1 int, c2 int, c3 int"))
     a = corpus.atoms(spark, sf_dir).withColumn("latt", (F.col("structure_id") % 7 + 1).cast("int")).join(ct, "latt")
-    return a.select("structure_id", "atom_idx", "k", *[r6(g.canonical(F.col(f"f{x}") + F.col(f"c{n}") / 24.0)).alias(f"g{x}") for n, x in ((1, "x"), (2, "y"), (3, "z"))])
+    return a.select("structure_id", "atom_idx", "k", *[r0(g.canonical(F.col(f"f{x}") + F.col(f"c{n}") / 24.0)).alias(f"g{x}") for n, x in ((1, "x"), (2, "y"), (3, "z"))])
 
 
 @query("WITH o(sg, n) AS (VALUES (0, 2), (1, 4), (2, 4), (3, 4)) SELECT sg, n FROM o")
