@@ -306,7 +306,8 @@ def repeats(texts: DataFrame, length: int = 400, gram: int = GRAM) -> DataFrame:
     """(key, size, low, high): ranges of bytes that repeat; together they cover all such bytes."""
     spark, reach = texts.sparkSession, length - gram
     seen = materialise(_occurrences(texts, length, gram), "repeats-seen")
-    shared = seen.groupBy("anchor").agg(F.sum("copies").alias("_n")).where("_n > 1").select("anchor")
+    # written, so that the join deals out both sides itself and Spark can split a common anchor
+    shared = materialise(seen.groupBy("anchor").agg(F.sum("copies").alias("_n")).where("_n > 1").select("anchor"), "repeats-shared")
     met = materialise(seen.join(shared, "anchor"), "repeats-met")
     _drop(seen)
     pieces = met.groupBy("anchor", "piece").agg(F.sum("copies").alias("n"), F.min(F.struct("key", "size", "place")).alias("one"))
@@ -319,6 +320,7 @@ def repeats(texts: DataFrame, length: int = 400, gram: int = GRAM) -> DataFrame:
     folder = f"{shared_dir(spark)}/repeats-build"
     ranges = materialise(_compare(fetched, folder, length, gram), "repeats-ranges")
     marked = pieces.select("anchor", "piece", (F.col("n") > 1).alias("whole")).join(ranges, ["anchor", "piece"], "left").where("whole OR low IS NOT NULL")
+    marked = materialise(marked, "repeats-marked")
     side, end = F.least(F.col("place"), F.lit(reach)), F.least(F.col("size") - F.col("place"), F.lit(length))
     low = F.when(F.col("whole"), -side).otherwise(F.col("low")) + F.col("place")
     high = F.when(F.col("whole"), end).otherwise(F.col("high")) + F.col("place")
