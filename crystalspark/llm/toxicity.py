@@ -211,7 +211,7 @@ class Classifier:
         return self.letters, self.inputs, self.weights, self.bias
 
 
-def logistic(rows: list[list[int]], labels: np.ndarray, size: int, penalty: float = 0.2, steps: int = 800) -> tuple[np.ndarray, float]:
+def logistic(rows: list[list[int]], labels: np.ndarray, size: int, penalty: float = 0.08, steps: int = 1000) -> tuple[np.ndarray, float]:
     """Weights and bias of an L2-penalised logistic regression over sets of inputs, by accelerated gradient steps."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     of = np.array([i for r in rows for i in r], dtype=np.int64)
