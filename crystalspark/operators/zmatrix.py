@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from hashlib import blake2b
+from itertools import combinations, groupby
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -100,63 +104,206 @@ def measured(rows: DataFrame, points: DataFrame) -> DataFrame:
     )
 
 
-def generate(elements: list[str], bonds: set[tuple[int, int]], points: np.ndarray, threshold: float = 15.0) -> tuple[list[tuple], list[str]]:
-    """Z-matrix rows (element, refs and values; 1-based) of one molecule, its order and warnings.
-
-    Heavy atoms come first, walked from the best one along bonds, then the
-    hydrogens of each; references prefer bonded atoms whose angle is farthest
-    from a line, and a fallback is a warning.
-    """
-    n = len(elements)
+def neighbours(n: int, links: set[tuple[int, int]]) -> list[set[int]]:
     near: list[set[int]] = [set() for _ in range(n)]
-    for i, j in bonds:
+    for i, j in links:
         near[i].add(j)
         near[j].add(i)
-    rank = lambda i: (ELEMENTS.get(elements[i], (0, 0, 0, 7))[3], -len(near[i]), i)
-    heavy = [i for i in range(n) if elements[i] != "H"] or list(range(n))
-    order: list[int] = []
-    while len(order) < len(heavy):
-        frontier = [i for i in heavy if i not in order and near[i] & set(order)] or [i for i in heavy if i not in order]
-        order.append(min(frontier, key=rank))
-    for i in list(order):
-        order += sorted((k for k in near[i] if k not in order and elements[k] == "H"))
-    order += [i for i in range(n) if i not in order]
-    rows, warnings, done = [], [], []
-
-    def bend(i: int, j: int, k: int) -> float:
-        u, v = points[i] - points[j], points[k] - points[j]
-        s = np.linalg.norm(u) * np.linalg.norm(v)
-        return float(np.degrees(np.arccos(np.clip(u @ v / s, -1, 1)))) if s > 1e-12 else float("nan")
-
-    margin = lambda i, j, k: -1.0 if np.isnan(x := bend(i, j, k)) else min(abs(x), abs(180 - x))
-    for i in order:
-        place_of = {k: p + 1 for p, k in enumerate(done)}
-        row: list = [elements[i]]
-        if done:
-            b = min((k for k in done if k in near[i]), key=lambda k: place_of[k], default=None)
-            if b is None:
-                b = min(done, key=lambda k: np.linalg.norm(points[k] - points[i]))
-                warnings.append(f"row {len(rows) + 1}: no bonded reference")
-            row += [place_of[b], float(np.linalg.norm(points[i] - points[b]))]
-        if len(done) > 1:
-            options = [k for k in done if k in near[b] and k != i] or [k for k in done if k != b]
-            a = max(options, key=lambda k: (margin(i, b, k), -place_of[k]))
-            if margin(i, b, a) < threshold:
-                others = [k for k in done if k != b]
-                a = max(others, key=lambda k: (margin(i, b, k), -place_of[k]))
-                warnings.append(f"row {len(rows) + 1}: nearly straight angle")
-            row += [place_of[a], bend(i, b, a)]
-        if len(done) > 2:
-            left = [k for k in done if k not in (a, b)]
-            proper = [k for k in left if k in near[a]]
-            improper = [k for k in left if k in near[b]]
-            d = max(proper or improper or left, key=lambda k: (margin(b, a, k), -place_of[k]))
-            row += [place_of[d], signed(points[i], points[b], points[a], points[d])]
-        rows.append(tuple(row))
-        done.append(i)
+    return near
+
+
+def bend(points: np.ndarray, i: int, j: int, k: int) -> float:
+    u, v = points[i] - points[j], points[k] - points[j]
+    s = np.linalg.norm(u) * np.linalg.norm(v)
+    return float(np.degrees(np.arccos(np.clip(u @ v / s, -1, 1)))) if s > 1e-12 else float("nan")
+
+
+def margin(points: np.ndarray, i: int, j: int, k: int) -> float:
+    """Degrees between the angle and a straight line or a fold; -1 if there is no angle."""
+    x = bend(points, i, j, k)
+    return -1.0 if np.isnan(x) else min(x, 180 - x)
+
+
+def spanning_tree(elements: list[str], near: list[set[int]], points: np.ndarray) -> dict[int, int | None]:
+    """Parents of the atoms, in the order in which atoms are reached.
+
+    Heavy atoms are taken best first from the best of them: by element, number
+    of bonds, distance to the centroid, index. Then every atom taken adds its
+    other neighbours by index. An atom's parent is the first that reached it.
+    """
+    away = np.linalg.norm(points - points.mean(axis=0), axis=1)
+    kind = [ELEMENTS.get(e, (0, 0, 0, 7))[3] for e in elements]
+    members = {i for i, e in enumerate(elements) if e != "H"} or set(range(len(elements)))
+    root = min(members, key=lambda i: (kind[i], away[i], i))
+    found, order, heap = {root: None}, [], [(kind[root], 0, 0.0, root)]
+    while heap:
+        i = heapq.heappop(heap)[-1]
+        order.append(i)
+        for k in (near[i] & members) - found.keys():
+            found[k] = i
+            heapq.heappush(heap, (kind[k], -len(near[k]), away[k], k))
+    for i in order:  # grows while it is walked
+        for k in sorted(near[i] - found.keys()):
+            found[k] = i
+            order.append(k)
+    return {i: found[i] for i in order}
+
+
+def arranged(parent: dict[int, int | None], elements: list[str]) -> tuple[list[int], dict[int, int]]:
+    """The tree's atoms, each followed by its branches, and the branch kept first at every fork.
+
+    The kept branch is heavy if one is, then the largest, then the earliest;
+    hydrogens follow it, then the other branches from the smallest.
+    """
+    place, size = {i: p for p, i in enumerate(parent)}, dict.fromkeys(parent, 1)
+    branches: dict[int, list[int]] = {i: [] for i in parent}
+    for i in reversed(list(parent)):
+        if parent[i] is not None:
+            size[parent[i]] += size[i]
+            branches[parent[i]].append(i)
+    kept = {i: max(b, key=lambda k: (elements[k] != "H", size[k], -place[k])) for i, b in branches.items() if len(b) > 1}
+    order, stack = [], [next(iter(parent))]
+    while stack:
+        i = stack.pop()
+        order.append(i)
+        stack += sorted(branches[i], key=lambda k: (k != kept.get(i), elements[k] != "H", size[k], place[k]), reverse=True)
+    return order, kept
+
+
+def references(elements: list[str], near: list[set[int]], points: np.ndarray, threshold: float = 15.0) -> tuple[list[tuple], list[str]]:
+    """(atom, bonded, angle and dihedral reference) by atom index for each row, and warnings.
+
+    At a fork, rows after the kept branch refer to the fork's own neighbours
+    (an improper dihedral); other rows follow bonds, and only if none gives an
+    angle, atoms that are not bonded.
+    """
+    parent = spanning_tree(elements, near, points)
+    order, kept = arranged(parent, elements)
+    apart = lambda i, k: float(np.linalg.norm(points[i] - points[k]))
+    rows: list[tuple] = []
+    warnings: list[str] = []
+    done: set[int] = set()
+
+    def ranked(some: set[int], centre: int) -> list[int]:
+        return sorted(some, key=lambda k: (elements[k] == "H", -len(near[k]), apart(k, centre), k))
+
+    def chosen(bonded: list[int], others: list[int], score) -> tuple[int, bool]:
+        scores = [score(k) for k in bonded]
+        if scores and max(scores) > -1:
+            return bonded[scores.index(max(scores))], True
+        good = next((k for k in others if score(k) >= threshold), None)
+        return (good if good is not None else max(others or bonded, key=score)), False
+
+    def fork(i: int, b: int) -> tuple[int, int] | None:
+        first = kept.get(b)
+        if first is None or first == i or first not in done:
+            return None
+        lead = [k for k in (parent[b], first) if k is not None and k in done]
+        rest = sorted((near[b] & done) - {i, *lead}, key=lambda k: (elements[k] == "H", apart(k, b), k))
+        pairs = list(combinations(lead + rest, 2))
+        return max(pairs, key=lambda p: (p[1] not in near[p[0]], margin(points, i, b, p[0]), margin(points, b, *p))) if pairs else None
+
+    for step, i in enumerate(order):
+        b, a, d = parent[i], None, None
+        if step > 2:
+            a, d = fork(i, b) or (None, None)
+        if step > 1:
+            if a is None:
+                up = [parent[b]] if parent[b] in done else []
+                bonded = up + ranked((near[b] & done) - {i, *up}, b)
+                a, along = chosen(bonded, ranked(done - {b, *bonded}, b), lambda k: margin(points, i, b, k))
+                if not along:
+                    warnings.append(f"row {step + 1}: angle to an atom that is not bonded")
+            if margin(points, i, b, a) < threshold:
+                warnings.append(f"row {step + 1}: nearly straight angle")
+        if step > 2:
+            if d is None:
+                up = [parent[a]] if parent[a] in done - {b} else []
+                bonded = up + ranked((near[a] & done) - {b, *up}, a)
+                left = done - {a, b, *bonded}
+                d, along = chosen(bonded, ranked((left - near[b]) or left, a), lambda k: margin(points, b, a, k))
+                if not along:
+                    warnings.append(f"row {step + 1}: dihedral to an atom that is not bonded")
+            if margin(points, b, a, d) < threshold:
+                warnings.append(f"row {step + 1}: nearly straight dihedral anchor")
+        rows.append((i, b, a, d))
+        done.add(i)
     return rows, warnings
 
 
+def numbered(template: list[tuple], elements: list[str], points: np.ndarray) -> list[tuple]:
+    """Z-matrix rows (element, references and values; 1-based) of a template's references on points."""
+    place = {r[0]: p + 1 for p, r in enumerate(template)}
+    out = []
+    for i, b, a, d in template:
+        row: tuple = (elements[i],)
+        if b is not None:
+            row += (place[b], float(np.linalg.norm(points[i] - points[b])))
+        if a is not None:
+            row += (place[a], bend(points, i, b, a))
+        if d is not None:
+            row += (place[d], signed(points[i], points[b], points[a], points[d]))
+        out.append(row)
+    return out
+
+
+def generate(elements: list[str], bonds: set[tuple[int, int]], points: np.ndarray, threshold: float = 15.0) -> tuple[list[tuple], list[str]]:
+    """Z-matrix rows (element, refs and values; 1-based) of one connected molecule, and warnings."""
+    template, warnings = references(elements, neighbours(len(elements), bonds), points, threshold)
+    return numbered(template, elements, points), warnings
+
+
+def refined(elements: list[str], near: list[set[int]], rounds: int = 4) -> list[str]:
+    """Atom labels that agree for atoms alike in element and surroundings, whatever the order of atoms."""
+    label = [f"{e}{len(k)}" for e, k in zip(elements, near)]
+    for _ in range(rounds):
+        label = [blake2b(repr((label[i], sorted(label[k] for k in near[i]))).encode(), digest_size=8).hexdigest() for i in range(len(label))]
+    return label
+
+
+def isomorphism(first: list[str], near: list[set[int]], second: list[str], other: list[set[int]]) -> list[int] | None:
+    """For each atom of the first molecule its match in the second, elements and bonds alike; None if there is none.
+
+    Atoms are matched along bonds, so that a partial match is connected;
+    refined labels leave few choices to go back on.
+    """
+    n = len(first)
+    a, b = refined(first, near), refined(second, other)
+    if n != len(second) or sorted(a) != sorted(b):
+        return None
+    order: list[int] = []
+    seen: set[int] = set()
+    for start in sorted(range(n), key=lambda i: (a.count(a[i]), i)):
+        queue = [start] if start not in seen else []
+        while queue:
+            i = queue.pop(0)
+            if i not in seen:
+                seen.add(i)
+                order.append(i)
+                queue += sorted(near[i] - seen)
+    match: dict[int, int] = {}
+
+    def options(i: int):
+        anchors = [match[k] for k in near[i] if k in match]
+        pool = set.intersection(*[other[k] for k in anchors]) if anchors else set(range(n))
+        taken = set(match.values())
+        return iter(sorted(k for k in pool - taken if b[k] == a[i] and len(other[k] & taken) == len(anchors)))
+
+    stack = [options(order[0])] if order else []
+    while stack:
+        i = order[len(stack) - 1]
+        match.pop(i, None)
+        k = next(stack[-1], None)
+        if k is None:
+            stack.pop()
+            continue
+        match[i] = k
+        if len(stack) == n:
+            return [match[j] for j in range(n)]
+        stack.append(options(order[len(stack)]))
+    return None if n else []
+
+
 def signed(i: np.ndarray, j: np.ndarray, k: np.ndarray, m: np.ndarray) -> float:
     axis = (k - j) / np.linalg.norm(k - j)
     v = (i - j) - ((i - j) @ axis) * axis
@@ -165,23 +312,37 @@ def signed(i: np.ndarray, j: np.ndarray, k: np.ndarray, m: np.ndarray) -> float:
 
 
 def generate_all(points: DataFrame, bonds: DataFrame) -> DataFrame:
-    """Z-matrix rows and warnings of every molecule (structure_id, component) of unwrapped points."""
-    rows = points.groupBy("structure_id", "component").agg(F.array_sort(F.collect_list(F.struct("atom_idx", "element", "x", "y", "z"))).alias("points"))
+    """Z-matrix rows and warnings of every molecule (structure_id, component) of unwrapped points.
+
+    Molecules of a structure that match an earlier one take over its
+    references through the match, so their rows line up; ``atom_idx`` names
+    the atom of each row.
+    """
+    rows = points.groupBy("structure_id").agg(F.array_sort(F.collect_list(F.struct("component", "atom_idx", "element", "x", "y", "z"))).alias("points"))
     edges = bonds.groupBy("structure_id").agg(F.collect_list(F.struct("i", "j")).alias("edges"))
-    schema = "structure_id long, component int, row_index int, element string, bond_to int, bond_length double, angle_to int, angle_deg double, dihedral_to int, dihedral_deg double, warnings array<string>"
+    schema = "structure_id long, component int, row_index int, atom_idx int, element string, bond_to int, bond_length double, angle_to int, angle_deg double, dihedral_to int, dihedral_deg double, warnings array<string>"
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def molecules(structure):
+        models: list[tuple] = []
+        links = [(e["i"], e["j"]) for e in (structure.edges if structure.edges is not None else ())]
+        for component, group in groupby(structure.points, key=lambda p: p["component"]):
+            atoms = list(group)
+            at = {p["atom_idx"]: k for k, p in enumerate(atoms)}
+            near = neighbours(len(atoms), {(at[i], at[j]) for i, j in links if i in at and j in at})
+            elements, xyz = [p["element"] for p in atoms], np.array([[p["x"], p["y"], p["z"]] for p in atoms])
+            matched = ((m, isomorphism(m[0], m[1], elements, near)) for m in models)
+            model, match = next(((m, f) for m, f in matched if f is not None), (None, None))
+            if model is None:
+                model, match = (elements, near, *references(elements, near, xyz)), list(range(len(atoms)))
+                models.append(model)
+            template = [tuple(None if k is None else match[k] for k in r) for r in model[2]]
+            for k, (row, ref) in enumerate(zip(numbered(template, elements, xyz), template)):
+                yield (structure.structure_id, component, k + 1, atoms[ref[0]]["atom_idx"], *row, *[None] * (7 - len(row)), model[3])
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for m in pdf.itertuples(index=False):
-                at = {p["atom_idx"]: k for k, p in enumerate(m.points)}
-                links = {tuple(sorted((at[e["i"]], at[e["j"]]))) for e in (m.edges if m.edges is not None else ()) if e["i"] in at and e["j"] in at}
-                xyz = np.array([[p["x"], p["y"], p["z"]] for p in m.points])
-                made, warnings = generate([p["element"] for p in m.points], links, xyz)
-                for k, r in enumerate(made):
-                    out.append((m.structure_id, m.component, k + 1, *r, *[None] * (7 - len(r)), warnings))
-            names = [f.split()[0] for f in schema.split(", ")]
-            frame = pd.DataFrame(out, columns=names)
+            frame = pd.DataFrame([r for s in pdf.itertuples(index=False) for r in molecules(s)], columns=names)
             yield frame.astype({c: "Int32" for c in ("bond_to", "angle_to", "dihedral_to")})
 
     return rows.join(edges, "structure_id", "left").mapInPandas(run, schema)

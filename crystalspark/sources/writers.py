@@ -24,7 +24,7 @@ def cif(atoms: DataFrame) -> DataFrame:
     """(structure_id, text): cell and coordinates with ten decimals; no symmetry loop."""
     row = F.format_string("%s %s %.10f %.10f %.10f 1.0", "label", "element", "fx", "fy", "fz")
     tags = ["_cell_length_a", "_cell_length_b", "_cell_length_c", "_cell_angle_alpha", "_cell_angle_beta", "_cell_angle_gamma"]
-    head = F.concat(F.format_string("data_%s\n_symmetry_space_group_name_H-M 'P 1'\n_csptoolbox_explict_unit_cell true\n", F.col("structure_id").cast("string")), *[F.format_string(f"{t} %.10f\n", F.col(c)) for t, c in zip(tags, CELL)])
+    head = F.concat(F.format_string("data_%s\n_symmetry_space_group_name_H-M 'P 1'\n_crystalspark_explict_unit_cell true\n", F.col("structure_id").cast("string")), *[F.format_string(f"{t} %.10f\n", F.col(c)) for t, c in zip(tags, CELL)])
     loop = F.lit("loop_\n_atom_site_label\n_atom_site_type_symbol\n_atom_site_fract_x\n_atom_site_fract_y\n_atom_site_fract_z\n_atom_site_occupancy\n")
     return atoms.groupBy("structure_id", *CELL).agg(_joined(["atom_idx"], row).alias("_rows")).select("structure_id", F.concat(head, loop, "_rows", F.lit("\n")).alias("text"))
 

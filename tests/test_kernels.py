@@ -146,3 +146,57 @@ def test_files(spark):
     full = st.parse_texts(df.where(F.col("path") == "/d/x.cif"), expanded=True)
     assert [r.label for r in st.atoms_of(full).collect()] == ["C1_1", "C1_2", "D1_1"]
     assert st.partial_occupancies(full).count() == 1
+
+
+METHANOL = (["C", "O", "H", "H", "H", "H"], {(0, 1), (1, 2), (0, 3), (0, 4), (0, 5)}, np.array([[0, 0, 0], [1.42, 0, 0], [1.75, 0.9, 0], [-0.36, 1.03, 0], [-0.36, -0.5, 0.89], [-0.36, -0.5, -0.89]]))
+BUTANE = (["C"] * 4, {(0, 1), (1, 2), (2, 3)}, np.array([[0, 0, 0], [1.53, 0, 0], [2.04, 1.44, 0], [3.57, 1.44, 0.2]]))
+
+
+def kinds(elements, bonds, points):
+    """Proper and improper dihedrals as sets of the atoms they turn about."""
+    near = zmatrix.neighbours(len(elements), bonds)
+    rows, warnings = zmatrix.references(elements, near, points)
+    assert not warnings
+    turns = [r for r in rows if r[3] is not None]
+    return [set(r) for r in turns if r[3] in near[r[2]]], [r[0] for r in turns if r[3] in near[r[1]]]
+
+
+def test_branches_turn_about_their_fork():
+    assert kinds(*BUTANE) == ([{0, 1, 2, 3}], [])
+    assert kinds(*METHANOL) == ([{0, 1, 2, 3}], [4, 5])
+
+
+def test_straight_chain_warns():
+    points = np.array([[0, 0, 0], [1.5, 0, 0], [3.0, 0, 0], [4.5, 0, 0]])
+    assert "row 3: nearly straight angle" in zmatrix.references(["C"] * 4, zmatrix.neighbours(4, {(0, 1), (1, 2), (2, 3)}), points)[1]
+
+
+def test_random_molecules_rebuild_and_match_their_shuffles():
+    rng = np.random.default_rng(11)
+    for n in rng.integers(1, 14, size=60):
+        elements = list(rng.choice(list("CCNOH"), size=n))
+        bonds = {(int(rng.integers(i)), i) for i in range(1, n)}
+        if n > 3:
+            bonds |= {tuple(sorted(int(k) for k in rng.choice(n, 2, replace=False)))}
+        points = rng.normal(size=(n, 3)) * 2
+        near = zmatrix.neighbours(n, bonds)
+        template, _ = zmatrix.references(elements, near, points)
+        order = [r[0] for r in template]
+        assert sorted(order) == list(range(n))
+        rows = zmatrix.numbered(template, elements, points)
+        back = zmatrix.rebuild([(*r[1:], *[None] * (7 - len(r))) for r in rows])
+        want = points[order]
+        assert np.allclose(np.linalg.norm(want[:, None] - want[None], axis=2), np.linalg.norm(back[:, None] - back[None], axis=2), atol=1e-6)
+        to = rng.permutation(n)
+        mixed = [None] * n
+        for i in range(n):
+            mixed[to[i]] = elements[i]
+        moved = {tuple(sorted((int(to[i]), int(to[j])))) for i, j in bonds}
+        match = zmatrix.isomorphism(elements, near, mixed, zmatrix.neighbours(n, moved))
+        assert [mixed[k] for k in match] == elements and {tuple(sorted((match[i], match[j]))) for i, j in bonds} == moved
+
+
+def test_different_molecules_do_not_match():
+    chain, star = zmatrix.neighbours(4, {(0, 1), (1, 2), (2, 3)}), zmatrix.neighbours(4, {(0, 1), (0, 2), (0, 3)})
+    assert zmatrix.isomorphism(["C"] * 4, chain, ["C"] * 4, star) is None
+    assert zmatrix.isomorphism(["C", "C", "C", "N"], chain, ["C", "N", "C", "C"], chain) is None
