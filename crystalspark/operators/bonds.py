@@ -32,11 +32,17 @@ def contacts(atoms: DataFrame, scale: float = 1.2, images: int = 1) -> DataFrame
     """
     radii = F.broadcast(dims.elements(atoms.sparkSession).select("element", "radius"))
     both = pairs(atoms.join(radii, "element"), ["element", "radius", "x", "y", "z"])
-    steps = F.sequence(F.lit(-images), F.lit(images))
-    cells = both.withColumn("sx", F.explode(steps)).withColumn("sy", F.explode(steps)).withColumn("sz", F.explode(steps))
-    d = [F.col(f"{c}2") - F.col(f"{c}1") + F.col("sx") * F.col(f"a{c}") + F.col("sy") * F.col(f"b{c}") + F.col("sz") * F.col(f"c{c}") for c in "xyz"]
     total = F.col("radius1") + F.col("radius2")
-    near = cells.withColumn("distance", g.norm(tuple(d))).where(F.col("distance") <= total * g.bond_scale(F.col("element1"), F.col("element2"), scale))
+    both = both.withColumns({"_longest": total * g.bond_scale(F.col("element1"), F.col("element2"), scale)} | {f"_d{c}": F.col(f"{c}2") - F.col(f"{c}1") for c in "xyz"})
+    delta = tuple(F.col(f"_d{c}") for c in "xyz")
+    # Planes of the cell are 2 pi / |reciprocal vector| apart, so a step along an axis is of use only while its part of the way is short enough.
+    along = {f"_f{c}": f for c, f in zip("xyz", g.to_fractional(delta))} | {f"_r{c}": F.col("_longest") * g.norm(v) / (2 * F.pi()) + 1e-9 for c, v in zip("xyz", g.reciprocal())}
+    cells = both.withColumns(along)
+    for c in "xyz":
+        steps = [F.when(F.abs(F.col(f"_f{c}") + k) <= F.col(f"_r{c}"), F.lit(k)) for k in range(-images, images + 1)]
+        cells = cells.withColumn(f"s{c}", F.explode(F.array_compact(F.array(*steps))))
+    d = [F.col(f"_d{c}") + F.col("sx") * F.col(f"a{c}") + F.col("sy") * F.col(f"b{c}") + F.col("sz") * F.col(f"c{c}") for c in "xyz"]
+    near = cells.withColumn("distance", g.norm(tuple(d))).where(F.col("distance") <= F.col("_longest"))
     best = near.groupBy("structure_id", "i", "j", "element1", "element2").agg(F.min(F.struct("distance", "sx", "sy", "sz", (F.col("distance") / total).alias("ratio"))).alias("m"))
     return best.select("structure_id", "i", "j", "element1", "element2", "m.sx", "m.sy", "m.sz", "m.distance", "m.ratio")
 

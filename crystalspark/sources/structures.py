@@ -233,7 +233,7 @@ def expand(found: dict, tolerance: float = 0.01) -> tuple[list[tuple], int]:
 
 def read_structures(spark: SparkSession, path: str, fmt: str | None = None, expanded: bool = False, tolerance: float = 0.01) -> DataFrame:
     """One row a file; ``expanded`` gives the full cell of files with operations."""
-    files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return parse_texts(files, fmt, expanded, tolerance)
 
 

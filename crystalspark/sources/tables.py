@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, line) of text files."""
-    whole = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return whole.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\\r?\\n")).alias("line_no", "line"))
 
 
