@@ -138,10 +138,12 @@ def centering_expand(spark, sf_dir):
     return a.select("structure_id", "atom_idx", "k", *[r0(g.canonical(F.col(f"f{x}") + F.col(f"c{n}") / 24.0)).alias(f"g{x}") for n, x in ((1, "x"), (2, "y"), (3, "z"))])
 
 
-@query("WITH o(sg, n) AS (VALUES (0, 2), (1, 4), (2, 4), (3, 4)) SELECT sg, n FROM o")
+@query(f"""WITH {OPS_SQL}, lt(sg, latt) AS (VALUES (0, 1), (1, 1), (2, 1), (3, 7)), ct(latt, k, c1, c2, c3) AS (VALUES {', '.join(f'({n}, {k}, {c[0]}, {c[1]}, {c[2]})' for n, v in dims.CENTERINGS.items() for k, c in enumerate(v))}),
+mn AS (SELECT sg, op_idx, min((t1 - c1 + 24) % 24 * 576 + (t2 - c2 + 24) % 24 * 24 + (t3 - c3 + 24) % 24) AS m FROM ops JOIN lt USING (sg) JOIN ct USING (latt) GROUP BY ALL)
+SELECT sg, count(DISTINCT (r11, r12, r13, r21, r22, r23, r31, r32, r33, m)) AS n FROM ops JOIN mn USING (sg, op_idx) GROUP BY sg""")
 def symop_dedupe(spark, sf_dir):
     lattice = {0: 1, 1: 1, 2: 1, 3: 7}
-    return spark.createDataFrame([(k, len(symmetry.distinct(v, lattice[k]))) for k, v in corpus.GROUPS.items()], "sg int, n int")
+    return spark.createDataFrame([(k, len(symmetry.distinct(v, lattice[k]))) for k, v in corpus.GROUPS.items()], "sg int, n long")
 
 
 @query(f"""{W_}, p AS (SELECT a.*, b.atom_idx AS j, b.fx - a.fx AS d1, b.fy - a.fy AS d2, b.fz - a.fz AS d3 FROM cells a JOIN atoms b ON a.structure_id = b.structure_id AND a.atom_idx < b.atom_idx),
