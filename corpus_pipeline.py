@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crystalspark.llm import decontaminate, hilbert_shards, mixing, registry, simhash_bktree, toxicity
+from crystalspark.llm import decontaminate, hilbert_shards, mixing, near_copies, registry, toxicity
 from crystalspark.llm.common import materialise, table
 
 #: Share of the tokens that the mix asks for; a document is taken once at most.
@@ -25,14 +25,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group; of rows that share that id, one."""
-    found = simhash_bktree.near_duplicates(docs.select("doc_id", "text"))
-    stay = materialise(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_n")), "pipeline-stay")
-    joined = docs.join(stay.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    once = joined.where("_n = 1").select(*docs.columns)
-    if stay.where("_n > 1").isEmpty():
-        return once
-    return once.union(joined.where("_n > 1").dropDuplicates(["doc_id"]).select(*docs.columns))
+    """Of each group linked by 5-word similarity 0.8 or more, the row with the smallest doc_id (nulls last, then by place)."""
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    found = near_copies.groups(rows.select("_row", "text"), "_row").withColumnRenamed("row", "_row").join(rows.select("_row", "doc_id"), "_row")
+    stay = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_least")).select(F.col("_least._row").alias("_row"))
+    return rows.join(stay, "_row", "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
