@@ -37,9 +37,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix's choice; rows that share a doc_id are taken together."""
-    chosen = mixing.mix(mixing.with_domain(docs), fraction=MIX_FRACTION, max_epochs=MIX_EPOCHS).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
+    """The mix's choice, row by row."""
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    chosen = mixing.mix(mixing.with_domain(rows), fraction=MIX_FRACTION, max_epochs=MIX_EPOCHS, row="_row").select("_row")
+    return rows.join(chosen, "_row", "left_semi").select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

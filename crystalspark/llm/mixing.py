@@ -77,16 +77,19 @@ def leaf_budgets(rows: DataFrame, fraction: float, max_epochs: int, levels=LEVEL
     return nodes.select(*levels, "supply", "alloc")
 
 
-def mix(docs: DataFrame, fraction: float = 0.6, max_epochs: int = 4, seed: int = 20, levels=LEVELS, weights=WEIGHTS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, fraction: float = 0.6, max_epochs: int = 4, seed: int = 20, levels=LEVELS, weights=WEIGHTS, text: str = "text", doc_id: str = "doc_id", row: str | None = None) -> DataFrame:
     """Chosen (doc_id, levels, epoch, start, tokens, taken): ``taken`` is the part of a document inside its leaf's prefix.
 
+    ``row`` names a column that tells rows apart; it is returned as well and orders rows that agree in all else.
+
     Null levels form leaves named (null); null and empty texts count one token;
     a document may return in several epochs, repeated rows each count on their
     own. Levels or values without a weight have weight 1; weight 0 excludes.
     An empty table returns no rows; columns beyond the named ones are dropped.
     """
     named = [F.coalesce(F.col(c).cast("string"), F.lit("(null)")).alias(c) for c in levels]
-    rows = docs.select(F.col(doc_id).alias("doc_id"), *named, tokens_of(text).alias("tokens"))
+    own = [row] if row else []
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *named, tokens_of(text).alias("tokens"), *own)
     budgets = leaf_budgets(rows, fraction, max_epochs, levels, weights).where("alloc > 0").withColumn("passes", F.expr("cast((alloc + supply - 1) div supply as int)"))
     epochs = rows.join(budgets, list(levels)).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("passes"))))
     epochs = epochs.withColumn("limit", F.least(F.col("supply"), F.col("alloc") - F.col("supply") * (F.col("epoch") - 1)))
@@ -95,10 +98,10 @@ def mix(docs: DataFrame, fraction: float = 0.6, max_epochs: int = 4, seed: int =
     sums = epochs.groupBy(*levels, "epoch", "_range").agg(F.sum("tokens").alias("_sum"))
     running = W.partitionBy(*levels, "epoch").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(*levels, "epoch", "_range", F.coalesce(F.sum("_sum").over(running), F.lit(0)).alias("_before"))
-    inner = W.partitionBy(*levels, "epoch", "_range").orderBy("_key", "doc_id", "tokens").rowsBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy(*levels, "epoch", "_range").orderBy("_key", "doc_id", "tokens", *own).rowsBetween(W.unboundedPreceding, -1)
     out = epochs.join(sums, [*levels, "epoch", "_range"]).withColumn("start", F.col("_before") + F.coalesce(F.sum("tokens").over(inner), F.lit(0)))
     out = out.where("start < limit").withColumn("taken", F.least(F.col("tokens"), F.col("limit") - F.col("start")))
-    return out.select("doc_id", *levels, "epoch", "start", "tokens", "taken")
+    return out.select("doc_id", *levels, "epoch", "start", "tokens", "taken", *own)
 
 
 def with_domain(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline as cp
+from crystalspark.llm import mixing
 from crystalspark.llm import near_copies as nc
 from tests.llm.conftest import SCHEMA
 
@@ -66,3 +67,15 @@ def test_stage_keeps_one_row_of_each_group(spark, tmp_path):
     docs = spark.createDataFrame(rows, SCHEMA)
     found = [r.doc_id for r in cp.drop_near_duplicates(spark, docs, str(tmp_path)).collect()]
     assert sorted(found) == sorted(set(brute(texts)))
+
+
+def test_rows_without_an_id_of_their_own(spark, tmp_path):
+    rng = random.Random(4)
+    text = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(40))
+    rows = [(None if i % 3 else 7, text(), "en", "src0", 0) for i in range(30)]
+    docs = spark.createDataFrame(rows + rows[:9], SCHEMA).repartition(3)
+    kept = cp.drop_near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.text for r in kept) == sorted(r[1] for r in rows)
+    mixed = cp.mix_sources(spark, docs, str(tmp_path)).collect()
+    want = mixing.mix(mixing.with_domain(docs), cp.MIX_FRACTION, cp.MIX_EPOCHS).count()
+    assert len(mixed) == want < docs.count()
