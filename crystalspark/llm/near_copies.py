@@ -7,9 +7,9 @@ and the first n - ceil(t n) + 1 for similarity t), so no pair is missed at any
 distance of fingerprints. Candidate pairs pass an exact bound from 512 parity
 bits a set and are then checked on the whole texts.
 
-Dense groups do not become all their pairs: first every set meets only its
-neighbour and the first of each shared value, and once those links are
-followed, only pairs of different components are looked at.
+Dense groups do not become all their pairs: first every set meets only the few
+neighbours it shares most values with, and once those links are followed, all
+pairs that still lie in different components are looked at.
 """
 
 from __future__ import annotations
@@ -17,16 +17,35 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from crystalspark.llm.common import materialise, raw
+from crystalspark.llm.common import delete, materialise, raw
 from crystalspark.llm.simhash_bktree import components
 
 #: Longs of parity bits of a set.
 LONGS = 8
 BITS = [f"s{i}" for i in range(LONGS)]
+#: Neighbours a set is compared with before components are followed; the second round looks at all others.
+FIRST = 2
+
+
+def _drop(df: DataFrame) -> None:
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        delete(df.sparkSession, path)
+
+
+def pressed(texts: DataFrame) -> DataFrame:
+    """(row, raw) with raw compressed, as it travels through joins."""
+
+    def run(batches):
+        press = zstandard.ZstdCompressor()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([press.compress(x) for x in batch.column("raw").to_pylist()], pa.binary())], names=["row", "raw"])
+
+    return texts.select("row", "raw").mapInArrow(run, "row long, raw binary")
 
 
 def shingles(text: bytes, width: int = 5) -> np.ndarray:
@@ -119,22 +138,25 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, nu
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(apart * (num + den) <= (den - num) * (F.col("na") + F.col("nb"))).select("a", "b", "ra", "rb")
     near = materialise(near, "copies-pairs")
     used = near.select(F.col("ra").alias("row")).union(near.select("rb")).distinct()
-    bodies = materialise(texts.join(used, "row", "left_semi"), "copies-texts")
+    bodies = materialise(pressed(texts).join(used, "row", "left_semi"), "copies-texts")
     whole = near.join(bodies.select(F.col("row").alias("ra"), F.col("raw").alias("ta")), "ra").join(bodies.select(F.col("row").alias("rb"), F.col("raw").alias("tb")), "rb")
 
     def run(batches):
-        last, right = None, None
+        last, right, press = None, None, zstandard.ZstdDecompressor()
         for batch in batches:
             keep = []
             for b, x, y in zip(*(batch.column(c).to_pylist() for c in ("b", "ta", "tb"))):
                 if b != last:
-                    last, right = b, shingles(y, width)
-                left = shingles(x, width)
+                    last, right = b, shingles(press.decompress(y), width)
+                left = shingles(press.decompress(x), width)
                 both = len(np.intersect1d(left, right, assume_unique=True))
                 keep.append(both * (num + den) >= num * (len(left) + len(right)))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return materialise(whole.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "copies-links")
+    links = materialise(whole.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "copies-links")
+    _drop(near)
+    _drop(bodies)
+    return links
 
 
 def groups(docs: DataFrame, row: str, text: str = "text", width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -146,14 +168,18 @@ def groups(docs: DataFrame, row: str, text: str = "text", width: int = 5, num: i
     texts = docs.select(F.col(row).alias("row"), raw(text).alias("raw"))
     marked = materialise(describe(texts, width, num, den), "copies-sets")
     sets = marked.groupBy("key").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", *BITS, "prefix", "near")])
-    sets = materialise(sets, "copies-distinct")
+    sets, wide = materialise(sets, "copies-distinct"), marked
+    marked = materialise(wide.select("row", "key"), "copies-rows")
+    _drop(wide)
     items = sets.select("key", "n", "near", F.posexplode("prefix").alias("pos", "shingle")).select("shingle", "key", "n", (F.col("pos") < F.col("near")).alias("near"))
     order = W.partitionBy("shingle").orderBy("n", "key")
     beside = lambda f: f(F.struct("key", "n")).over(order)
     met = items.withColumns({"_before": beside(F.lag), "_first": beside(F.first), "_after": F.lead("key").over(order)})
     met = materialise(met.where("_before IS NOT NULL OR _after IS NOT NULL").drop("_after"), "copies-met")
     alike = lambda c: met.where(F.col(f"{c}.key") != F.col("key")).where(F.col("n") * num <= F.col(f"{c}.n") * den).select(F.least("key", f"{c}.key").alias("a"), F.greatest("key", f"{c}.key").alias("b"))
-    tried = materialise(alike("_before").union(alike("_first")).distinct(), "copies-tried")
+    both = alike("_before").union(alike("_first")).groupBy("a", "b").agg(F.count("*").alias("_n"))
+    most = W.partitionBy("b").orderBy(F.col("_n").desc(), "a")
+    tried = materialise(both.withColumn("_at", F.row_number().over(most)).where(F.col("_at") <= FIRST).select("a", "b"), "copies-tried")
     links = verified(tried, sets, texts, width, num, den)
     roots = components(links, "a", "b", "copies")
     named = met.select("shingle", "key", "n", "near").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("root", "key"))
