@@ -375,13 +375,13 @@ def pdd_knn(spark, sf_dir):
 
 @query()
 def pdd_descriptors(spark, sf_dir):
-    d = pdd.descriptors(cart(spark, sf_dir), k=12)
+    d = pdd.descriptors(cart(spark, sf_dir))
     return d.select("structure_id", "row_idx", "center_element", r6("weight").alias("weight"), F.transform("distances", lambda x: F.round(x, 6)).alias("distances"))
 
 
 @query()
 def pdd_emd(spark, sf_dir):
-    d = pdd.descriptors(cart(spark, sf_dir), k=12)
+    d = pdd.descriptors(cart(spark, sf_dir))
     c = compositions(spark, sf_dir)
     after = W.partitionBy("composition").orderBy("structure_id")
     pairs = c.select(F.col("structure_id").alias("left_id"), F.lead("structure_id").over(after).alias("right_id")).where("right_id IS NOT NULL")
