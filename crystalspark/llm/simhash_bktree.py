@@ -31,6 +31,15 @@ from crystalspark.llm.common import delete, materialise, raw
 BLOCK = 1 << 18
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the 64-bit hashes set."""
+    votes = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)]
+        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: bytes, width: int = 3) -> int:
     """SimHash of UTF-8 bytes; ASCII letters count in lower case."""
     words = text.lower().split()
@@ -44,11 +53,7 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     begin, end = starts[: len(words) - width + 1].tolist(), (starts + lengths)[width - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(begin, end)), dtype=np.uint64, count=len(begin))
-    votes = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)]
-        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", width: int = 3, name: str = "fp") -> DataFrame:
@@ -98,8 +103,9 @@ class BKForest:
         self.children = has[order]
         self.keys = parent[self.children] * 65 + edge[self.children]
 
-    def search(self, radius: int):
-        """Yield blocks (a, b) of linked indices, a before b in its group."""
+    def search(self, radius):
+        """Yield blocks (a, b) of indices linked within a's radius (a number, or one an element), a before b in its group."""
+        radius = np.broadcast_to(np.asarray(radius, dtype=np.int64), len(self.values))
         stack = [(q, self.root[q]) for q in np.array_split(np.arange(len(self.values)), max(1, len(self.values) // BLOCK))]
         while stack:
             query, node = stack.pop()
@@ -108,11 +114,12 @@ class BKForest:
                 stack += [(query[:half], node[:half]), (query[half:], node[half:])]
                 continue
             d = np.bitwise_count(self.values[query] ^ self.values[node]).astype(np.int64)
-            hit = (d <= radius) & (query < node)
+            reach = radius[query]
+            hit = (d <= reach) & (query < node)
             if hit.any():
                 yield query[hit], node[hit]
-            low = np.searchsorted(self.keys, node * 65 + np.maximum(d - radius, 0))
-            high = np.searchsorted(self.keys, node * 65 + np.minimum(d + radius, 64), side="right")
+            low = np.searchsorted(self.keys, node * 65 + np.maximum(d - reach, 0))
+            high = np.searchsorted(self.keys, node * 65 + np.minimum(d + reach, 64), side="right")
             count = high - low
             live = count > 0
             if live.any():
