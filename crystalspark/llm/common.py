@@ -23,8 +23,8 @@ cloudpickle.register_pickle_by_value(crystalspark)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = "/tmp/checkpoints"
+    if not found:  # only where no cluster names one, as in tests
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -56,6 +56,14 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def free_name(columns: list[str], wanted: str) -> str:
+    """``wanted``, with underscores added until no column has that name."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -71,7 +79,7 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def running_start(df: DataFrame, order: list[str], amount: str, start: str, label: str, share: int = 1) -> DataFrame:
+def running_start(df: DataFrame, order: list[str], amount: str, start: str, label: str) -> DataFrame:
     """Add the exclusive prefix sum of ``amount`` in the order of ``order``.
 
     Two levels: rows are dealt out by range and each range is summed on its

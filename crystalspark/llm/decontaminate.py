@@ -7,8 +7,10 @@ documents are scanned once, a hash hit is verified word by word, and hit words
 merge into spans that can be cut out or condemn the document.
 
 The broadcast is bounded: the benchmark's bytes are summed first, and above
-``block_bytes`` it is split into blocks by hash, each scanned in a pass of its
-own that merges its hits with those of the passes before it.
+``block_bytes`` (4 MB: at most two million words and windows, 24 bytes each
+beside the vocabulary) it is split into blocks by hash, each scanned in a pass
+of its own that merges its hits with those of the passes before it. Passes
+therefore grow with the benchmark, not with the documents.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crystalspark.llm.common import raw
+from crystalspark.llm.common import free_name, raw
 
 #: A word: ASCII digits, lower-case letters and everything beyond ASCII.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -35,23 +37,30 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class WindowSet:
-    """Windows of a block of benchmark items, ready to scan word lists."""
+    """Windows of a block of benchmark items, ready to scan word lists.
+
+    The block's words stand in one array of word numbers; each window is its
+    hash, its start there and its item, in order of the hashes.
+    """
 
     def __init__(self, items: list[tuple[str | None, bytes]], n: int):
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)]
+        self.names = [item for item, _ in items]
+        line, found, at = [np.empty(0, dtype=np.int32)], {}, 0
+        for k, (_, text) in enumerate(items):
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)], dtype=np.int32)
             size = min(n, len(ids))
-            for at in range(len(ids) - size + 1) if size else ():
-                found = owners.setdefault(tuple(ids[at : at + size]), set())
-                if item is not None:
-                    found.add(item)
-        self.owners = owners
-        self.hashes = {
-            size: np.unique(self.rolling(np.array([w for w in owners if len(w) == size], dtype=np.int64).T, size))
-            for size in sorted({len(w) for w in owners})
-        }
+            if size:
+                line.append(ids)
+                found.setdefault(size, []).append((np.arange(at, at + len(ids) - size + 1), k))
+                at += len(ids)
+        self.line, self.tables = np.concatenate(line), {}
+        for size, runs in sorted(found.items()):
+            starts = np.concatenate([r for r, _ in runs])
+            owners = np.repeat([k for _, k in runs], [len(r) for r, _ in runs]).astype(np.int32)
+            hashes = self.rolling([self.line[starts + k] for k in range(size)], size)
+            order = np.argsort(hashes, kind="stable")
+            self.tables[size] = hashes[order], starts[order], owners[order]
 
     @classmethod
     def of(cls, state: dict) -> WindowSet:
@@ -71,19 +80,24 @@ class WindowSet:
         ids = np.fromiter((self.vocabulary.get(w, -1) for w in words), dtype=np.int64, count=len(words))
         hits, items = np.zeros(len(ids) + 1, dtype=np.int64), set()
         unknown = np.concatenate(([0], np.cumsum(ids < 0)))
-        for size, hashes in self.hashes.items():
+        for size, (hashes, starts, owners) in self.tables.items():
             if len(ids) < size:
                 continue
             at = np.flatnonzero(unknown[size:] == unknown[: len(unknown) - size])
             if not len(at):
                 continue
-            at = at[np.isin(self.rolling([ids[at + k] for k in range(size)], size), hashes)]
-            for p in at.tolist():
-                owner = self.owners.get(tuple(ids[p : p + size].tolist()))
-                if owner is not None:
-                    items |= owner
-                    hits[p] += 1
-                    hits[p + size] -= 1
+            rolled = self.rolling([ids[at + k] for k in range(size)], size)
+            low, high = np.searchsorted(hashes, rolled), np.searchsorted(hashes, rolled, side="right")
+            seen: dict[bytes, bool] = {}
+            for p, a, b in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist()):
+                window = ids[p : p + size]
+                hit = seen.get(window.tobytes())
+                if hit is None:  # the hash agrees; compare the words
+                    same = (self.line[starts[a:b, None] + np.arange(size)] == window).all(axis=1)
+                    hit = seen[window.tobytes()] = bool(same.any())
+                    items.update(self.names[k] for k in np.unique(owners[a:b][same]) if self.names[k] is not None)
+                hits[p] += hit
+                hits[p + size] -= hit
         covered = np.diff(np.concatenate(([0], (np.cumsum(hits)[:-1] > 0).astype(np.int8), [0])))
         return list(zip(np.flatnonzero(covered == 1).tolist(), np.flatnonzero(covered == -1).tolist())), items
 
@@ -111,7 +125,7 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-         block_bytes: int = 8 << 20, keep_text: bool = False) -> DataFrame:
+         block_bytes: int = 4 << 20, keep_text: bool = False) -> DataFrame:
     """``docs`` with n_words, n_hit, spans (word positions, end exclusive) and items (sorted as strings).
 
     With ``keep_text`` the column ``text`` is the text without its hit spans;
@@ -160,12 +174,19 @@ def _pass(shared, text: str, finish: bool):
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", **options) -> DataFrame:
-    """``docs`` without contaminated documents, or with their hit spans cut out (``remove="spans"``)."""
-    names = docs.columns
-    marked = scan(docs, benchmark, keep_text=remove == "spans", **options)
-    if remove == "spans":
-        return marked.select(*names)
-    text = options.get("text", "text")
-    marked = scan(docs.withColumn("_whole", F.col(text)), benchmark, **options).where("n_hit = 0")
-    return marked.withColumnRenamed("_whole", text).select(*names)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", text: str = "text", **options) -> DataFrame:
+    """``docs`` without contaminated documents, or with their hit spans cut out (``remove="spans"``).
+
+    All columns return as they were, whatever their names; null texts stay
+    null; repeated rows each count; a very long text is scanned whole. An empty
+    table or benchmark removes nothing.
+    """
+    none = free_name(docs.columns, "none")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    packed = docs.select(F.struct(*others, F.col(text).isNull().alias(none)).alias("row"), F.col(text).alias("text"))
+    marked = scan(packed, benchmark, keep_text=True, **options)
+    if remove != "spans":
+        marked = marked.where("n_hit = 0")  # whose texts nothing was cut from
+    row = F.col("row")
+    body = F.when(~row[none], F.col("text")).cast(dict(docs.dtypes)[text])
+    return marked.select(*[body.alias(c) if c == text else row[c].alias(c) for c in docs.columns])

@@ -1,7 +1,7 @@
 """Sharding along a Hilbert curve over several metadata dimensions.
 
 Each dimension is quantised to ``2**bits`` cells by approximate quantiles
-(numbers as they are; strings by the order of their first bytes), the cells of
+(numbers as they are; strings by the rows before them in order), the cells of
 a row become its index on the Hilbert curve, rows are sorted by that index and
 the order is cut into runs of equal row counts (law ``rows``: at most one
 apart) or of near equal bytes (law ``bytes``). Rows near on the curve agree in
@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from crystalspark.llm.common import materialise, running_start
 
 #: Name of each default dimension and how it is read from the row.
-DIMENSIONS = {"source": "source", "lang": "lang", "size": "size", "id": "doc_id"}
+DIMENSIONS = {"source": "source", "lang": "lang", "size": "size"}
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -60,18 +60,27 @@ def size_of(text: str = "text") -> Column:
     return (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 16).cast("long")
 
 
-def as_number(df: DataFrame, column: str) -> Column:
-    """A dimension as an order-preserving number; null is -1, strings by their first six bytes."""
-    if dict(df.dtypes)[column] == "string":
-        head = F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 6)), 12, "0")
-        return F.coalesce(F.conv(head, 16, 10).cast("double"), F.lit(-1.0))
-    return F.coalesce(F.col(column).cast("double"), F.lit(-1.0))
+def as_numbers(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add each column as an order-preserving number under its new name; null is -1.
+
+    Numbers stay as they are. A string becomes the rows whose string sorts
+    before it: its distinct values are counted, summed up in order, and joined.
+    """
+    kinds = dict(df.dtypes)
+    for name, column in columns.items():
+        if kinds[column] == "string":
+            counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_rows"))
+            ranks = materialise(running_start(counts, [column], "_rows", name, "hilbert-values").select(column, name), "hilbert-ranks")
+            df = df.join(ranks, column, "left")
+        else:
+            df = df.withColumn(name, F.col(column).cast("double"))
+    return df.withColumns({name: F.coalesce(F.col(name).cast("double"), F.lit(-1.0)) for name in columns})
 
 
 def curve(df: DataFrame, dimensions: dict[str, str], bits: int) -> DataFrame:
-    """Add ``_curve``. The quantiles that reach the driver number ``2**bits`` a dimension."""
-    numbers = {f"_n_{k}": as_number(df, c) for k, c in dimensions.items()}
-    df = df.withColumns(numbers)
+    """Add ``_curve``. ``df`` is read several times and should be written; the quantiles that reach the driver number ``2**bits`` a dimension."""
+    numbers = {f"_n_{k}": c for k, c in dimensions.items()}
+    df = as_numbers(df, numbers)
     marks = [i / (1 << bits) for i in range(1, 1 << bits)]
     found = df.agg(*[F.percentile_approx(n, marks, 10_000).alias(n) for n in numbers]).first()
     cuts = [np.unique(np.array(found[n] or [], dtype=float)) for n in numbers]
@@ -98,10 +107,11 @@ def assign(docs: DataFrame, shards: int = 40, law: str = "rows", dimensions: dic
     dimensions = {k: c for k, c in (dimensions or DIMENSIONS).items() if c in have}
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     keep = sorted({c for c in dimensions.values() if c not in (doc_id, "size")})
-    meta = docs.select(F.col(doc_id).alias("doc_id"), *keep, size_of(text).alias("size"), F.crc32(body).alias("text_crc32"), F.xxhash64(body).alias("_text"))
+    meta = materialise(docs.select(F.col(doc_id).alias("doc_id"), *keep, size_of(text).alias("size"), F.crc32(body).alias("text_crc32"), F.xxhash64(body).alias("_text")), "hilbert-rows")
     meta = curve(meta, {k: "doc_id" if c == doc_id else c for k, c in dimensions.items()}, bits)
     meta = materialise(meta, "hilbert-meta")
     home = meta.groupBy("text_crc32", "_text", "size").agg(F.count("*").alias("_n"), F.min(F.struct("doc_id", "_curve"))["_curve"].alias("_home")).where("_n > 1")
+    home = materialise(home, "hilbert-home")  # written, so that Spark can split a large group in the join
     placed = meta.join(home, ["text_crc32", "_text", "size"], "left").withColumn("curve", F.coalesce("_home", "_curve")).drop("_home", "_curve", "_n")
     order = ["curve", "_text", "text_crc32", "doc_id"]
     amount = F.lit(1).cast("long") if law == "rows" else F.col("size")
@@ -131,7 +141,9 @@ def prune(manifest_table: DataFrame, dimension: str, low, high) -> DataFrame:
 def write_shards(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """Write ``docs`` in folders shard=N, each sorted by slot, and return the manifest, written beside them.
 
-    Rows meet their places by id, text hash and, for repeated rows, their copy number.
+    Rows meet their places by id, text hash and, for repeated rows, their copy
+    number. Columns named shard or slot are replaced. An empty table writes an
+    empty manifest.
     """
     placed = materialise(assign(docs, text=text, doc_id=doc_id, **options), "hilbert-assigned")
     names = [c for c in docs.columns if c not in ("shard", "slot")]

@@ -10,7 +10,9 @@ whole tokens: the floors' remainder goes to the first unfilled siblings.
 Each leaf then reads seeded epochs: whole passes, and of the last one the
 prefix in the order of md5(seed:epoch:doc_id). Prefix sums run over 4096
 ranges of that hash per leaf and epoch, so a source with a third of all rows
-is spread over that many windows.
+is spread over that many windows. What is needed of the rows (no text), the
+leaves' sums and their budgets are written once each, so that the tree's many
+small windows and the last pass over the rows are separate plans.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from crystalspark.llm.common import materialise
+
 #: Documents without a domain of their own are dealt into four by their source.
 DOMAIN_SQL = "CASE WHEN substr(md5(coalesce(source, '')), 1, 1) < '4' THEN 'd0' WHEN substr(md5(coalesce(source, '')), 1, 1) < '8' THEN 'd1' WHEN substr(md5(coalesce(source, '')), 1, 1) < 'c' THEN 'd2' ELSE 'd3' END"
 LEVELS = ("domain", "lang", "source")
@@ -63,7 +67,7 @@ def share_out(children: DataFrame, parent: list[str], name: str) -> DataFrame:
 
 def leaf_budgets(rows: DataFrame, fraction: float, max_epochs: int, levels=LEVELS, weights=WEIGHTS) -> DataFrame:
     """(levels, supply, alloc) per leaf; ``rows`` has the levels and ``tokens``. The budget is ``fraction`` of all tokens, rounded down."""
-    leaves = rows.groupBy(*levels).agg(F.sum("tokens").alias("supply"))
+    leaves = materialise(rows.groupBy(*levels).agg(F.sum("tokens").alias("supply")), "mix-leaves")
     total = leaves.agg(F.floor(F.sum("supply") * F.lit(fraction)).cast("long").alias("budget"))
     current = None
     for depth, level in enumerate(levels):
@@ -89,8 +93,8 @@ def mix(docs: DataFrame, fraction: float = 0.6, max_epochs: int = 4, seed: int =
     """
     named = [F.coalesce(F.col(c).cast("string"), F.lit("(null)")).alias(c) for c in levels]
     own = [row] if row else []
-    rows = docs.select(F.col(doc_id).alias("doc_id"), *named, tokens_of(text).alias("tokens"), *own)
-    budgets = leaf_budgets(rows, fraction, max_epochs, levels, weights).where("alloc > 0").withColumn("passes", F.expr("cast((alloc + supply - 1) div supply as int)"))
+    rows = materialise(docs.select(F.col(doc_id).alias("doc_id"), *named, tokens_of(text).alias("tokens"), *own), "mix-rows")
+    budgets = materialise(leaf_budgets(rows, fraction, max_epochs, levels, weights), "mix-budgets").where("alloc > 0").withColumn("passes", F.expr("cast((alloc + supply - 1) div supply as int)"))
     epochs = rows.join(budgets, list(levels)).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("passes"))))
     epochs = epochs.withColumn("limit", F.least(F.col("supply"), F.col("alloc") - F.col("supply") * (F.col("epoch") - 1)))
     epochs = epochs.withColumn("_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))

@@ -5,12 +5,14 @@ the ids cuts each stream into chunks, so that equal passages give equal chunks
 wherever they stand. The store is a folder of three Parquet tables:
 
 ``chunks/``    address BINARY (SHA-256 of the ids), n_ids, ids BINARY
-               (little-endian unsigned 16-bit, or 32-bit when ``wide``); each
-               distinct chunk is stored once
-``recipes/``   doc_id, start, n_tokens, root BINARY, chunks ARRAY<BINARY>, in
-               ascending doc_id order (``start``: ids of all documents before)
-``manifest/``  part, documents, tokens, root: the Merkle root over each
-               recipe part's document roots, and their root as part -1
+               (little-endian unsigned 16-bit, or 32-bit for vocabularies
+               beyond that); each distinct chunk is stored once
+``recipes/``   part, place, offset, doc_id, n_tokens, root BINARY, chunks
+               ARRAY<BINARY>, in ascending doc_id order; ``place`` counts the
+               documents and ``offset`` the ids before it in its part
+``manifest/``  part, start, documents, tokens, root: the ids of all parts
+               before, the Merkle root over each recipe part's document roots,
+               and the root of these as part -1
 
 A document's root is the Merkle root of its chunk addresses. Reading back
 recomputes every chunk's address from its bytes and every root from the
@@ -33,12 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from crystalspark.llm.common import delete, materialise, new_path, running_start, worker_state
+from crystalspark.llm.common import delete, materialise, new_path, worker_state
 
 #: Ids: at least, on average beyond that, at most in a chunk; ids the rolling hash sees.
 LEAST, MEAN, MOST, SPAN = 64, 512, 4096, 32
-#: Pieces in each half of a worker's cache.
-CACHE = 500_000
+#: Words in each half of a worker's cache.
+CACHE = 400_000
 
 
 def _gear(ids: np.ndarray) -> np.ndarray:
@@ -84,15 +86,30 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+class Words(dict):
+    """Packed ids by lower-case word; an unknown word is encoded, or taken from the older half."""
+
+    def __init__(self, tokenizer, dtype: str, old: dict):
+        self.model, self.old, self.kind = tokenizer.model.tokenize, old, "H" if dtype == "<u2" else "I"
+
+    def __missing__(self, word: str) -> bytes:
+        packed = self.old.get(word)
+        if packed is None:
+            ids = [t.id for p in PIECE.findall(word) for t in self.model(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES))]
+            packed = struct.pack(f"<{len(ids)}{self.kind}", *ids)
+        self[word] = packed
+        return packed
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library, piece by piece.
+    """Ids of whole texts by the tokenizers library, word by word.
 
     A tokenizer that lower-cases, splits by ``PIECE`` and never looks beyond a
-    piece gives a text the ids of its pieces in turn, so pieces met before come
-    from a cache. Its two bounded halves outlive the task: when the younger is
-    full it becomes the older. Texts beyond Latin-1, with control characters or
-    with the name of a special token, and tokenizers of another kind, are encoded
-    whole.
+    piece gives a text the ids of its words between white space in turn, so
+    words met before come from a cache. Its two bounded halves outlive the task:
+    when the younger is full it becomes the older. Texts beyond Latin-1, with
+    control characters or with the name of a special token, and tokenizers of
+    another kind, are encoded whole.
     """
 
     def __init__(self, path: str, end_id: int, dtype: str):
@@ -103,7 +120,7 @@ class Encoder:
             tokenizer = Tokenizer.from_file(path)
             config = json.loads(tokenizer.to_str())
             added = [x["content"].lower() for x in config.get("added_tokens", [])]
-            state |= {"tokenizer": tokenizer, "plain": splits_like_this(config), "added": added, "young": {}, "old": {}}
+            state |= {"tokenizer": tokenizer, "plain": splits_like_this(config), "added": added, "words": Words(tokenizer, dtype, {})}
         self.state, self.dtype = state, dtype
         self.end = np.array([end_id], dtype=dtype).tobytes()
 
@@ -112,6 +129,8 @@ class Encoder:
             return False
         if "<" in text and any(x in text.lower() for x in self.state["added"]):
             return False
+        if text.isascii():
+            return True
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
@@ -121,23 +140,20 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text, the end id last."""
         plain = [self.plain(t) for t in texts]
-        pieces = [PIECE.findall(t.lower()) if p else [] for t, p in zip(texts, plain)]
         whole = iter(self.state["tokenizer"].encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False))
-        young, old = self.state["young"], self.state["old"]
-        missing = set().union(*pieces).difference(young)
-        if missing:
-            if len(young) > CACHE:
-                old = self.state["old"] = young
-                young = self.state["young"] = {}
-                missing = set().union(*pieces)
-            again = missing.intersection(old)
-            young.update((w, old[w]) for w in again)
-            model, pack = self.state["tokenizer"].model.tokenize, struct.Struct
-            for w in missing - again:
-                ids = [t.id for t in model(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES))]
-                young[w] = pack(f"<{len(ids)}{'H' if self.dtype == '<u2' else 'I'}").pack(*ids)
-        get = young.__getitem__
-        return [(b"".join(map(get, found)) if p else np.array(next(whole).ids, dtype=self.dtype).tobytes()) + self.end for found, p in zip(pieces, plain)]
+        words = self.state["words"]
+        if len(words) > CACHE:
+            words.old = {}
+            words = self.state["words"] = Words(self.state["tokenizer"], self.dtype, words)
+        get = words.__getitem__
+        return [(b"".join(map(get, t.lower().split())) if p else np.array(next(whole).ids, dtype=self.dtype).tobytes()) + self.end for t, p in zip(texts, plain)]
+
+
+def is_wide(tokenizer_path: str, end_id: int = 1) -> bool:
+    """Whether ids of a tokenizer go beyond 16 bits."""
+    from tokenizers import Tokenizer
+
+    return max([end_id, *Tokenizer.from_file(tokenizer_path).get_vocab().values()]) > 0xFFFF
 
 
 #: Pieces of a lower-case Latin-1 text: the splitting pattern of the tokenizer, its classes written out and
@@ -157,11 +173,11 @@ def splits_like_this(config: dict) -> bool:
     return normal == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"] and splits[0]["pattern"] == {"Regex": pattern} and not splits[1]["use_regex"]
 
 
-def encode_chunks(docs: DataFrame, tokenizer_path: str, end_id: int = 1, text: str = "text", doc_id: str = "doc_id", wide: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, root, chunks ARRAY<STRUCT<address, n, ids>>) of every row; null text is empty."""
+def encode_chunks(docs: DataFrame, tokenizer_path: str, end_id: int = 1, text: str = "text", doc_id: str = "doc_id", wide: bool | None = None) -> DataFrame:
+    """(doc_id, n_tokens, root, chunks ARRAY<STRUCT<address, n, ids>>) of every row; null text is empty. ``wide``: 32-bit ids; by the vocabulary if not given."""
     kind = dict(docs.dtypes)[doc_id]
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    dtype = "<u4" if wide else "<u2"
+    dtype = "<u4" if (is_wide(tokenizer_path, end_id) if wide is None else wide) else "<u2"
     width = np.dtype(dtype).itemsize
 
     def run(batches):
@@ -199,8 +215,10 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, **options) -> N
     """Encode ``docs`` and write the store under ``path``.
 
     Rows with a null id come first; rows that share an id lie side by side,
-    ordered by their roots. Repeated rows each have a recipe. An empty table
-    writes empty tables and a manifest of one row.
+    ordered by their roots. Null and empty texts are the end id alone, and a
+    very long text is one recipe of many chunks. Repeated rows each have a
+    recipe. Columns other than id and text are not read, whatever their names.
+    An empty table writes empty tables and a manifest of one row.
     """
     spark = docs.sparkSession
     encoded = materialise(encode_chunks(docs, tokenizer_path, **options), "store-encoded")
@@ -208,39 +226,68 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, **options) -> N
     stored = pieces.groupBy("address").agg(F.first("n").alias("n_ids"), F.first("ids").alias("ids"))
     stored.write.option("compression", "zstd").parquet(f"{path}/chunks")
     recipes = encoded.select("doc_id", "n_tokens", "root", F.col("chunks.address").alias("chunks"))
-    ordered = running_start(recipes, ["doc_id", "root"], "n_tokens", "start", "store-order")
     # ranges keep the order between files, the sort keeps it inside them
-    ordered = ordered.repartitionByRange("doc_id", "start").sortWithinPartitions("doc_id", "start").withColumn("part", F.spark_partition_id())
-    ordered.select("part", "doc_id", "start", "n_tokens", "root", "chunks").write.parquet(f"{path}/recipes")
+    ranged = recipes.repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root").select(F.spark_partition_id().alias("part"), "*")
+    kind = dict(recipes.dtypes)["doc_id"]
+
+    def number(batches):
+        place = offset = 0
+        for batch in batches:
+            n = batch.column("n_tokens").to_numpy(zero_copy_only=False)
+            upto = offset + np.cumsum(n)
+            extra = [pa.array(np.arange(place, place + len(n))), pa.array(upto - n, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("part"), *extra, *batch.columns[1:]], names=["part", "place", "offset", *batch.schema.names[1:]])
+            place, offset = place + len(n), int(upto[-1]) if len(n) else offset
+
+    numbered = ranged.mapInArrow(number, f"part int, place long, offset long, doc_id {kind}, n_tokens long, root binary, chunks array<binary>")
+    numbered.write.option("compression", "zstd").parquet(f"{path}/recipes")
     _manifest(spark, path).coalesce(1).write.parquet(f"{path}/manifest")
     for f in {x.rsplit("/", 1)[0] for x in encoded.inputFiles()}:
         delete(spark, f)
 
 
+def _roots(lists: DataFrame, schema: str) -> DataFrame:
+    """Replace the column ``leaves``, ordered (at, root) pairs, by their Merkle root; the other columns stay as they are."""
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("leaves")
+            roots = pa.array([merkle([x["root"] for x in leaves]) for leaves in batch.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([roots if i == at else c for i, c in enumerate(batch.columns)], names=["root" if n == "leaves" else n for n in batch.schema.names])
+
+    return lists.mapInArrow(run, schema)
+
+
 def _manifest(spark: SparkSession, path: str) -> DataFrame:
     """Merkle roots of the recipe parts, in blocks of 4096 documents, and of all parts; computed from recipes alone."""
-    rows = spark.read.parquet(f"{path}/recipes").select("part", "doc_id", "start", "n_tokens", "root")
-    place = F.row_number().over(W.partitionBy("part").orderBy("start", "root")) - 1
-    blocks = rows.withColumn("block", F.floor(place / 4096)).groupBy("part", "block").agg(
-        F.array_sort(F.collect_list(F.struct("start", "root"))).alias("leaves"), F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens")
-    )
-    root = F.udf(lambda leaves: merkle([bytes(x["root"]) for x in leaves]), "binary")
-    parts = blocks.withColumn("root", root("leaves")).groupBy("part").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("block").alias("start"), "root"))).alias("leaves"), F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")
-    ).withColumn("root", root("leaves")).select("part", "documents", "tokens", "root")
-    whole = parts.agg(F.array_sort(F.collect_list(F.struct(F.col("part").alias("start"), "root"))).alias("leaves"), F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
-    return parts.union(whole.withColumn("root", root("leaves")).select(F.lit(-1).alias("part"), "documents", "tokens", "root"))
+    rows = spark.read.parquet(f"{path}/recipes").select("part", "place", "n_tokens", "root")
+    leaves = lambda at: F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), "root"))).alias("leaves")
+    blocks = rows.groupBy("part", F.floor(F.col("place") / 4096).alias("block")).agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"), leaves("place"))
+    blocks = _roots(blocks, "part int, block long, documents long, tokens long, root binary")
+    parts = _roots(blocks.groupBy("part").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"), leaves("block")), "part int, documents long, tokens long, root binary")
+    # one row a recipe file
+    parts = materialise(parts.select("part", F.coalesce(F.sum("tokens").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"), "documents", "tokens", "root"), "store-parts")
+    whole = parts.agg(F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), leaves("part"))
+    whole = _roots(whole, "documents long, tokens long, root binary").select(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("start"), "documents", "tokens", "root")
+    return parts.union(whole)
 
 
 def verify_manifest(spark: SparkSession, path: str) -> None:
-    """Raise unless the recipes give the manifest's roots and counts. Its rows number one a recipe file."""
-    stored = spark.read.parquet(f"{path}/manifest")
-    again = _manifest(spark, path)
-    differ = stored.exceptAll(again).union(again.exceptAll(stored)).limit(1).count()
-    if differ:
+    """Raise unless the recipes give the manifest's starts, counts and roots. Its rows number one a recipe file."""
+    names = ["start", "documents", "tokens", "root"]
+    stored = spark.read.parquet(f"{path}/manifest").select("part", F.struct(*names).alias("have"))
+    again = _manifest(spark, path).select("part", F.struct(*names).alias("want"))
+    if not stored.join(again, "part", "full").where(~F.col("have").eqNullSafe(F.col("want"))).isEmpty():
         raise ValueError(f"{path}: recipes differ from the manifest")
 
 
+def _recipes(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, root, chunks), with ``start`` over all parts."""
+    starts = spark.read.parquet(f"{path}/manifest").where("part >= 0").select("part", F.col("start").alias("_first"))
+    # the manifest has one row a recipe file
+    return spark.read.parquet(f"{path}/recipes").join(F.broadcast(starts), "part").select("doc_id", (F.col("_first") + F.col("offset")).alias("start"), "n_tokens", "root", "chunks")
+
+
 def _advance(crcs: np.ndarray, zeros: np.ndarray) -> np.ndarray:
     """What each crc32 becomes when its bytes are followed by as many zero bytes, without the final inversions."""
     matrix = np.array([0xEDB88320, *[1 << i for i in range(31)]], dtype=np.uint32)  # one zero bit
@@ -271,15 +318,19 @@ def crc_join(crcs: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.ndarr
     return np.bitwise_xor.reduceat(_advance(crcs, after), first).astype(np.int64)
 
 
-def chunk_sums(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
+def unpack(blob: bytes, n: int) -> np.ndarray:
+    """The n ids of a chunk; its size tells their width."""
+    return np.frombuffer(blob, dtype="<u4" if len(blob) == 4 * n else "<u2")
+
+
+def chunk_sums(spark: SparkSession, path: str) -> DataFrame:
     """(address, n, crc) of every stored chunk, read from its bytes; crc32 is over the ids as little-endian unsigned 32 bits."""
-    dtype = "<u4" if wide else "<u2"
 
     def run(batches):
         for batch in batches:
             crcs, sizes = [], []
             for address, n, blob in zip(batch.column("address").to_pylist(), batch.column("n_ids").to_pylist(), batch.column("ids").to_pylist()):
-                ids = np.frombuffer(blob, dtype=dtype)
+                ids = unpack(blob, n)
                 if sha256(blob).digest() != address or len(ids) != n:
                     raise ValueError(f"chunk {address.hex()} does not match its address")
                 crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
@@ -289,12 +340,12 @@ def chunk_sums(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
     return spark.read.parquet(f"{path}/chunks").select("address", "n_ids", "ids").mapInArrow(run, "address binary, n int, crc long")
 
 
-def read_sums(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
+def read_sums(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, n_chunks) of every document, from the store's files, verified."""
     verify_manifest(spark, path)
-    recipes = spark.read.parquet(f"{path}/recipes")
+    recipes = _recipes(spark, path)
     steps = recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode("chunks").alias("pos", "address"))
-    met = steps.join(chunk_sums(spark, path, wide), "address", "left")
+    met = steps.join(chunk_sums(spark, path), "address", "left")
     lists = met.groupBy("doc_id", "start", "n_tokens", "root").agg(F.array_sort(F.collect_list(F.struct("pos", "address", "n", "crc"))).alias("steps"))
     kind = dict(recipes.dtypes)["doc_id"]
 
@@ -319,25 +370,27 @@ def read_sums(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
     return lists.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, n_chunks int")
 
 
-def read_documents(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids ARRAY<INT>) of every document, rebuilt from its chunks and verified against its root."""
-    chunks = spark.read.parquet(f"{path}/chunks")
-    recipes = spark.read.parquet(f"{path}/recipes")
-    steps = recipes.select("doc_id", "start", "root", F.posexplode("chunks").alias("pos", "address")).join(chunks, "address", "left")
-    lists = steps.groupBy("doc_id", "start", "root").agg(F.array_sort(F.collect_list(F.struct("pos", "address", "ids"))).alias("steps"))
-    dtype = "<u4" if wide else "<u2"
+    recipes = _recipes(spark, path)
+    steps = recipes.select("doc_id", "start", "root", F.posexplode("chunks").alias("pos", "address")).join(spark.read.parquet(f"{path}/chunks"), "address", "left")
+    lists = steps.groupBy("doc_id", "start", "root").agg(F.array_sort(F.collect_list(F.struct("pos", "address", "n_ids", "ids"))).alias("steps"))
+    kind = dict(recipes.dtypes)["doc_id"]
 
-    @F.udf("array<int>")
-    def rebuild(root, steps_):
-        if any(s["ids"] is None or sha256(bytes(s["ids"])).digest() != bytes(s["address"]) for s in steps_) or merkle([bytes(s["address"]) for s in steps_]) != bytes(root):
-            raise ValueError("a document does not match its root")
-        return np.frombuffer(b"".join(bytes(s["ids"]) for s in steps_), dtype=dtype).astype(int).tolist()
+    def run(batches):
+        for batch in batches:
+            rebuilt = []
+            for root, steps_ in zip(batch.column("root").to_pylist(), batch.column("steps").to_pylist()):
+                if any(s["ids"] is None or sha256(s["ids"]).digest() != s["address"] for s in steps_) or merkle([s["address"] for s in steps_]) != root:
+                    raise ValueError("a document does not match its root")
+                rebuilt.append(np.concatenate([unpack(s["ids"], s["n_ids"]) for s in steps_]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(rebuilt, pa.list_(pa.int32()))], names=["doc_id", "start", "ids"])
 
-    return lists.select("doc_id", "start", rebuild("root", "steps").alias("ids"))
+    return lists.mapInArrow(run, f"doc_id {kind}, start long, ids array<int>")
 
 
 def store_and_sum(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
     """Write a store in the shared folder and return what reading it back gives."""
     path = new_path(docs.sparkSession, "token-store")
     write_store(docs, path, tokenizer_path, **options)
-    return read_sums(docs.sparkSession, path, options.get("wide", False))
+    return read_sums(docs.sparkSession, path)

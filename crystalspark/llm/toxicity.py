@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crystalspark.llm.common import materialise, raw
+from crystalspark.llm.common import free_name, materialise, raw, worker_state
 
 #: Labelled rows that fit the classifier, at most; its inputs; documents that an input has to be in.
 SAMPLE, INPUTS, LEAST = 12_000, 2500, 4
+#: Letters of the longest word looked for in letters set apart.
+LONGEST = 16
 #: Words a task remembers.
 CACHE = 300_000
 #: What a sign may stand for (fixed values: common leetspeak and look-alikes).
@@ -51,20 +53,23 @@ def symbol(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
 
 
-_SYMBOLS = np.array([i - 96 if 97 <= i <= 122 else 27 if i >= 128 else 0 for i in range(256)], dtype=np.int32)
+def _symbols() -> np.ndarray:
+    """``symbol`` of every code point, built once a worker."""
+    state = worker_state()
+    if "symbols" not in state:
+        state["symbols"] = np.fromiter((symbol(chr(i)) for i in range(0x110000)), dtype=np.uint8, count=0x110000)
+    return state["symbols"]
 
 
 def character_counts(docs: DataFrame) -> DataFrame:
     """(code, n): symbol trigrams of the ``raw`` texts."""
 
     def run(batches):
-        total = np.zeros(_SIZE**3, dtype=np.int64)
-        for batch in batches:
-            for body in batch.column("raw").to_pylist():
-                s = _SYMBOLS[np.frombuffer(b"  " + body.lower() + b" ", dtype=np.uint8)]
-                total += np.bincount((s[:-2] * _SIZE + s[1:-1]) * _SIZE + s[2:], minlength=_SIZE**3) if len(s) > 20_000 else 0
-                if len(s) <= 20_000:
-                    np.add.at(total, (s[:-2] * _SIZE + s[1:-1]) * _SIZE + s[2:], 1)
+        total, table = np.zeros(_SIZE**3, dtype=np.int64), _symbols()
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            line = "".join("  " + body.decode("utf-8", "replace").lower() for body in batch.column("raw").to_pylist()) + " "
+            s = table[np.frombuffer(line.encode("utf-32-le"), dtype=np.uint32)].astype(np.int32)
+            total += np.bincount((s[:-2] * _SIZE + s[1:-1]) * _SIZE + s[2:], minlength=_SIZE**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["code", "n"])
 
@@ -117,11 +122,11 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(token: str, model: list) -> str:
-    """The cheapest reading of a token; ``model`` is -log p nested as [a][b][c]."""
-    states = {(0, 0): (0.0, "")}
+    """The cheapest reading of a token; ``model`` is -log p nested as [a][b][c]. Time and memory grow with its length."""
+    states: dict[tuple[int, int], tuple] = {(0, 0): (0.0, None)}  # cost and the chain of readings
     for options in lattice(token):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in states.items():
+        after: dict[tuple[int, int], tuple] = {}
+        for (a, b), (cost, chain) in states.items():
             for reading, price in options:
                 x, y, total = a, b, cost + price
                 for c in reading:
@@ -129,9 +134,14 @@ def decode(token: str, model: list) -> str:
                     total += model[x][y][s]
                     x, y = y, s
                 if (x, y) not in after or total < after[x, y][0]:
-                    after[x, y] = (total, text + reading)
+                    after[x, y] = (total, (chain, reading))
         states = after
-    return min(((cost + model[a][b][0], text) for (a, b), (cost, text) in states.items()), default=(0.0, token))[1].strip()
+    chain = min(((cost + model[a][b][0], k, chain) for k, ((a, b), (cost, chain)) in enumerate(states.items())), default=(0.0, 0, None))[2]
+    parts = []
+    while chain is not None:
+        chain, reading = chain
+        parts.append(reading)
+    return "".join(reversed(parts)).strip()
 
 
 def restore_word(word: str, model: list) -> str:
@@ -142,7 +152,7 @@ def restore_word(word: str, model: list) -> str:
         word = unicodedata.normalize("NFKC", word).lower()
     bare = word.strip("".join(FILLERS) + "()[]{}<>«»“”„|+")
     if _ODD.search(bare):
-        return decode(bare[:64], model) if len(bare) <= 64 else " ".join(decode(bare[i : i + 64], model) for i in range(0, len(bare), 64))
+        return decode(bare, model)
     return bare.strip("!$@")
 
 
@@ -170,7 +180,7 @@ def inputs_of(word: str) -> list[str]:
 def inputs_of_run(reading: str) -> list[str]:
     """Inputs of a run of letters set apart: words may lie anywhere in it."""
     s = reading.replace(" ", "")
-    return ["=" + s[i : i + k] for k in range(4, 12) for i in range(len(s) - k + 1)] + [x for i in range(len(s)) for x in (s[i : i + 4], s[i : i + 5], s[i : i + 6])]
+    return ["=" + s[i : i + k] for k in range(3, LONGEST + 1) for i in range(len(s) - k + 1)] + [x for i in range(len(s)) for x in (s[i : i + 4], s[i : i + 5], s[i : i + 6])]
 
 
 class Reader:
@@ -195,8 +205,9 @@ class Reader:
             if found:
                 out.update(found)
         for run in apart(low):
-            for at in range(0, len(run), 48):  # pieces overlap by a word's length
-                out.update(self.pick(inputs_of_run(decode(run[max(0, at - 16) : at + 48], self.model))))
+            reading = decode(run, self.model).replace(" ", "")
+            for at in range(0, len(reading), 1 << 12):  # pieces overlap by a word's length
+                out.update(self.pick(inputs_of_run(reading[max(0, at - LONGEST) : at + (1 << 12)])))
         return out
 
 
@@ -230,7 +241,14 @@ def logistic(rows: list[list[int]], labels: np.ndarray, size: int, penalty: floa
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> Classifier:
-    """Learn from rows of ``labels`` that ``learn`` (over doc_id) picks, at most ``SAMPLE`` by hash."""
+    """Learn from rows of ``labels`` that ``learn`` (over doc_id) picks, at most ``SAMPLE`` by hash.
+
+    Rows without an id or label, and labels without a document, teach nothing;
+    an id with several labels teaches each; null texts are empty; very long
+    texts are read whole. With no label, or labels of one kind only, the model
+    is its bias. Only the id and label of ``labels`` and the id and text of
+    ``docs`` are read, so other columns may have any name.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), raw(text).alias("raw"))
     letters = character_model(rows).tolist()
@@ -280,8 +298,10 @@ def score(docs: DataFrame, classifier: Classifier, text: str = "text", name: str
     Null and empty texts score by the bias alone; every input row returns once;
     columns named like the added ones are replaced. The text stays.
     """
-    rows = docs.drop(name, *([keep_restored] if keep_restored else [])).withColumn("_raw", raw(text))
-    schema = rows.drop("_raw").schema.add(name, "double")
+    rows = docs.drop(name, *([keep_restored] if keep_restored else []))
+    body = free_name(rows.columns, "raw")
+    rows = rows.withColumn(body, raw(text))
+    schema = rows.drop(body).schema.add(name, "double")
     if keep_restored:
         schema = schema.add(keep_restored, "string")
     given = docs.sparkSession.sparkContext.broadcast(classifier.state())
@@ -290,9 +310,9 @@ def score(docs: DataFrame, classifier: Classifier, text: str = "text", name: str
         letters, inputs, weights, bias = given.value
         read = Reader(letters, inputs)
         for batch in batches:
-            bodies = [b.decode("utf-8", "replace") for b in batch.column("_raw").to_pylist()]
+            bodies = [b.decode("utf-8", "replace") for b in batch.column(body).to_pylist()]
             z = np.array([bias + weights[sorted(read(b))].sum() if inputs else bias for b in bodies])
-            columns = [c for n, c in zip(batch.schema.names, batch.columns) if n != "_raw"]
+            columns = [c for n, c in zip(batch.schema.names, batch.columns) if n != body]
             columns.append(pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))), pa.float64()))
             if keep_restored:
                 columns.append(pa.array([restore(b, letters) for b in bodies], pa.string()))

@@ -50,3 +50,32 @@ def test_written_shards_and_pruning(spark, docs, rows):
     assert data.count() == len(rows) and {r.rows for r in manifest.collect()} <= {len(rows) // 6, len(rows) // 6 + 1}
     alive = {r.shard for r in hs.prune(manifest, "source", "src2", "src2").collect()}
     assert {r.shard for r in data.where("source = 'src2'").select("shard").distinct().collect()} <= alive
+
+
+def test_order_along_the_curve(spark, docs, rows):
+    """Brute force: cells by quantiles of the numbers, strings by the rows before them; equal texts move to their smallest id's place."""
+    import bisect
+
+    found = hs.assign(docs, bits=3).collect()
+    columns = []
+    for at in (3, 2, None):
+        values = [len((r[1] or "").encode()) + 16 if at is None else r[at] for r in rows]
+        if at is not None:
+            line = sorted(v for v in values if v is not None)
+            values = [-1 if v is None else bisect.bisect_left(line, v) for v in values]
+        line = sorted(values)
+        cuts = sorted({line[max(0, -(-len(line) * i // 8) - 1)] for i in range(1, 8)})
+        columns.append([bisect.bisect_right(cuts, v) for v in values])
+    own = hs.hilbert_index(np.array(columns).T, 3)
+    key = lambda r: (-1 if r[0] is None else r[0], zlib.crc32((r[1] or "").encode()))
+    home = {}
+    for r, c in zip(rows, own.tolist()):
+        home.setdefault(key(r)[1], []).append((key(r)[0], c))
+    assert {(k, c): min(v for v in home[c])[1] for k, c in map(key, rows)} == {(-1 if r.doc_id is None else r.doc_id, r.text_crc32): r.curve for r in found}
+
+
+def test_long_common_beginnings_tell_apart(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", f"https://site{i % 9}.org") for i in range(90)], "doc_id long, text string, source string")
+    written = hs.materialise(docs.withColumn("size", hs.size_of()), "test-rows")
+    numbers = hs.as_numbers(written, {"n": "source"}).select("source", "n").distinct().collect()
+    assert sorted((r.source, r.n) for r in numbers) == [(f"https://site{i}.org", 10.0 * i) for i in range(9)]

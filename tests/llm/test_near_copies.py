@@ -1,6 +1,6 @@
 import random
 
-import corpus_pipeline as cp
+from crystalspark.llm import pipeline as cp
 from crystalspark.llm import mixing
 from crystalspark.llm import near_copies as nc
 from tests.llm.conftest import SCHEMA

@@ -43,7 +43,7 @@ def test_empty_table(spark, no_docs):
 def test_rebuilt_ids_and_single_storage(spark, docs, rows):
     path = new_path(spark, "test-store")
     ts.write_store(docs, path, tokenizer_path(), wide=True)
-    found = ts.read_documents(spark, path, wide=True).collect()
+    found = ts.read_documents(spark, path).collect()
     key = lambda x: (-1 if x[0] is None else x[0], x[1])
     assert sorted(((r.doc_id, r.ids) for r in found), key=key) == sorted(expected(rows), key=key)
     chunks = spark.read.parquet(path + "/chunks")
