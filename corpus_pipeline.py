@@ -1,68 +1,5 @@
-"""A corpus pipeline over ``documents``: five stages, each written and read again.
+"""The corpus pipeline: toxicity, near duplicates, decontamination, mixing, sharding (see ``crystalspark.llm.pipeline``)."""
 
-Toxic documents go, one document of each near-duplicate group stays, documents
-that hold benchmark passages go, the sources are mixed to their target weights,
-and what is left is sharded along a Hilbert curve. Every stage but the last
-returns the columns of its input.
-"""
+from crystalspark.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from crystalspark.llm import decontaminate, hilbert_shards, mixing, near_copies, registry, toxicity
-from crystalspark.llm.common import materialise, table
-
-#: Share of the tokens that the mix asks for; a document is taken once at most.
-MIX_FRACTION, MIX_EPOCHS, SHARDS = 0.9, 1, 40
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold; the classifier learns from this stage's input."""
-    classifier = registry.toxicity_classifier(spark, sf_dir, docs.select("doc_id", "text"))
-    return toxicity.score(docs, classifier, name="_score").where(F.col("_score") < registry.TOXIC).select(*docs.columns)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by 5-word similarity 0.8 or more, the row with the smallest doc_id (nulls last, then by place)."""
-    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
-    found = near_copies.groups(rows.select("_row", "text"), "_row").withColumnRenamed("row", "_row").join(rows.select("_row", "doc_id"), "_row")
-    stay = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_least")).select(F.col("_least._row").alias("_row"))
-    return rows.join(stay, "_row", "left_semi").select(*docs.columns)
-
-
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), remove="documents", n=10)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix's choice, row by row."""
-    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
-    chosen = mixing.mix(mixing.with_domain(rows), fraction=MIX_FRACTION, max_epochs=MIX_EPOCHS, row="_row").select("_row")
-    return rows.join(chosen, "_row", "left_semi").select(*docs.columns)
-
-
-def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return hilbert_shards.assign(docs, shards=SHARDS, law="rows").select("doc_id", "lang", "source", "size", "text_crc32", "curve", "shard", "slot")
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("near_duplicates", drop_near_duplicates),
-    ("decontamination", drop_contaminated),
-    ("mixing", mix_sources),
-    ("sharding", shard),
-]
-
-#: No SQL: the first stages train a model and follow links of fingerprints.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for at, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at < len(STAGES) - 1:
-            docs = materialise(docs, f"pipeline-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
