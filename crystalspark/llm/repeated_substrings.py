@@ -19,8 +19,17 @@ order, the transform (the symbol before each suffix, in that order) and the
 common prefixes of neighbours. Suffixes of different columns never need
 comparing, as equal strings are aligned; each round therefore keeps its own
 column's segment. Pieces, order, prefixes and transform live in external files
-that are read and written in sequence. A suffix whose common prefix with a
-neighbour reaches ``length`` is a repeat.
+that are read and written in sequence, a block of columns at a time. A suffix
+whose common prefix with a neighbour reaches ``length`` is a repeat. (Only the
+order and the prefixes carry over to the next round; the transform is a
+product of the construction that nothing here reads.)
+
+An anchor with more than ``HOT`` different pieces is split: a string of
+``length`` bytes that two pieces share reaches x bytes before the anchor and at
+least ``reach - x`` after it, so for some i both pieces agree in the i * step
+bytes before it and the ``reach - (i + 1) * step`` bytes after it. Pieces that
+agree so form a group each; groups that are still large are split by a finer
+step.
 
 Texts are named by a 64-bit hash and their length; equal texts are one text
 that counts several times. The texts are kept in a table bucketed by that
@@ -46,6 +55,10 @@ from crystalspark.llm.common import delete, materialise, new_path, raw, shared_d
 GRAM = 160
 #: Starts of a long text looked at in one go; pieces of one construction.
 SEGMENT, PIECES = 1 << 20, 1 << 15
+#: Different pieces of an anchor that are compared without a split; parts of the reach that the splits step by.
+HOT, SPLITS = 2048, (4, 30)
+#: Columns between two writes of the external files.
+COLUMNS = 64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -144,24 +157,25 @@ class ColumnwiseBuilder:
     def rounds(self, groups: np.ndarray):
         """Yield (column, order, prefixes) from the last column to the first.
 
-        ``groups`` is the sorted group of each piece; suffixes sort within it.
-        ``prefixes[k]`` is what order[k] shares with order[k - 1] (0 across groups).
+        ``groups`` is the sorted group of each piece, as numbers from 0;
+        suffixes sort within it. ``prefixes[k]`` is what order[k] shares with
+        order[k - 1] (0 across groups).
         """
         self.rows.close()
-        m, groups = self.count, groups.astype(np.int64)
+        m, groups = self.count, groups.astype(np.uint16 if not len(groups) or groups[-1] < 1 << 16 else np.int64)
         self._save("order", np.arange(m, dtype="<i4"))
         self._save("prefixes", np.zeros(m, dtype="<u2"))
         with self.fs.open_output_stream(f"{self.root}/transform") as transform:
-            for low in range((self.columns - 1) // 64 * 64, -1, -64):
-                block = self._block(low, min(low + 64, self.columns))
+            for low in range((self.columns - 1) // COLUMNS * COLUMNS, -1, -COLUMNS):
+                block = self._block(low, min(low + COLUMNS, self.columns))
+                order, prefixes = self._load("order", "<i4"), self._load("prefixes", "<u2")
                 for k in range(len(block) - 1, -1, -1):
-                    order, prefixes = self._load("order", "<i4"), self._load("prefixes", "<u2")
                     symbols = block[k][order]
                     transform.write(symbols.astype("<u2").tobytes())  # what stands before each sorted suffix
-                    key = groups * 512 + symbols
-                    place = np.argsort(key, kind="stable")
-                    key, shared = key[place], np.zeros(m, dtype=np.uint16)
-                    same = np.flatnonzero((key[1:] == key[:-1]) & (symbols[place][1:] > 0)) + 1
+                    place = np.argsort(symbols, kind="stable")
+                    place = place[np.argsort(groups[place], kind="stable")]
+                    first, shared = symbols[place], np.zeros(m, dtype=np.uint16)
+                    same = np.flatnonzero((first[1:] == first[:-1]) & (groups[1:] == groups[:-1]) & (first[1:] > 0)) + 1
                     if len(same):
                         p, q = place[same - 1], place[same]
                         least = prefixes[q].copy()
@@ -171,39 +185,43 @@ class ColumnwiseBuilder:
                             least[far] = np.minimum.reduceat(np.append(prefixes, np.uint16(0)), bounds)[::2]
                         # before the first round suffixes are empty and share nothing
                         shared[same] = least + np.uint16(1)
-                    order = order[place]
-                    self._save("order", order.astype("<i4"))
-                    self._save("prefixes", shared.astype("<u2"))
-                    yield low + k, order, shared
+                    order, prefixes = order[place], shared
+                    yield low + k, order, prefixes
+                self._save("order", order.astype("<i4"))
+                self._save("prefixes", prefixes.astype("<u2"))
 
     def close(self) -> None:
         self.rows.close()
         self.fs.delete_dir(self.root)
 
 
-def repeated_ranges(folder: str, pieces: list[tuple[int, int, bytes]], length: int, gram: int) -> np.ndarray:
-    """Column range (first, past last; -1, -1 if none) of each piece that a string of another piece of its group repeats.
+def found_ranges(builder: ColumnwiseBuilder, groups: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Column range (first, past last; -1, -1 if none) of each piece of the builder that a string of another piece of its group repeats.
 
-    ``pieces``: (group, column of the first byte, bytes), sorted by group. The
-    strings all hold the anchor and so overlap: their union is one range.
+    ``groups`` is sorted. The strings all hold the anchor and so overlap: their
+    union is one range.
     """
     reach = length - gram
-    builder = ColumnwiseBuilder(folder, reach + length)
+    first, last = np.full(builder.count, -1), np.full(builder.count, -1)
+    for column, order, shared in builder.rounds(np.unique(groups, return_inverse=True)[1]):
+        if column > reach:
+            continue
+        long = shared >= length
+        if long.any():
+            hit = order[long | np.append(long[1:], False)]
+            first[hit] = column
+            fresh = hit[last[hit] < 0]
+            last[fresh] = column + length
+    return np.stack([first, last], axis=1)
+
+
+def repeated_ranges(folder: str, pieces: list[tuple[int, int, bytes]], length: int, gram: int) -> np.ndarray:
+    """``found_ranges`` of (group, column of the first byte, bytes), sorted by group."""
+    builder = ColumnwiseBuilder(folder, 2 * length - gram)
     try:
         for _, column, piece in pieces:
             builder.add(piece, column)
-        first, last = np.full(len(pieces), -1), np.full(len(pieces), -1)
-        groups = np.unique(np.array([g for g, _, _ in pieces]), return_inverse=True)[1]
-        for column, order, shared in builder.rounds(groups):
-            if column > reach:
-                continue
-            long = shared >= length
-            if long.any():
-                hit = order[long | np.append(long[1:], False)]
-                first[hit] = column
-                fresh = hit[last[hit] < 0]
-                last[fresh] = column + length
-        return np.stack([first, last], axis=1)
+        return found_ranges(builder, np.array([g for g, _, _ in pieces]), length, gram)
     finally:
         builder.close()
 
@@ -257,31 +275,77 @@ def _occurrences(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _compare(met: DataFrame, folder: str, length: int, gram: int) -> DataFrame:
-    """(anchor, piece, low, high) relative to the anchor, from (anchor, piece, place, bytes) sorted by anchor within partitions."""
+    """(anchor, piece, low, high) relative to the anchor, from (group, anchor, piece, place, bytes) sorted by group within partitions."""
     reach = length - gram
 
-    def flush(rows):
-        found = repeated_ranges(f"{folder}/{uuid.uuid4().hex}", [(a, reach - min(p, reach), b) for a, _, p, b in rows], length, gram)
+    def flush(builder, rows):
+        try:
+            found = found_ranges(builder, np.array([g for g, _, _ in rows], dtype=np.int64), length, gram)
+        finally:
+            builder.close()
         keep = np.flatnonzero(found[:, 0] >= 0)
         return pa.RecordBatch.from_arrays(
-            [pa.array([rows[i][0] for i in keep], pa.int64()), pa.array([rows[i][1] for i in keep], pa.int64()), pa.array(found[keep, 0] - reach, pa.int64()), pa.array(found[keep, 1] - reach, pa.int64())],
+            [pa.array([rows[i][1] for i in keep], pa.int64()), pa.array([rows[i][2] for i in keep], pa.int64()), pa.array(found[keep, 0] - reach, pa.int64()), pa.array(found[keep, 1] - reach, pa.int64())],
             names=["anchor", "piece", "low", "high"],
         )
 
     def run(batches):
-        rows = []
+        builder, rows = None, []
         for batch in batches:
-            rows += zip(*(batch.column(c).to_pylist() for c in ("anchor", "piece", "place", "bytes")))
-            if len(rows) >= PIECES and rows[0][0] != rows[-1][0]:
-                cut = next(i for i in range(len(rows) - 1, -1, -1) if rows[i][0] != rows[-1][0]) + 1
-                yield flush(rows[:cut])
-                rows = rows[cut:]
+            for g, a, piece, place, body in zip(*(batch.column(c).to_pylist() for c in ("group", "anchor", "piece", "place", "bytes"))):
+                if len(rows) >= PIECES and rows[-1][0] != g:
+                    yield flush(builder, rows)
+                    builder, rows = None, []
+                if builder is None:
+                    builder = ColumnwiseBuilder(f"{folder}/{uuid.uuid4().hex}", reach + length)
+                builder.add(body, reach - min(place, reach))
+                rows.append((g, a, piece))
         if rows:
-            yield flush(rows)
+            yield flush(builder, rows)
 
     return met.mapInArrow(run, "anchor long, piece long, low long, high long")
 
 
+def _context_groups(fetched: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
+    """(group, anchor, piece): for each of ``parts`` splits of the reach, the hash of a piece's bytes just before and after the anchor.
+
+    A piece that is too short for a split has no group there.
+    """
+    reach = length - gram
+    step = -(-reach // parts)
+
+    def run(batches):
+        for batch in batches:
+            groups, anchors_, pieces = [], [], []
+            for a, piece, place, body in zip(*(batch.column(c).to_pylist() for c in ("anchor", "piece", "place", "bytes"))):
+                at = min(place, reach)
+                for i in range(parts):
+                    before, after = i * step, max(0, reach - (i + 1) * step)
+                    if before <= at and at + gram + after <= len(body):
+                        groups.append(xxhash.xxh3_64_intdigest(body[at - before : at + gram + after], seed=i))
+                        anchors_.append(a)
+                        pieces.append(piece)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(groups, dtype=np.uint64).view(np.int64)), pa.array(anchors_, pa.int64()), pa.array(pieces, pa.int64())], names=["group", "anchor", "piece"])
+
+    return fetched.mapInArrow(run, "group long, anchor long, piece long")
+
+
+def _split(fetched: DataFrame, length: int, gram: int) -> DataFrame:
+    """(group, anchor, piece, place, bytes) of the pieces of hot anchors, dealt into groups that all pairs with a common string share."""
+    todo, done = fetched, None
+    for level, parts in enumerate(SPLITS):
+        last = level == len(SPLITS) - 1
+        keyed = materialise(_context_groups(todo, parts, length, gram), "repeats-groups")
+        sizes = materialise(keyed.groupBy("group").agg(F.count("*").alias("_n")).where("_n > 1"), "repeats-sizes")
+        fit = keyed.join(sizes if last else sizes.where(F.col("_n") <= HOT), "group").drop("_n")
+        done = fit if done is None else done.union(fit)
+        large = sizes.where(F.col("_n") > HOT)
+        if last or large.isEmpty():
+            break
+        todo = fetched.join(keyed.join(large, "group").select("anchor", "piece").distinct(), ["anchor", "piece"])
+    return done.join(fetched, ["anchor", "piece"]).select("group", "anchor", "piece", "place", "bytes")
+
+
 def _fetch(texts: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
     """(anchor, piece, place, bytes) of the wanted (key, size, anchor, piece, place)."""
     reach = length - gram
@@ -312,13 +376,17 @@ def repeats(texts: DataFrame, length: int = 400, gram: int = GRAM) -> DataFrame:
     _drop(seen)
     pieces = met.groupBy("anchor", "piece").agg(F.sum("copies").alias("n"), F.min(F.struct("key", "size", "place")).alias("one"))
     pieces = materialise(pieces, "repeats-pieces")
-    several = pieces.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor")
+    several = materialise(pieces.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1"), "repeats-several")
     # a piece met twice repeats as a whole and still has to be compared with
-    wanted = pieces.join(several, "anchor").select("one.*", "anchor", "piece")
+    wanted = lambda which: pieces.join(several.where(which).select("anchor"), "anchor").select("one.*", "anchor", "piece")
+    names = ["group", "anchor", "piece", "place", "bytes"]
+    compared = _fetch(texts, wanted(F.col("_n") <= HOT), length, gram).withColumn("group", F.col("anchor")).select(*names)
+    if not several.where(F.col("_n") > HOT).isEmpty():
+        compared = compared.union(_split(materialise(_fetch(texts, wanted(F.col("_n") > HOT), length, gram), "repeats-hot"), length, gram))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fetched = _fetch(texts, wanted, length, gram).repartition(parts, "anchor").sortWithinPartitions("anchor", "piece")
+    compared = compared.repartition(parts, "group").sortWithinPartitions("group", "anchor", "piece")
     folder = f"{shared_dir(spark)}/repeats-build"
-    ranges = materialise(_compare(fetched, folder, length, gram), "repeats-ranges")
+    ranges = materialise(_compare(compared, folder, length, gram), "repeats-ranges").groupBy("anchor", "piece").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     marked = pieces.select("anchor", "piece", (F.col("n") > 1).alias("whole")).join(ranges, ["anchor", "piece"], "left").where("whole OR low IS NOT NULL")
     marked = materialise(marked, "repeats-marked")
     side, end = F.least(F.col("place"), F.lit(reach)), F.least(F.col("size") - F.col("place"), F.lit(length))

@@ -93,3 +93,14 @@ def test_columns_give_the_sorted_order_and_prefixes(tmp_path):
                 n += 1
             assert shared[k] == n
     builder.close()
+
+
+def test_hot_anchors_are_split(spark, monkeypatch):
+    monkeypatch.setattr(rs, "HOT", 3)
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
+    line, passage = word(230), word(700)
+    rows = planted(3) + [(200 + i, word(rng.randint(0, 500)) + line + word(rng.randint(0, 500))) for i in range(40)]
+    rows += [(300 + i, word(50) + passage[:i * 17] + "#" + passage[i * 17:] + word(90)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    check(rs.remove_repeats(df).collect(), rows, 400)
