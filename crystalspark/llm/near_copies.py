@@ -7,13 +7,16 @@ are therefore named by shingles: sets are ordered by hash, and two sets that
 are similar enough share a value in their first few (prefix filter: of sizes
 m <= n, the first m - ceil(2t/(1+t) m) + 1 and the first n - ceil(t n) + 1 for
 similarity t), so every linked pair meets in a shard. In each shard a BK-tree
-of the fingerprints is walked within ``RADIUS`` bits. What it finds passes an
-exact bound from 512 parity bits a set, and every link is checked on the whole
-texts.
+of the fingerprints is walked within ``RADIUS`` bits, one for each band of
+sizes and the next. What it finds passes an exact bound from 512 parity bits a
+set, has to share enough shards (of the k first values of the smaller set, four
+fifths on average, ``SHY`` deviations less at least), and every link is then
+checked on the whole texts.
 
 Fingerprints of sets at the bound differ in 9.7 bits with a deviation of 2.9,
-so ``RADIUS`` loses less than one link in 10^7; sets of fewer than ``SMALL``
-shingles, whose bits vary more, meet without a radius and lose none.
+so ``RADIUS`` loses less than two links in 10^5 of those just at the bound, and
+fewer above it; sets of fewer than ``SMALL`` shingles, whose bits vary more,
+meet without a radius and lose none.
 
 Dense groups do not become all their pairs: first every set meets only the few
 neighbours it shares most values with, and once those links are followed, the
@@ -34,7 +37,9 @@ from crystalspark.llm.common import delete, materialise, raw
 from crystalspark.llm.simhash_bktree import BKForest, components, majority
 
 #: Bits that the fingerprints of a linked pair may differ in; shingles of a set that is searched without it.
-RADIUS, SMALL = 26, 64
+RADIUS, SMALL = 22, 64
+#: Deviations that the number of shards a pair shares may stay below its mean.
+SHY = 5
 #: Longs of parity bits of a set; buckets of its counts.
 LONGS, BUCKETS = 8, 512
 BITS = [f"s{i}" for i in range(LONGS)]
@@ -113,15 +118,24 @@ def tree_pairs(met: DataFrame, num: int, den: int) -> DataFrame:
     def flush(t: dict):
         shingle, key, n, near, comp, fp = (t[c] for c in names[:6])
         bits, found = np.stack([t[s] for s in BITS], axis=1), []
-        forest = BKForest(fp.view(np.uint64), shingle)
-        for i, j in forest.search(np.where(n < SMALL, 64, RADIUS)):  # the smaller set of a pair comes first
+        # sizes of a linked pair lie in one band or in neighbouring ones: group g holds bands g and g + 1
+        band = np.floor(np.log(np.maximum(n, 1)) / np.log(den / num) + 1e-9).astype(np.int64)
+        of, group = np.tile(np.arange(len(n)), 2), np.concatenate([band, band - 1])
+        order = np.lexsort((of, group, shingle[of]))
+        of, group = of[order], group[order]
+        fresh = np.ones(len(of), dtype=bool)
+        fresh[1:] = (group[1:] != group[:-1]) | (shingle[of[1:]] != shingle[of[:-1]])
+        forest = BKForest(fp.view(np.uint64)[of], np.cumsum(fresh))
+        for i, j in forest.search(np.where(n < SMALL, 64, RADIUS)[of]):  # the smaller set of a pair comes first
+            first = band[of[i]] == group[i]
+            i, j = of[i[first]], of[j[first]]
             able = near[i] & (comp[i] != comp[j]) & (n[j] * num <= n[i] * den)
             a, b = i[able], j[able]
             apart = np.bitwise_count((bits[a] ^ bits[b]).view(np.uint64)).sum(axis=1, dtype=np.int64)
             hit = apart * (num + den) <= (den - num) * (n[a] + n[b])
             a, b = a[hit], b[hit]
             if len(a):
-                found.append(pa.RecordBatch.from_arrays([pa.array(np.minimum(key[a], key[b])), pa.array(np.maximum(key[a], key[b])), pa.array(shingle[a])], names=["a", "b", "cell"]))
+                found.append(pa.RecordBatch.from_arrays([pa.array(np.minimum(key[a], key[b])), pa.array(np.maximum(key[a], key[b])), pa.array(shingle[a]), pa.array(n[a])], names=["a", "b", "cell", "m"]))
         return found
 
     def run(batches):
@@ -137,7 +151,10 @@ def tree_pairs(met: DataFrame, num: int, den: int) -> DataFrame:
         if held is not None and len(held["shingle"]):
             yield from flush(held)
 
-    return dealt.mapInArrow(run, "a long, b long, cell long").groupBy("a", "b").agg(F.min("cell").alias("cell"))
+    pairs = dealt.mapInArrow(run, "a long, b long, cell long, m long").groupBy("a", "b").agg(F.min("cell").alias("cell"), F.count("*").alias("_n"), F.max("m").alias("m"))
+    first = F.col("m") - F.ceil(F.col("m") * (2 * num) / (num + den)) + 1
+    share = F.lit(num / den)
+    return pairs.where(F.col("_n") >= share * first - SHY * F.sqrt(share * (1 - share) * first)).select("a", "b", "cell")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -147,10 +164,11 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, nu
     all pairs it has there; a cell with many pairs becomes a square of cells.
     """
     spark = pairs.sparkSession
-    side = lambda s: sets.select(F.col("key").alias(s), F.col("n").alias(f"n{s}"), F.col("row").alias(f"r{s}"), *[F.col(x).alias(f"{x}{s}") for x in BITS])
+    side = lambda s: sets.select(F.col("key").alias(s), F.col("n").alias(f"n{s}"), F.col("row").alias(f"r{s}"), F.col("fp").alias(f"fp{s}"), *[F.col(x).alias(f"{x}{s}") for x in BITS])
     apart = sum((F.bit_count(F.col(f"{x}a").bitwiseXOR(F.col(f"{x}b"))) for x in BITS), F.lit(0))
     size = F.col("na") + F.col("nb")
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(apart * (num + den) <= (den - num) * size).select("a", "b", "cell", "ra", "rb", size.alias("n"))
+    reach = (F.bit_count(F.col("fpa").bitwiseXOR(F.col("fpb"))) <= RADIUS) | (F.least("na", "nb") < SMALL)
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(reach & (apart * (num + den) <= (den - num) * size)).select("a", "b", "cell", "ra", "rb", size.alias("n"))
     near = materialise(near, "copies-pairs")
     ways = near.groupBy("cell").agg(F.ceil(F.sqrt(F.sum("n") / F.lit(CELL))).alias("ways"))
     part = lambda c: F.pmod(F.xxhash64(c), F.col("ways"))
