@@ -34,12 +34,17 @@ def element_of_label(c: Column) -> Column:
     return F.regexp_extract(c, "^([A-Za-z]+)", 1)
 
 
-def normal_element(c: Column, known: list[str]) -> Column:
-    """An element symbol: letters only, D and T read as H; raw, capitalised, upper, lower and first letter are tried; null if none is known."""
-    v = F.regexp_replace(c, "[^A-Za-z]", "")
-    v = F.when(F.upper(v).isin("D", "T"), "H").otherwise(v)
-    tries = [v, F.initcap(v), F.upper(v), F.lower(v), F.upper(F.substring(v, 1, 1))]
-    return F.coalesce(*[F.when(t.isin(*known), t) for t in tries])
+def element_symbol(text: str, known) -> str | None:
+    """The known element that the letters of a symbol or label spell, or else their first one; D and T are hydrogen."""
+    v = "".join(c for c in text if c.isascii() and c.isalpha()).capitalize()
+    return "H" if v in ("D", "T") else next((x for x in (v, v[:1]) if x in known), None)
+
+
+def normal_element(c: Column, known) -> Column:
+    """``element_symbol`` as a column."""
+    v = F.initcap(F.regexp_replace(c, "[^A-Za-z]", ""))
+    first = F.substring(v, 1, 1)
+    return F.when(v.isin("D", "T"), "H").when(v.isin(*known), v).when(first.isin(*known), first)
 
 
 def safe_name(c: Column) -> Column:

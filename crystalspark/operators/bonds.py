@@ -6,8 +6,11 @@ so one shuffle by structure serves every step and no structure meets another.
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -31,7 +34,8 @@ def contacts(atoms: DataFrame, scale: float = 1.2, images: int = 1) -> DataFrame
     height exceeds the longest bond and coordinates lie within the cell.
     """
     radii = F.broadcast(dims.elements(atoms.sparkSession).select("element", "radius"))
-    both = pairs(atoms.join(radii, "element"), ["element", "radius", "x", "y", "z"])
+    sized = atoms.join(radii, "element", "left")
+    both = pairs(sized.withColumn("radius", dims.known(sized, "radius")), ["element", "radius", "x", "y", "z"])
     total = F.col("radius1") + F.col("radius2")
     both = both.withColumns({"_longest": total * g.bond_scale(F.col("element1"), F.col("element2"), scale)} | {f"_d{c}": F.col(f"{c}2") - F.col(f"{c}1") for c in "xyz"})
     delta = tuple(F.col(f"_d{c}") for c in "xyz")
@@ -101,7 +105,8 @@ def components(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
 def molecules(atoms: DataFrame, parts: DataFrame) -> DataFrame:
     """(structure_id, component, n_atoms, n_heavy, weight, formula) of every component."""
     mass = F.broadcast(dims.elements(atoms.sparkSession).select("element", "mass"))
-    counted = atoms.select("structure_id", "atom_idx", "element").join(parts, ["structure_id", "atom_idx"]).join(mass, "element")
+    counted = atoms.select("structure_id", "atom_idx", "element").join(parts, ["structure_id", "atom_idx"]).join(mass, "element", "left")
+    counted = counted.withColumn("mass", dims.known(counted, "mass"))
     each = counted.groupBy("structure_id", "component", "element").agg(F.count("*").alias("n"), F.sum("mass").alias("m"))
     return each.groupBy("structure_id", "component").agg(
         F.sum("n").alias("n_atoms"), F.sum(F.when(F.col("element") != "H", F.col("n")).otherwise(0)).alias("n_heavy"), F.sum("m").alias("weight"),
@@ -113,25 +118,51 @@ def is_water(formula) -> object:
     return formula == "H2O1"
 
 
-def signatures(atoms: DataFrame, bonds: DataFrame, parts: DataFrame, rounds: int = 2) -> DataFrame:
-    """(structure_id, component, signature): refined labels of a molecule's atoms.
+def refined(elements: list[str], links: list[tuple[int, int]]) -> str:
+    """A signature of a molecule: labels of its atoms and bonds, refined until they tell no more atoms apart.
 
     Labels start from element and degree and take in the sorted labels of the
     neighbours each round, so isomorphic molecules agree whatever their order.
     """
-    both = bonds.select("structure_id", "i", "j").union(bonds.select("structure_id", F.col("j").alias("i"), F.col("i").alias("j")))
-    degree = both.groupBy("structure_id", F.col("i").alias("atom_idx")).agg(F.count("*").alias("degree"))
-    label = atoms.select("structure_id", "atom_idx", "element").join(degree, ["structure_id", "atom_idx"], "left").select(
-        "structure_id", "atom_idx", F.concat("element", F.coalesce("degree", F.lit(0)).cast("string")).alias("label")
-    )
-    for _ in range(rounds):
-        around = both.join(label.withColumnRenamed("atom_idx", "j"), ["structure_id", "j"]).groupBy("structure_id", F.col("i").alias("atom_idx")).agg(
-            F.array_join(F.array_sort(F.collect_list("label")), ",").alias("around")
-        )
-        label = label.join(around, ["structure_id", "atom_idx"], "left").select("structure_id", "atom_idx", F.md5(F.concat_ws("|", "label", F.coalesce("around", F.lit("")))).alias("label"))
-    return label.join(parts, ["structure_id", "atom_idx"]).groupBy("structure_id", "component").agg(
-        F.md5(F.array_join(F.array_sort(F.collect_list("label")), ",")).alias("signature")
-    )
+    around: list[list[int]] = [[] for _ in elements]
+    for i, j in links:
+        around[i].append(j)
+        around[j].append(i)
+    digest = lambda parts: md5("|".join(parts).encode()).hexdigest()
+    labels = [f"{e}{len(n)}" for e, n in zip(elements, around)]
+    kinds, rounds = 0, 0
+    while len(set(labels)) > kinds:
+        kinds, rounds = len(set(labels)), rounds + 1
+        labels = [digest([own, *sorted(labels[k] for k in n)]) for own, n in zip(labels, around)]
+    return digest([str(rounds), *sorted(labels), *sorted("-".join(sorted((labels[i], labels[j]))) for i, j in links)])
+
+
+def signatures(atoms: DataFrame, bonds: DataFrame, parts: DataFrame) -> DataFrame:
+    """(structure_id, component, signature): ``refined`` of every molecule; structures travel as one row each, many to a batch."""
+    members = atoms.select("structure_id", "atom_idx", "element").join(parts, ["structure_id", "atom_idx"])
+    rows = members.groupBy("structure_id").agg(F.collect_list(F.struct("atom_idx", "element", "component")).alias("atoms"))
+    links = bonds.groupBy("structure_id").agg(F.collect_list(F.struct("i", "j")).alias("links"))
+    kinds = dict(members.dtypes)
+
+    def sign(batches):
+        for batch in batches:
+            ids, components, found = [], [], []
+            for name, points, ends in zip(*(batch.column(c).to_pylist() for c in ("structure_id", "atoms", "links"))):
+                place, molecules = {}, {}
+                for p in points:
+                    elements, _ = molecules.setdefault(p["component"], ([], []))
+                    place[p["atom_idx"]] = p["component"], len(elements)
+                    elements.append(p["element"])
+                for e in ends or ():
+                    component, i = place[e["i"]]
+                    molecules[component][1].append((i, place[e["j"]][1]))
+                for component, molecule in molecules.items():
+                    ids.append(name)
+                    components.append(component)
+                    found.append(refined(*molecule))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("structure_id").type), pa.array(components, pa.int32()), pa.array(found, pa.string())], names=["structure_id", "component", "signature"])
+
+    return rows.join(links, "structure_id", "left").mapInArrow(sign, f"structure_id {kinds['structure_id']}, component int, signature string")
 
 
 def unique_molecules(signed: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from crystalspark.functions import geometry as g
 from crystalspark.operators import bonds as b
-from crystalspark.operators import zmatrix
+from crystalspark.operators import dims, zmatrix
 from crystalspark.operators.store import written
 
 
@@ -56,7 +56,8 @@ def branch_report(atoms: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def open_bonds(points: DataFrame, elements: DataFrame, scale: float = 1.2, keys: list[str] = ["mol_id"]) -> DataFrame:  # noqa: B006
     """(keys, i, j, distance) of points (keys, idx, element, x, y, z) without a cell, at most ``scale`` radius sums apart."""
-    df = points.join(F.broadcast(elements.select("element", "radius")), "element")
+    df = points.join(F.broadcast(elements.select("element", "radius")), "element", "left")
+    df = df.withColumn("radius", dims.known(df, "radius"))
     left = df.select(*keys, F.col("idx").alias("i"), F.col("radius").alias("r1"), *[F.col(c).alias(f"{c}1") for c in "xyz"])
     right = df.select(*keys, F.col("idx").alias("j"), F.col("radius").alias("r2"), *[F.col(c).alias(f"{c}2") for c in "xyz"])
     distance = g.norm(tuple(F.col(f"{c}2") - F.col(f"{c}1") for c in "xyz"))

@@ -17,6 +17,7 @@ from crystalspark.functions import geometry as g
 from crystalspark.functions import text as t
 from crystalspark.operators import bonds, calculations, cells, corpus, dims, pdd, symmetry, typing, zmatrix
 from crystalspark.operators.corpus import SQL, table
+from crystalspark.operators.store import written
 from crystalspark.sources import writers
 
 FLAGSHIP = "expand_cells"
@@ -218,7 +219,7 @@ parts AS (SELECT structure_id, atom_idx, min(k) AS component FROM rc GROUP BY AL
 
 def split(spark, sf_dir):
     a = cart(spark, sf_dir)
-    b = bonds.contacts(a)
+    b = written(bonds.contacts(a), "bonds")
     return a, b, bonds.components(a, b)
 
 
@@ -255,22 +256,23 @@ def water_vs_api(spark, sf_dir):
 
 _SIGN = f"""{_PARTS}, dg AS (SELECT structure_id, i AS atom_idx, count(*) AS degree FROM ed GROUP BY ALL),
 l0 AS (SELECT a.structure_id, a.atom_idx, element || coalesce(degree, 0) AS label FROM atoms a LEFT JOIN dg USING (structure_id, atom_idx)),
-a1 AS (SELECT ed.structure_id, ed.i AS atom_idx, string_agg(label, ',' ORDER BY label) AS around FROM ed JOIN l0 ON l0.structure_id = ed.structure_id AND l0.atom_idx = ed.j GROUP BY ALL),
-l1 AS (SELECT structure_id, atom_idx, md5(label || '|' || coalesce(around, '')) AS label FROM l0 LEFT JOIN a1 USING (structure_id, atom_idx)),
-a2 AS (SELECT ed.structure_id, ed.i AS atom_idx, string_agg(label, ',' ORDER BY label) AS around FROM ed JOIN l1 ON l1.structure_id = ed.structure_id AND l1.atom_idx = ed.j GROUP BY ALL),
-l2 AS (SELECT structure_id, atom_idx, md5(label || '|' || coalesce(around, '')) AS label FROM l1 LEFT JOIN a2 USING (structure_id, atom_idx)),
-sg_ AS (SELECT structure_id, component, md5(string_agg(label, ',' ORDER BY label)) AS signature FROM l2 JOIN parts USING (structure_id, atom_idx) GROUP BY ALL)"""
+""" + "".join(f"""a{k} AS (SELECT ed.structure_id, ed.i AS atom_idx, string_agg(label, ',' ORDER BY label) AS around FROM ed JOIN l{k - 1} l ON l.structure_id = ed.structure_id AND l.atom_idx = ed.j GROUP BY ALL),
+l{k} AS (SELECT structure_id, atom_idx, md5(label || '|' || coalesce(around, '')) AS label FROM l{k - 1} LEFT JOIN a{k} USING (structure_id, atom_idx)),
+""" for k in range(1, 8)) + f"""sg_ AS (SELECT structure_id, component, md5(string_agg(label, ',' ORDER BY label)) AS signature FROM l7 JOIN parts USING (structure_id, atom_idx) GROUP BY ALL)"""
 
 
-@query(f"{W_}, {_SIGN} SELECT structure_id, component, signature FROM sg_")
+@query(f"{W_}, {_SIGN} SELECT structure_id, component, min(component) OVER (PARTITION BY structure_id, signature) AS first_alike, count(*) OVER (PARTITION BY signature) AS alike FROM sg_")
 def molecule_signature(spark, sf_dir):
-    a, b, p = split(spark, sf_dir)
-    return bonds.signatures(a, b, p)
+    """Which molecules have one signature, in their structure and anywhere; the SQL refines for as many rounds as a structure here has atoms."""
+    signed = bonds.signatures(*split(spark, sf_dir))
+    alike = signed.groupBy("signature").agg(F.count("*").alias("alike"))  # summed up before it meets the rows
+    first = F.min("component").over(W.partitionBy("structure_id", "signature"))
+    return signed.withColumn("first_alike", first).join(alike, "signature").select("structure_id", "component", "first_alike", "alike")
 
 
-@query(f"{W_}, {_SIGN} SELECT structure_id, signature, min(component) AS representative, count(*) AS copies FROM sg_ GROUP BY ALL")
+@query(f"{W_}, {_SIGN} SELECT structure_id, min(component) AS representative, count(*) AS copies FROM sg_ GROUP BY structure_id, signature")
 def molecule_dedupe(spark, sf_dir):
-    return bonds.unique_molecules(molecule_signature(spark, sf_dir))
+    return bonds.unique_molecules(bonds.signatures(*split(spark, sf_dir))).select("structure_id", "representative", "copies")
 
 
 @query(f"{W_}, {_PARTS} SELECT structure_id, atom_idx, component, " + ", ".join(rs(f"{c} - avg({c}) OVER (PARTITION BY structure_id, component) + 10.0", c) for c in "xyz") + " FROM cart JOIN parts USING (structure_id, atom_idx)")
@@ -363,7 +365,7 @@ def type_counts(spark, sf_dir):
 
 # distance distributions
 
-_KNN = f"""{_SHIFTS}, kn AS (SELECT a.structure_id, a.atom_idx AS i, row_number() OVER (PARTITION BY a.structure_id, a.atom_idx ORDER BY sqrt((b.x - a.x + sx*a.ax + sy*a.bx + sz*a.cx)**2 + (b.y - a.y + sx*a.ay + sy*a."by" + sz*a.cy)**2 + (b.z - a.z + sx*a.az + sy*a.bz + sz*a.cz)**2)) - 1 AS rank,
+_KNN = f"""sh AS (SELECT x.range AS sx, y.range AS sy, z.range AS sz FROM range(-3, 4) x, range(-3, 4) y, range(-3, 4) z), kn AS (SELECT a.structure_id, a.atom_idx AS i, row_number() OVER (PARTITION BY a.structure_id, a.atom_idx ORDER BY sqrt((b.x - a.x + sx*a.ax + sy*a.bx + sz*a.cx)**2 + (b.y - a.y + sx*a.ay + sy*a."by" + sz*a.cy)**2 + (b.z - a.z + sx*a.az + sy*a.bz + sz*a.cz)**2)) - 1 AS rank,
   sqrt((b.x - a.x + sx*a.ax + sy*a.bx + sz*a.cx)**2 + (b.y - a.y + sx*a.ay + sy*a."by" + sz*a.cy)**2 + (b.z - a.z + sx*a.az + sy*a.bz + sz*a.cz)**2) AS distance
   FROM cart a JOIN cart b USING (structure_id) CROSS JOIN sh WHERE NOT (a.atom_idx = b.atom_idx AND sx = 0 AND sy = 0 AND sz = 0))"""
 
@@ -471,10 +473,14 @@ def stage_change_lag(spark, sf_dir):
     return s.select("conv_id", F.nullif(F.array_join(F.col("c").cast("array<string>"), ","), F.lit("")).alias("changed"), "first_change", "stages")
 
 
-@query("SELECT conv_id, " + ", ".join(f"max(CASE WHEN turn = {k} THEN length(text) END) AS stage_{k}" for k in range(4)) + " FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, " + ", ".join(f"max(CASE WHEN turn = {k} THEN length(text) END) AS stage_{k}" for k in range(4)) + ", string_agg(turn || ':' || length(text), ',' ORDER BY turn, length(text)) FILTER (WHERE turn > 3) AS later FROM conversations GROUP BY conv_id")
 def stage_pivot(spark, sf_dir):
-    p = table(spark, sf_dir, "conversations").groupBy("conv_id").pivot("turn", [0, 1, 2, 3]).agg(F.max(F.length("text").cast("long")))
-    return p.select("conv_id", *[F.col(str(k)).alias(f"stage_{k}") for k in range(4)])
+    """Lengths by stage: the first four as columns, any later ones listed."""
+    length = F.length("text").cast("long")
+    late = F.array_sort(F.collect_list(F.when((F.col("turn") > 3) & length.isNotNull(), F.struct("turn", length.alias("n")))))
+    later = F.array_join(F.transform(late, lambda x: F.concat_ws(":", x["turn"].cast("string"), x["n"].cast("string"))), ",")
+    stages = [F.max(F.when(F.col("turn") == k, length)).alias(f"stage_{k}") for k in range(4)]
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(*stages, F.nullif(later, F.lit("")).alias("later"))
 
 
 _EXPECTED = ["click", "purchase", "view", "error", "scroll_depth"]

@@ -23,7 +23,10 @@ PARTS = ("bond", "angle", "dihedral")
 
 @dataclass(frozen=True)
 class GaussianDeck:
-    """Settings of a molecule's optimisation; optional keywords that are empty or ``none`` are left out."""
+    """Settings of a molecule's optimisation; optional keywords that are empty or ``none`` are left out.
+
+    The defaults are fixed values of the format of these decks.
+    """
 
     chk: str = "hess.chk"
     mem: str = "32000MB"
@@ -114,17 +117,17 @@ def zmatrix_text(rows: DataFrame, keys: list[str], title: Column) -> DataFrame:
 
 def gaussian_script(template: str, job: Column, deck: GaussianDeck = GaussianDeck()) -> Column:
     """A run script: the template's queue lines and commands replaced by the deck's."""
-    lines = {
-        r"(?m)^#PBS -lwalltime=.*$": f"#PBS -lwalltime={deck.walltime}",
-        r"(?m)^#PBS -l select=.*$": f"#PBS -l select={deck.pbs_select}",
-        r"(?m)^#PBS -J .*$": f"#PBS -J {deck.array_range}",
-        r"(?m)^g16[ \t]+\$\{name\}\.com[ \t]+\$\{name\}\.log[ \t]*$": f"{deck.gaussian_command} ${{name}}.com ${{name}}.log",
-        r"(?m)^formchk -3 .*$": f"{deck.formchk_command} -3 {deck.chk} {deck.formatted_checkpoint()}",
+    given = {
+        "#PBS -lwalltime=": f"#PBS -lwalltime={deck.walltime}", "#PBS -l select=": f"#PBS -l select={deck.pbs_select}", "#PBS -J ": f"#PBS -J {deck.array_range}",
+        "g16 ${name}.com ${name}.log": f"{deck.gaussian_command} ${{name}}.com ${{name}}.log", "formchk -3 ": f"{deck.formchk_command} -3 {deck.chk} {deck.formatted_checkpoint()}",
     }
-    text = template
-    for pattern, line in lines.items():
-        text = re.sub(pattern, lambda _, line=line: line, text)
-    return F.replace(F.lit(text.rstrip() + "\n"), F.lit("SYSTEM_NAME"), job)
+
+    def replaced(line: str) -> str:
+        spaced = " ".join(line.split()) if line.startswith("g16") else line
+        return next((new for start, new in given.items() if spaced.startswith(start) and (start[:3] != "g16" or spaced == start)), line)
+
+    text = "\n".join(map(replaced, template.rstrip().split("\n"))) + "\n"
+    return F.replace(F.lit(text), F.lit("SYSTEM_NAME"), job)
 
 
 def rigid_info(molecules: DataFrame, exp_ulatt: float = 0.0, pressure: float = 0.0, scal_disp: float = 1.0, scal_elec: float = 1.0, charge: int = 0, multiplicity: int = 1) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crystalspark.operators.cells import canonical, greedy_sites, lattice_matrix
+from crystalspark.functions.text import element_symbol
 from crystalspark.operators.dims import ELEMENTS
 from crystalspark.operators.symmetry import parse
 
@@ -33,13 +34,10 @@ def number(text: str) -> float:
 
 def element(text: str) -> str:
     """The element that a symbol or label starts with; D and T are hydrogen."""
-    v = "".join(c for c in text if c.isalpha())
-    if v.upper() in ("D", "T"):
-        return "H"
-    for x in (v, v.capitalize(), v.upper(), v.lower(), v[:1].upper()):
-        if x in ELEMENTS:
-            return x
-    raise ValueError(f"unknown element {text!r}")
+    found = element_symbol(text, ELEMENTS)
+    if found is None:
+        raise ValueError(f"unknown element {text!r}")
+    return found
 
 
 def words(line: str) -> list[str]:
