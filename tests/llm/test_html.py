@@ -61,3 +61,27 @@ def test_tree_fits_its_table():
 
     rows = np.array(hb.LABELLED, dtype=float)
     assert (hb.classify(hb.train(), rows[:, :-1]) == (rows[:, -1] > 0)).mean() > 0.97
+
+
+def neighbours_of(tree):
+    return set() if tree[0] == "leaf" else {hb.FEATURES[tree[0]]} | neighbours_of(tree[2]) | neighbours_of(tree[3])
+
+
+def test_tree_looks_at_words_and_links_of_neighbours():
+    used = neighbours_of(hb.train())
+    assert {"links", "words"} <= used and used & {"before_words", "after_words"} and used & {"before_links", "after_links"}
+
+
+def test_names_that_only_hold_a_part():
+    tree = hb.train()
+    inside = "<div class='related-work'>one two</div><p class='share-price'>three</p><h2 id='comment-on-results'>four</h2><p>x <math><mi>a</mi><mo>+</mo><mn>1</mn></math> y</p>"
+    assert hb.main_text(f"<article>{inside}</article>", tree)[0] == "one two\nthree\nfour\nx a+1 y"
+    assert hb.main_text("<article><p>a</p><div class='ad-box'>no</div><ul class='share-buttons'><li>no</li></ul><section id='comments'><p>no</p></section><p>b</p></article>", tree)[0] == "a\nb"
+    assert hb.main_text("<article><p>a</p><span class='ad'><span>no</span>buy <b>now</b></span><p>b</p></article>", tree)[0] == "a\nb"
+
+
+def test_links_between_paragraphs_of_a_bare_page():
+    tree, long = hb.train(), "word " * 30
+    menu = "".join(f"<li><a href='/{i}'>item {i}</a></li>" for i in range(5))
+    bare = f"<body><ul>{menu}</ul><div>|</div><ul>{menu}</ul><p>{long}</p><p><a href='x'>a whole sentence that is one link</a></p><p>{long}</p><ul>{menu}</ul></body>"
+    assert hb.main_text(bare, tree)[0] == "\n".join([long.strip(), "a whole sentence that is one link", long.strip()])
