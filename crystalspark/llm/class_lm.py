@@ -2,17 +2,21 @@
 
 p(text) is the product over its tokens (words, then one end) of
 p(class | class before) * p(token | class). Classes come from exchange
-clustering: each word moves to the class that most raises the likelihood of
-the training bigrams until nothing moves. The exchange sees the reduced
-vocabulary of words with at least ``SHARE`` of all training tokens (there are at
-most 1 / SHARE of those, whatever the corpus) and one unit per group of words
-that end alike; every other word, known or not, takes the class of its group.
-So the matrix that reaches the driver is bounded, while counts cover all words.
-
-Transitions are smoothed towards the class shares; a class gives unknown words
-the mass of its words met once. Word counts stay a table: words with at least
-``COMMON`` of all tokens (at most 1 / COMMON) travel to every task, the rest
-meet their documents in a join, one row per document and word.
+clustering, in two steps. The core, words with at least ``SHARE`` of all training
+tokens (at most 1 / SHARE words, whatever the corpus) and one unit per group of
+words that end alike, moves word by word on the driver to the class that most
+raises the likelihood of the training bigrams, until nothing moves. Then every
+other word that occurs at least ``LEAST`` times moves at once, on the executors:
+its neighbours' classes are counted over all training texts, and it joins the
+class that most raises the likelihood beside the core's class bigrams (to first
+order, as one rare word changes them little). Only rarer and unknown words keep
+the class of their ending. The number of classes grows with the corpus.
+
+The word table (word, count, class) stays distributed: words with at least
+``COMMON`` of all tokens (at most 1 / COMMON) travel to every task, the rest meet
+their documents in a join, one row per document and word. Class bigrams are then
+counted anew over the classes so found; transitions are smoothed towards the
+class shares, and a class gives unknown words the mass of its words met once.
 """
 
 from __future__ import annotations
@@ -24,16 +28,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from crystalspark.llm.common import materialise, raw
 
 SHARE, COMMON = 1 / 2048, 1e-6
-GROUPS, CLASSES, SWEEPS = 256, 48, 12
-#: Words a task counts before it hands them on.
-HELD = 300_000
+GROUPS, SWEEPS, LEAST = 256, 12, 3
+#: Classes: the fourth root of the training tokens, within these bounds.
+LEAST_CLASSES, MOST_CLASSES = 48, 250
+#: Words and neighbours a task holds before it hands them on.
+HELD, CODES = 300_000, 4_000_000
 #: Weight of the class shares in a transition, in tokens.
 MU = 8.0
+#: Marks an unknown word's class in a row's sequence.
+NEW = 256
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -46,30 +53,66 @@ def ending(word: bytes) -> int:
     return (word[-1] * 31 + (word[-2] if len(word) > 1 else 0) * 7) % GROUPS
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, c) over the rows' ``raw`` texts, the end token included as empty bytes."""
+class Numbers(dict):
+    """Numbers words as they come, and gives each the values that ``describe`` returns for it."""
+
+    def __init__(self, describe):
+        self.describe, self.values, self.arrays = describe, [], None
+
+    def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self)
+        self.values.append(self.describe(word))
+        return at
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def table(self) -> np.ndarray:
+        """The values as rows."""
+        if self.arrays is None or len(self.arrays) < len(self.values):
+            self.arrays = np.array(self.values)
+        return self.arrays
+
+
+def frequent_words(docs: DataFrame) -> DataFrame:
+    """(word, c): all tokens under the empty word, and counts of words that are frequent in a task's share of the texts."""
 
     def run(batches):
         held: Counter = Counter()
+        n = 0
 
         def out():
-            words = list(held)
-            batch = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([held[w] for w in words], pa.int64())], names=["word", "c"])
+            often = [w for w, c in held.items() if c >= n * SHARE / 4]
+            batch = pa.RecordBatch.from_arrays([pa.array([b"", *often], pa.binary()), pa.array([n, *[held[w] for w in often]], pa.int64())], names=["word", "c"])
             held.clear()
             return batch
 
         for batch in batches:
             for body in batch.column("raw").to_pylist():
-                held.update(tokens(body))
-                held[b""] += 1
+                words = tokens(body)
+                held.update(words)
+                n += len(words) + 1
                 if len(held) > HELD:
                     yield out()
-        if held:
+                    n = 0
+        if n:
             yield out()
 
     return docs.select("raw").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def _line(numbers: Numbers, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers of texts in a row, -1 for each text's end, and where each text starts."""
+    parts = [numbers.of(tokens(b)) for b in bodies]
+    end = np.array([-1])
+    line = np.concatenate([x for p in parts for x in (p, end)]) if parts else np.empty(0, np.int64)
+    return line, np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts]))).astype(np.int64)
+
+
+def _slices(batches, n: int = 256):
+    return (b.slice(at, n) for b in batches for at in range(0, b.num_rows, n))
+
+
 def unit_bigrams(docs: DataFrame, units: dict[bytes, int]) -> DataFrame:
     """(code, n): bigrams of units, code = before * size + after; unit 0 is the end, the last GROUPS are the groups."""
     size = 1 + len(units) + GROUPS
@@ -77,15 +120,13 @@ def unit_bigrams(docs: DataFrame, units: dict[bytes, int]) -> DataFrame:
 
     def run(batches):
         total = np.zeros(size * size, dtype=np.int64)
-        for batch in batches:
-            parts = []
-            for body in batch.column("raw").to_pylist():
-                get = units.get
-                parts.append([0] + [get(w) or base + ending(w) for w in tokens(body)])
-            if parts:
-                line = np.fromiter((u for p in parts for u in p), dtype=np.int64)
-                after = np.append(line[1:], 0)
-                np.add.at(total, line * size + after, 1)
+        numbers = Numbers(lambda w: units.get(w) or base + ending(w))
+        for batch in _slices(batches):
+            line, _ = _line(numbers, batch.column("raw").to_pylist())
+            unit = np.append(numbers.table(), 0)[line] if len(line) else line  # -1 is the end
+            total += np.bincount(np.append(0, unit[:-1])[: len(unit)] * size + unit, minlength=size * size)
+            if len(numbers) > HELD:
+                numbers = Numbers(numbers.describe)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["code", "n"])
 
@@ -96,7 +137,7 @@ def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
+def exchange(pairs: np.ndarray, classes: int = LEAST_CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
     """Class of each unit by exchange clustering of a unit bigram matrix; unit 0 keeps class 0 for itself."""
     size = len(pairs)
     label = np.zeros(size, dtype=np.int64)
@@ -137,110 +178,203 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return label
 
 
+def neighbours(docs: DataFrame, units: dict[bytes, int], unit_class: np.ndarray, classes: int) -> DataFrame:
+    """(word, packed) of words outside the core: how often each class stands before (code: class) and after (code: classes + class).
+
+    ``packed`` holds code + 512 * count as little-endian 32-bit numbers.
+    """
+    base = 1 + len(units)
+
+    def run(batches):
+        fresh = lambda: Numbers(lambda w: (int(unit_class[units[w]]), 1) if w in units else (int(unit_class[base + ending(w)]), 0))
+        numbers, held, n = fresh(), [], 0
+
+        def out():
+            codes, counts = np.unique(np.concatenate(held), return_counts=True)
+            word = codes // (2 * classes)
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            packed = (codes % (2 * classes) + 512 * counts).astype("<u4")
+            offsets = (4 * np.append(first, len(codes))).astype(np.int32)
+            names = list(numbers)
+            words = pa.array([names[k] for k in word[first].tolist()], pa.binary())
+            return pa.RecordBatch.from_arrays([words, pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(packed)])], names=["word", "packed"])
+
+        for batch in _slices(batches):
+            line, _ = _line(numbers, batch.column("raw").to_pylist())
+            if not len(line) or not numbers:
+                continue
+            table = np.vstack([numbers.table(), [0, 1]])  # the end, reached as -1
+            kind = table[line, 0]
+            at = np.flatnonzero(table[line, 1] == 0)
+            before, after = np.append(0, kind[:-1]), np.append(kind[1:], 0)
+            held.append(np.concatenate([line[at] * (2 * classes) + before[at], line[at] * (2 * classes) + classes + after[at]]))
+            n += 2 * len(at)
+            if n > CODES or len(numbers) > HELD:
+                if n:
+                    yield out()
+                numbers, held, n = fresh(), [], 0
+        if n:
+            yield out()
+
+    return docs.select("raw").mapInArrow(run, "word binary, packed binary")
+
+
+def join_classes(met: DataFrame, pairs: np.ndarray, group_class: np.ndarray) -> DataFrame:
+    """(word, c, class) from ``neighbours``: a word moves to the class that most raises the likelihood beside the class bigrams ``pairs``."""
+    classes = len(pairs)
+    log = lambda x: np.log(x + 0.5)
+    gain = np.vstack([log(pairs) - log(pairs.sum(axis=0)), log(pairs.T) - log(pairs.sum(axis=1))])  # by code and class
+    gain[:, 0] = -np.inf  # the end keeps its class for itself
+    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = met.repartition(parts, "word").sortWithinPartitions("word")
+
+    def choose(words: list[bytes], packed: list[bytes]):
+        fresh = [i == 0 or words[i] != words[i - 1] for i in range(len(words))]
+        of = np.repeat(np.cumsum(fresh) - 1, [len(p) // 4 for p in packed])
+        values = np.frombuffer(b"".join(packed), dtype="<u4").astype(np.int64)
+        names = [w for w, f in zip(words, fresh) if f]
+        counts = np.bincount(of * 2 * classes + values % 512, values // 512, minlength=len(names) * 2 * classes).reshape(-1, 2 * classes)
+        total = counts[:, :classes].sum(axis=1).astype(np.int64)
+        best = np.argmax(counts[:, :] @ np.where(np.isinf(gain), -1e300, gain), axis=1) if len(names) else np.empty(0, np.int64)
+        own = np.array([group_class[ending(w)] for w in names], dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(total), pa.array(np.where(total < LEAST, own, best).astype(np.int32))], names=["word", "c", "class"])
+
+    def run(batches):
+        words, packed = [], []
+        for batch in _slices(batches, 8192):
+            words += batch.column("word").to_pylist()
+            packed += batch.column("packed").to_pylist()
+            cut = len(words) - 1
+            while cut > 0 and words[cut - 1] == words[-1]:  # the last word may go on in the next batch
+                cut -= 1
+            if cut > 0:
+                yield choose(words[:cut], packed[:cut])
+                words, packed = words[cut:], packed[cut:]
+        if words:
+            yield choose(words, packed)
+
+    return dealt.mapInArrow(run, "word binary, c long, class int")
+
+
 @dataclass
 class ClassModel:
-    """What every task needs to score: all of it bounded by SHARE, COMMON, GROUPS and CLASSES."""
+    """What every task needs to score: all of it bounded by SHARE, COMMON, GROUPS and MOST_CLASSES."""
 
     common: dict[bytes, tuple[int, int]]  #: word -> (class, count)
     group_class: np.ndarray
-    transition: np.ndarray  #: log10 p(class | class before)
-    known: np.ndarray  #: log10 of what a known word's count is multiplied by
-    unknown: np.ndarray  #: log10 p(unknown word | class)
+    classes: int
     total: int  #: training tokens
     distinct: int  #: distinct training tokens
-    end_count: int
+    ends: int  #: training texts
 
 
 def fit(train: DataFrame) -> tuple[ClassModel, DataFrame]:
-    """Model and (word, c) table of the training rows' ``raw`` texts."""
-    counts = materialise(count_words(train), "lm-counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    often = counts.where((F.col("c") >= total * SHARE) & (F.col("word") != b"")).toArrow()
-    units = {w: i + 1 for i, w in enumerate(sorted(often.column("word").to_pylist()))}
+    """Classes of the training rows' ``raw`` texts, and the table (word, c, class) of the words outside the core."""
+    often = materialise(frequent_words(train), "lm-frequent")
+    total = int(often.where(F.col("word") == b"").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
+    classes = min(MOST_CLASSES, max(LEAST_CLASSES, round(total**0.25)))
+    core = often.where((F.col("c") >= total * SHARE) & (F.col("word") != b"")).select("word").toArrow()  # at most 1 / SHARE
+    units = {w: i + 1 for i, w in enumerate(sorted(core.column("word").to_pylist()))}
     size = 1 + len(units) + GROUPS
     pairs = np.zeros(size * size, dtype=np.int64)
     found = unit_bigrams(train, units).toArrow()
     pairs[found.column("code").to_numpy()] = found.column("n").to_numpy()
     pairs = pairs.reshape(size, size)
-    label = exchange(pairs)
-    group_class = label[1 + len(units) :]
-    of_unit = {w: int(label[i]) for w, i in units.items()}
-    onehot = np.zeros((size, CLASSES))
+    label = exchange(pairs, classes)
+    onehot = np.zeros((size, classes))
     onehot[np.arange(size), label] = 1
-    n = onehot.T @ pairs @ onehot
-    share = (n.sum(axis=0) + 1) / (n.sum() + CLASSES)
-    transition = np.log10((n + MU * share) / (n.sum(axis=1, keepdims=True) + MU))
-    sums = class_sums(counts, of_unit, group_class).toArrow()
-    mass, once = np.zeros(CLASSES), np.zeros(CLASSES)
-    mass[sums.column("class").to_numpy()] = sums.column("mass").to_numpy()
-    once[sums.column("class").to_numpy()] = sums.column("once").to_numpy()
-    new = (once + 0.5) / (mass + 1)
-    new[0] = 0.5 / (mass[0] + 1)  # the end is the only token of its class
-    common = counts.where((F.col("c") >= total * COMMON) & (F.col("word") != b"")).toArrow()
-    words = common.column("word").to_pylist()
-    model = ClassModel(
-        {w: (of_unit.get(w, int(group_class[ending(w)])), c) for w, c in zip(words, common.column("c").to_pylist())},
-        group_class, transition, np.log10((1 - new) / np.maximum(mass, 1)), np.log10(new), int(total), int(distinct), int(mass[0]),
-    )
-    return model, counts
+    group_class, counts = label[1 + len(units) :], pairs.sum(axis=0)
+    words = materialise(join_classes(neighbours(train, units, label, classes), onehot.T @ pairs @ onehot, group_class), "lm-words")
+    common = words.where(F.col("c") >= total * COMMON).toArrow()  # at most 1 / COMMON
+    known = {w: (k, c) for w, k, c in zip(*(common.column(x).to_pylist() for x in ("word", "class", "c")))}
+    known |= {w: (int(label[i]), int(counts[i])) for w, i in units.items()}
+    ends = int(counts[0])
+    return ClassModel(known, group_class, classes, total, words.count() + len(units) + (ends > 0), ends), words
 
 
-def class_sums(counts: DataFrame, of_unit: dict[bytes, int], group_class: np.ndarray) -> DataFrame:
-    """(class, mass, once): tokens of a class and its words met once."""
+def _partial(rows: DataFrame, model: ClassModel, keep: list[str]) -> DataFrame:
+    """Rows with their tokens: classes of common words, -1 - k for the k-th of the row's other words, which are listed with their times.
+
+    ``base`` and ``logs`` sum log10 of the common words' counts, plus one and as they are.
+    """
+    state = rows.sparkSession.sparkContext.broadcast(dict(vars(model)))
+    schema = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in keep) + ", n_tokens long, n_known long, base double, logs double, line binary, words array<binary>, groups array<int>, times array<int>"
+
+    def run(batches):
+        s = state.value
+        common, group_class = s["common"], s["group_class"].tolist()
+
+        def describe(w):
+            k, c = common.get(w, (-1, 0))
+            return (k, np.log10(c + 1), np.log10(c)) if c else (-1, 0.0, 0.0)
+
+        numbers = Numbers(describe)
+        for batch in _slices(batches):
+            line, starts = _line(numbers, batch.column("raw").to_pylist())
+            table, names = np.vstack([np.array(numbers.values).reshape(-1, 3), [0, 0, 0]]), list(numbers)
+            facts = table[line]
+            out: list[list] = [[] for _ in range(8)]
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                kind = facts[a : b - 1, 0].astype(np.int32)
+                other, inverse, times = np.unique(line[a : b - 1][kind < 0], return_inverse=True, return_counts=True)
+                kind[kind < 0] = -1 - inverse
+                words = [names[i] for i in other.tolist()]
+                sums = facts[a : b - 1, 1:].sum(axis=0)
+                for column, value in zip(out, (b - a, int((kind >= 0).sum()), float(sums[0]), float(sums[1]), kind.astype("<i4").tobytes(), words, [group_class[ending(w)] for w in words], times.tolist())):
+                    column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(c, k) for c, k in zip(out, kinds)], names=[*keep, "n_tokens", "n_known", "base", "logs", "line", "words", "groups", "times"])
+            if len(numbers) > HELD:
+                numbers = Numbers(describe)
+
+    return rows.select("raw", *keep).mapInArrow(run, schema)
+
+
+def _sequences(done: DataFrame, keep: list[str]) -> DataFrame:
+    """Rows with ``line`` as classes throughout, 16 bits each; unknown words' classes have NEW added. ``found`` lists (at, class, known)."""
+    same = [*keep, "n_tokens", "n_known", "base", "logs"]
+    schema = ", ".join(f"{c} {dict(done.dtypes)[c]}" for c in same) + ", line binary"
 
     def run(batches):
-        mass, once = np.zeros(CLASSES, dtype=np.int64), np.zeros(CLASSES, dtype=np.int64)
         for batch in batches:
-            for w, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
-                k = (of_unit.get(w) or int(group_class[ending(w)])) if w else 0
-                mass[k] += c
-                once[k] += c == 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(mass), pa.array(once)], names=["class", "mass", "once"])
+            lines = []
+            for line, found in zip(batch.column("line").to_pylist(), batch.column("found").to_pylist()):
+                kind = np.frombuffer(line, dtype="<i4")
+                if found:
+                    of = np.zeros(len(found), dtype=np.int64)
+                    for x in found:
+                        of[x["at"]] = x["class"] if x["known"] else x["class"] + NEW
+                    kind = np.where(kind < 0, of[np.where(kind < 0, -1 - kind, 0)], kind)
+                lines.append(kind.astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in same], pa.array(lines, pa.binary())], names=[*same, "line"])
 
-    return counts.mapInArrow(run, "class long, mass long, once long").groupBy("class").agg(F.sum("mass").alias("mass"), F.sum("once").alias("once"))
+    return done.select(*same, "line", "found").mapInArrow(run, schema)
 
 
-def _partial(rows: DataFrame, model: ClassModel, keep: list[str]) -> DataFrame:
-    """Rows with what a task can score alone, and their other words with class and count in the text."""
-    state = rows.sparkSession.sparkContext.broadcast(dict(vars(model)))
-    schema = rows.select(*keep).schema.add("n_tokens", "long").add("n_known", "long").add("base", "double").add("model", "double")
-    schema = schema.add("words", T.ArrayType(T.BinaryType())).add("classes", T.ArrayType(T.IntegerType())).add("times", T.ArrayType(T.IntegerType()))
+def class_bigrams(rows: DataFrame, classes: int) -> np.ndarray:
+    """Class bigrams of the rows' sequences, ends included as class 0. At most MOST_CLASSES squared numbers reach the driver."""
 
     def run(batches):
-        s = state.value
-        common, group_class, transition, known = s["common"], s["group_class"].tolist(), s["transition"], s["known"].tolist()
-        low = np.log10(s["total"] + s["distinct"] + 1)
-        end = (np.log10(s["end_count"] + 1) - low, known[0] + np.log10(max(s["end_count"], 1)))
-        logs: dict[int, tuple[float, float]] = {}
+        total = np.zeros(classes * classes, dtype=np.int64)
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for body in batch.column("raw").to_pylist():
-                words, line, rare, base, score, n_known = tokens(body), [0], Counter(), 0.0, 0.0, 0
-                for w in words:
-                    found = common.get(w)
-                    if found is None:
-                        rare[w] += 1
-                        line.append(group_class[ending(w)])
-                    else:
-                        k, c = found
-                        pair = logs.get(c)
-                        if pair is None:
-                            pair = logs[c] = (float(np.log10(c + 1)), float(np.log10(c)))
-                        base += pair[0]
-                        score += pair[1] + known[k]
-                        n_known += 1
-                        line.append(k)
-                base += end[0] - low * len(words)
-                score += end[1]
-                at = np.array(line + [0])
-                score += float(transition[at[:-1], at[1:]].sum())
-                items = list(rare.items())
-                for column, value in zip(out, (len(words) + 1, n_known + (s["end_count"] > 0), float(base), float(score), [w for w, _ in items], [group_class[ending(w)] for w, _ in items], [t for _, t in items])):
-                    column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(c, k) for c, k in zip(out, kinds)], names=schema.names)
+            line = np.frombuffer(b"".join(x + b"\0\0" for x in batch.column("line").to_pylist()), dtype="<u2").astype(np.int64) % NEW
+            total += np.bincount(np.append(0, line[:-1])[: len(line)] * classes + line, minlength=classes * classes)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["code", "n"])
 
-    return rows.select("raw", *keep).mapInArrow(run, schema)
+    found = rows.select("line").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(classes * classes)
+    out[found.column("code").to_numpy()] = found.column("n").to_numpy()
+    return out.reshape(classes, classes)
+
+
+def probabilities(pairs: np.ndarray, once: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log10 of: p(class | class before); what a known word's count is multiplied by; p(unknown word | class). ``once``: words of a class met once."""
+    mass = pairs.sum(axis=0)
+    share = (mass + 1) / (pairs.sum() + len(pairs))
+    new = np.minimum((once + 0.5) / (mass + 1), 0.5)
+    new[0] = 0.5 / (mass[0] + 1)  # the end is the only token of its class
+    return np.log10((pairs + MU * share) / (pairs.sum(axis=1, keepdims=True) + MU)), np.log10((1 - new) / np.maximum(mass, 1)), np.log10(new)
 
 
 def score(docs: DataFrame, train: Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -250,21 +384,39 @@ def score(docs: DataFrame, train: Column, text: str = "text", doc_id: str = "doc
     unknown. Null text is empty and has the end token alone; repeated rows
     count each time. An empty table returns no rows; other columns are dropped.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), raw(text).alias("raw"), train.alias("_train"))
-    model, counts = fit(rows.where("_train"))
-    numbered = rows.drop("_train").withColumn("row", F.monotonically_increasing_id())
-    done = materialise(_partial(numbered, model, ["row", "doc_id"]), "lm-partial")
-    rare = done.select("row", F.explode(F.arrays_zip("words", "classes", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.classes").alias("k"), F.col("x.times").alias("t"))
-    rare = rare.join(counts, "word", "left")
-    pick = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col("k") + 1)
-    held = F.col("c").isNotNull()
-    sums = rare.groupBy("row").agg(
-        F.sum(F.when(held, F.col("t")).otherwise(0)).alias("k_"),
-        F.sum(F.col("t") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("b_"),
-        F.sum(F.col("t") * F.when(held, F.log10("c") + pick(model.known)).otherwise(pick(model.unknown))).alias("s_"),
-    )
-    joined = done.drop("words", "classes", "times").join(sums, "row", "left")
-    return joined.select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("k_", F.lit(0))).cast("long").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("b_", F.lit(0.0))).alias("base_score"), (F.col("model") + F.coalesce("s_", F.lit(0.0))).alias("score"),
+    rows = docs.select(F.col(doc_id).alias("doc_id"), raw(text).alias("raw"), F.coalesce(train, F.lit(False)).alias("train"))
+    model, words = fit(rows.where("train"))
+    keep = ["row", "doc_id", "train"]
+    done = materialise(_partial(rows.withColumn("row", F.monotonically_increasing_id()), model, keep), "lm-partial")
+    others = done.select("row", F.posexplode(F.arrays_zip("words", "groups", "times")).alias("at", "x")).select("row", "at", F.col("x.words").alias("word"), F.col("x.groups").alias("group"), F.col("x.times").alias("t"))
+    others, held = others.join(words, "word", "left"), F.col("c").isNotNull()
+    sums = others.groupBy("row").agg(
+        F.sum(F.when(held, F.col("t")).otherwise(0)).alias("k_"), F.sum(F.col("t") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("b_"), F.sum(F.when(held, F.col("t") * F.log10("c")).otherwise(0.0)).alias("s_"),
+        F.collect_list(F.struct("at", F.coalesce("class", "group").alias("class"), held.alias("known"))).alias("found"),  # one row's own words
     )
+    both = done.drop("words", "groups", "times").join(sums, "row", "left").withColumns({"n_known": F.col("n_known") + F.coalesce("k_", F.lit(0)), "base": F.col("base") + F.coalesce("b_", F.lit(0.0)), "logs": F.col("logs") + F.coalesce("s_", F.lit(0.0))})
+    lines = materialise(_sequences(both, keep), "lm-lines")
+    pairs = class_bigrams(lines.where("train"), model.classes)
+    once = np.zeros(model.classes)
+    for r in words.where("c = 1").groupBy("class").count().collect():  # one row a class
+        once[r["class"]] = r["count"]
+    transition, known, unknown = probabilities(pairs, once)
+    emission = np.concatenate([known, np.zeros(NEW - model.classes), unknown])
+    low, ends = float(np.log10(model.total + model.distinct + 1)), model.ends
+    given = docs.sparkSession.sparkContext.broadcast((transition, emission))
+
+    def run(batches):
+        steps, of = given.value
+        for batch in batches:
+            n, logs = batch.column("n_tokens").to_numpy(zero_copy_only=False), batch.column("logs").to_numpy(zero_copy_only=False)
+            scores = []
+            for line in batch.column("line").to_pylist():
+                kind = np.frombuffer(line, dtype="<u2").astype(np.int64)
+                at = np.concatenate(([0], kind % NEW, [0]))
+                scores.append(of[kind].sum() + steps[at[:-1], at[1:]].sum() + of[0])
+            base = batch.column("base").to_numpy(zero_copy_only=False) + np.log10(ends + 1) - low * n
+            total = np.array(scores) + logs + np.log10(max(ends, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array(batch.column("n_known").to_numpy(zero_copy_only=False) + (ends > 0)), pa.array(base), pa.array(total)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    scored = lines.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
