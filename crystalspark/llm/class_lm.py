@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,24 +55,27 @@ def ending(word: bytes) -> int:
 
 
 class Numbers(dict):
-    """Numbers words as they come, and gives each the values that ``describe`` returns for it."""
+    """Numbers words as they come; ``table`` has the values that ``describe`` returns for each."""
 
     def __init__(self, describe):
-        self.describe, self.values, self.arrays = describe, [], None
+        self.describe, self.words, self.fresh, self.rows = describe, [], [], None
 
     def __missing__(self, word: bytes) -> int:
-        at = self[word] = len(self)
-        self.values.append(self.describe(word))
+        at = self[word] = len(self.words)
+        self.words.append(word)
+        self.fresh.append(self.describe(word))
         return at
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
-    def table(self) -> np.ndarray:
-        """The values as rows."""
-        if self.arrays is None or len(self.arrays) < len(self.values):
-            self.arrays = np.array(self.values)
-        return self.arrays
+    def table(self, end: tuple) -> np.ndarray:
+        """The values as rows, and ``end`` as the last, which -1 names."""
+        if self.fresh or self.rows is None:
+            new = np.array([*self.fresh, end], dtype=float)
+            self.rows = new if self.rows is None else np.concatenate([self.rows[:-1], new])
+            self.fresh = []
+        return self.rows
 
 
 def frequent_words(docs: DataFrame) -> DataFrame:
@@ -109,7 +113,7 @@ def _line(numbers: Numbers, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray
     return line, np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts]))).astype(np.int64)
 
 
-def _slices(batches, n: int = 256):
+def _slices(batches, n: int = 512):
     return (b.slice(at, n) for b in batches for at in range(0, b.num_rows, n))
 
 
@@ -120,10 +124,10 @@ def unit_bigrams(docs: DataFrame, units: dict[bytes, int]) -> DataFrame:
 
     def run(batches):
         total = np.zeros(size * size, dtype=np.int64)
-        numbers = Numbers(lambda w: units.get(w) or base + ending(w))
+        numbers = Numbers(lambda w: (units.get(w) or base + ending(w),))
         for batch in _slices(batches):
             line, _ = _line(numbers, batch.column("raw").to_pylist())
-            unit = np.append(numbers.table(), 0)[line] if len(line) else line  # -1 is the end
+            unit = numbers.table((0,))[line, 0].astype(np.int64)
             total += np.bincount(np.append(0, unit[:-1])[: len(unit)] * size + unit, minlength=size * size)
             if len(numbers) > HELD:
                 numbers = Numbers(numbers.describe)
@@ -195,18 +199,14 @@ def neighbours(docs: DataFrame, units: dict[bytes, int], unit_class: np.ndarray,
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             packed = (codes % (2 * classes) + 512 * counts).astype("<u4")
             offsets = (4 * np.append(first, len(codes))).astype(np.int32)
-            names = list(numbers)
-            words = pa.array([names[k] for k in word[first].tolist()], pa.binary())
+            words = pa.array([numbers.words[k] for k in word[first].tolist()], pa.binary())
             return pa.RecordBatch.from_arrays([words, pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(packed)])], names=["word", "packed"])
 
         for batch in _slices(batches):
             line, _ = _line(numbers, batch.column("raw").to_pylist())
-            if not len(line) or not numbers:
-                continue
-            table = np.vstack([numbers.table(), [0, 1]])  # the end, reached as -1
-            kind = table[line, 0]
-            at = np.flatnonzero(table[line, 1] == 0)
-            before, after = np.append(0, kind[:-1]), np.append(kind[1:], 0)
+            facts = numbers.table((0, 1))[line]
+            kind, at = facts[:, 0].astype(np.int64), np.flatnonzero(facts[:, 1] == 0)
+            before, after = np.append(0, kind[:-1])[: len(kind)], np.append(kind[1:], 0)
             held.append(np.concatenate([line[at] * (2 * classes) + before[at], line[at] * (2 * classes) + classes + after[at]]))
             n += 2 * len(at)
             if n > CODES or len(numbers) > HELD:
@@ -306,24 +306,28 @@ def _partial(rows: DataFrame, model: ClassModel, keep: list[str]) -> DataFrame:
 
         def describe(w):
             k, c = common.get(w, (-1, 0))
-            return (k, np.log10(c + 1), np.log10(c)) if c else (-1, 0.0, 0.0)
+            return (k, np.log10(c + 1), np.log10(c), 0) if c else (-1, 0.0, 0.0, group_class[ending(w)])
 
         numbers = Numbers(describe)
         for batch in _slices(batches):
             line, starts = _line(numbers, batch.column("raw").to_pylist())
-            table, names = np.vstack([np.array(numbers.values).reshape(-1, 3), [0, 0, 0]]), list(numbers)
-            facts = table[line]
-            out: list[list] = [[] for _ in range(8)]
-            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                kind = facts[a : b - 1, 0].astype(np.int32)
-                other, inverse, times = np.unique(line[a : b - 1][kind < 0], return_inverse=True, return_counts=True)
-                kind[kind < 0] = -1 - inverse
-                words = [names[i] for i in other.tolist()]
-                sums = facts[a : b - 1, 1:].sum(axis=0)
-                for column, value in zip(out, (b - a, int((kind >= 0).sum()), float(sums[0]), float(sums[1]), kind.astype("<i4").tobytes(), words, [group_class[ending(w)] for w in words], times.tolist())):
-                    column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(c, k) for c, k in zip(out, kinds)], names=[*keep, "n_tokens", "n_known", "base", "logs", "line", "words", "groups", "times"])
+            facts, n = numbers.table((0, 0, 0, 0))[line], batch.num_rows
+            of, kind, inside = np.repeat(np.arange(n), np.diff(starts)), facts[:, 0].astype(np.int32), line >= 0
+            other = np.flatnonzero(kind < 0)
+            width = len(numbers.words) + 1
+            pairs, inverse, times = np.unique(of[other] * width + line[other], return_inverse=True, return_counts=True)
+            row, word = pairs // width, pairs % width
+            first = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)  # where each row's other words start
+            kind[other] = -1 - (inverse - first[of[other]])
+            distinct, place = np.unique(word, return_inverse=True)
+            words = pa.array([numbers.words[i] for i in distinct.tolist()], pa.binary()).take(pa.array(place))
+            groups = pa.array(numbers.rows[word, 3].astype(np.int32))
+            known = np.bincount(of[inside & (kind >= 0)], minlength=n)
+            base, logs = np.bincount(of, facts[:, 1], minlength=n), np.bincount(of, facts[:, 2], minlength=n)
+            ends = (4 * (starts - np.arange(n + 1))).astype(np.int32)  # without the ends
+            lines = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(kind[inside].astype("<i4"))])
+            lists = [pa.ListArray.from_arrays(pa.array(first), x) for x in (words, groups, pa.array(times.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(np.diff(starts)), pa.array(known), pa.array(base), pa.array(logs), lines, *lists], names=[*keep, "n_tokens", "n_known", "base", "logs", "line", "words", "groups", "times"])
             if len(numbers) > HELD:
                 numbers = Numbers(describe)
 
@@ -336,17 +340,18 @@ def _sequences(done: DataFrame, keep: list[str]) -> DataFrame:
     schema = ", ".join(f"{c} {dict(done.dtypes)[c]}" for c in same) + ", line binary"
 
     def run(batches):
-        for batch in batches:
-            lines = []
-            for line, found in zip(batch.column("line").to_pylist(), batch.column("found").to_pylist()):
-                kind = np.frombuffer(line, dtype="<i4")
-                if found:
-                    of = np.zeros(len(found), dtype=np.int64)
-                    for x in found:
-                        of[x["at"]] = x["class"] if x["known"] else x["class"] + NEW
-                    kind = np.where(kind < 0, of[np.where(kind < 0, -1 - kind, 0)], kind)
-                lines.append(kind.astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in same], pa.array(lines, pa.binary())], names=[*same, "line"])
+        for batch in _slices(batches):
+            bodies, found = batch.column("line").to_pylist(), batch.column("found")
+            sizes = np.array([len(x) // 4 for x in bodies], dtype=np.int64)
+            kind = np.frombuffer(b"".join(bodies), dtype="<i4").astype(np.int64)
+            counts = np.array(pc.fill_null(pc.list_value_length(found), 0), dtype=np.int64)
+            first, flat = np.cumsum(counts) - counts, found.flatten()
+            of, place = np.zeros(counts.sum() + 1, dtype=np.int64), np.repeat(first, counts) + flat.field("at").to_numpy(zero_copy_only=False)
+            of[place] = flat.field("class").to_numpy(zero_copy_only=False) + np.where(flat.field("known").to_numpy(zero_copy_only=False), 0, NEW)
+            kind = np.where(kind < 0, of[np.where(kind < 0, np.repeat(first, sizes) - 1 - kind, 0)], kind)
+            ends = (2 * np.append(0, np.cumsum(sizes))).astype(np.int32)
+            lines = pa.Array.from_buffers(pa.binary(), len(bodies), [None, pa.py_buffer(ends), pa.py_buffer(kind.astype("<u2"))])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in same], lines], names=[*same, "line"])
 
     return done.select(*same, "line", "found").mapInArrow(run, schema)
 
