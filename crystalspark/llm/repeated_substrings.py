@@ -56,7 +56,7 @@ GRAM = 160
 #: Starts of a long text looked at in one go; pieces of one construction.
 SEGMENT, PIECES = 1 << 20, 1 << 15
 #: Different pieces of an anchor that are compared without a split; parts of the reach that the splits step by.
-HOT, SPLITS = 2048, (4, 30)
+HOT, SPLITS = 2048, (4, 8)
 #: Columns between two writes of the external files.
 COLUMNS = 64
 _BASE = 0x9E3779B97F4A7C15 | 1
