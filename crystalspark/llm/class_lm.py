@@ -12,9 +12,9 @@ class that most raises the likelihood beside the core's class bigrams (to first
 order, as one rare word changes them little). Only rarer and unknown words keep
 the class of their ending. The number of classes grows with the corpus.
 
-The word table (word, count, class) stays distributed: words with at least
-``COMMON`` of all tokens (at most 1 / COMMON) travel to every task, the rest meet
-their documents in a join, one row per document and word. Class bigrams are then
+The word table (word, count, class) stays distributed: its most frequent words,
+``COMMON`` at most, travel to every task, the rest meet their documents in a
+join, one row per document and word. Class bigrams are then
 counted anew over the classes so found; transitions are smoothed towards the
 class shares, and a class gives unknown words the mass of its words met once.
 """
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from math import log10
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,12 @@ from pyspark.sql import functions as F
 
 from crystalspark.llm.common import materialise, raw
 
-SHARE, COMMON = 1 / 2048, 1e-6
+SHARE, COMMON = 1 / 2048, 1 << 18
 GROUPS, SWEEPS, LEAST = 256, 12, 3
 #: Classes: the fourth root of the training tokens, within these bounds.
 LEAST_CLASSES, MOST_CLASSES = 48, 250
 #: Words and neighbours a task holds before it hands them on.
-HELD, CODES = 300_000, 4_000_000
+HELD, CODES = 500_000, 4_000_000
 #: Weight of the class shares in a transition, in tokens.
 MU = 8.0
 #: Marks an unknown word's class in a row's sequence.
@@ -285,7 +286,13 @@ def fit(train: DataFrame) -> tuple[ClassModel, DataFrame]:
     onehot[np.arange(size), label] = 1
     group_class, counts = label[1 + len(units) :], pairs.sum(axis=0)
     words = materialise(join_classes(neighbours(train, units, label, classes), onehot.T @ pairs @ onehot, group_class), "lm-words")
-    common = words.where(F.col("c") >= total * COMMON).toArrow()  # at most 1 / COMMON
+    bits, least, room = F.length(F.bin("c")), None, COMMON
+    for r in sorted(words.groupBy(bits.alias("bits")).count().collect(), reverse=True):  # one row a power of two
+        room -= r["count"]
+        if room < 0:
+            break
+        least = 1 << (r.bits - 1)
+    common = words.where(F.lit(False) if least is None else F.col("c") >= least).toArrow()  # at most COMMON
     known = {w: (k, c) for w, k, c in zip(*(common.column(x).to_pylist() for x in ("word", "class", "c")))}
     known |= {w: (int(label[i]), int(counts[i])) for w, i in units.items()}
     ends = int(counts[0])
@@ -306,7 +313,7 @@ def _partial(rows: DataFrame, model: ClassModel, keep: list[str]) -> DataFrame:
 
         def describe(w):
             k, c = common.get(w, (-1, 0))
-            return (k, np.log10(c + 1), np.log10(c), 0) if c else (-1, 0.0, 0.0, group_class[ending(w)])
+            return (k, log10(c + 1), log10(c), 0) if c else (-1, 0.0, 0.0, group_class[ending(w)])
 
         numbers = Numbers(describe)
         for batch in _slices(batches):

@@ -36,7 +36,7 @@ def bigrams(texts, of, classes):
 
 def test_against_brute_force(docs, clashing, rows, monkeypatch):
     train = crc_mod("doc_id", 7) != 2
-    for common in (lm.COMMON, 0.01):
+    for common in (lm.COMMON, 20):
         monkeypatch.setattr(lm, "COMMON", common)
         found = lm.score(docs, train).collect()
         texts = [toks(r[1]) for r in rows if not held(r[0])]
