@@ -19,8 +19,9 @@ fewer above it; sets of fewer than ``SMALL`` shingles, whose bits vary more,
 meet without a radius and lose none.
 
 Dense groups do not become all their pairs: first every set meets only the few
-neighbours it shares most values with, and once those links are followed, the
-trees look for pairs that still lie in different components.
+neighbours it shares most values with, then the trees give one pair for any two
+components that meet in a shard, and once those links are followed, all pairs
+that still lie in different components.
 """
 
 from __future__ import annotations
@@ -109,8 +110,11 @@ def describe(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return rows.select("row", "raw").mapInArrow(run, schema)
 
 
-def tree_pairs(met: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, cell) of sets that the tree of a shard links across components, and one such shard; sizes, prefixes and parity bits allow the similarity."""
+def tree_pairs(met: DataFrame, num: int, den: int, one: bool) -> DataFrame:
+    """(a, b, cell) of sets that the tree of a shard links across components, and one such shard; sizes, prefixes and parity bits allow the similarity.
+
+    With ``one``, a shard gives only the nearest pair of any two components.
+    """
     parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = ["shingle", "key", "n", "near", "comp", "fp", *BITS]
     dealt = met.select(*names).repartition(parts, "shingle").sortWithinPartitions("shingle", "n", "key")
@@ -134,6 +138,13 @@ def tree_pairs(met: DataFrame, num: int, den: int) -> DataFrame:
             apart = np.bitwise_count((bits[a] ^ bits[b]).view(np.uint64)).sum(axis=1, dtype=np.int64)
             hit = apart * (num + den) <= (den - num) * (n[a] + n[b])
             a, b = a[hit], b[hit]
+            if one and len(a):
+                away = np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64))
+                low, high = np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])
+                best = np.lexsort((away, high, low, shingle[a]))
+                a, b, low, high = a[best], b[best], low[best], high[best]
+                fresh_ = np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (shingle[a[1:]] != shingle[a[:-1]]))
+                a, b = a[fresh_], b[fresh_]
             if len(a):
                 found.append(pa.RecordBatch.from_arrays([pa.array(np.minimum(key[a], key[b])), pa.array(np.maximum(key[a], key[b])), pa.array(shingle[a]), pa.array(n[a])], names=["a", "b", "cell", "m"]))
         return found
@@ -152,6 +163,8 @@ def tree_pairs(met: DataFrame, num: int, den: int) -> DataFrame:
             yield from flush(held)
 
     pairs = dealt.mapInArrow(run, "a long, b long, cell long, m long").groupBy("a", "b").agg(F.min("cell").alias("cell"), F.count("*").alias("_n"), F.max("m").alias("m"))
+    if one:
+        return pairs.select("a", "b", "cell")
     first = F.col("m") - F.ceil(F.col("m") * (2 * num) / (num + den)) + 1
     share = F.lit(num / den)
     return pairs.where(F.col("_n") >= share * first - SHY * F.sqrt(share * (1 - share) * first)).select("a", "b", "cell")
@@ -237,10 +250,14 @@ def groups(docs: DataFrame, row: str, text: str = "text", width: int = 5, num: i
     tried = materialise(both.withColumn("_at", F.row_number().over(most)).where(F.col("_at") <= FIRST).select("a", "b", "cell"), "copies-tried")
     links = verified(tried, sets, texts, width, num, den)
     roots = components(links, "a", "b", "copies")
-    named = met.select("shingle", "key", "n", "near").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("root", "key"))
-    open_ = named.groupBy("shingle").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low <> _high").select("shingle")
-    named = named.join(open_, "shingle").join(sets.select("key", "fp", *BITS), "key")
-    more = verified(tree_pairs(named, num, den).join(tried, ["a", "b"], "left_anti"), sets, texts, width, num, den)
-    if not more.isEmpty():
-        roots = components(links.union(more), "a", "b", "copies")
+    for one in (True, False):
+        named = met.select("shingle", "key", "n", "near").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("root", "key"))
+        open_ = named.groupBy("shingle").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low <> _high").select("shingle")
+        named = named.join(open_, "shingle").join(sets.select("key", "fp", *BITS), "key")
+        fresh = materialise(tree_pairs(named, num, den, one).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "copies-fresh")
+        more = verified(fresh, sets, texts, width, num, den)
+        tried = tried.select("a", "b").union(fresh.select("a", "b"))
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = components(links, "a", "b", "copies")
     return marked.select("row", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("row", F.coalesce("root", "key").alias("root"))
