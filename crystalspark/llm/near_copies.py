@@ -19,9 +19,9 @@ fewer above it; sets of fewer than ``SMALL`` shingles, whose bits vary more,
 meet without a radius and lose none.
 
 Dense groups do not become all their pairs: first every set meets only the few
-neighbours it shares most values with, then the trees give one pair for any two
-components that meet in a shard, and once those links are followed, all pairs
-that still lie in different components.
+neighbours it shares most values with, then in two rounds the trees of a shard give
+each component its nearest other one, and once those links are followed, all
+pairs that still lie in different components.
 """
 
 from __future__ import annotations
@@ -113,7 +113,7 @@ def describe(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
 def tree_pairs(met: DataFrame, num: int, den: int, one: bool) -> DataFrame:
     """(a, b, cell) of sets that the tree of a shard links across components, and one such shard; sizes, prefixes and parity bits allow the similarity.
 
-    With ``one``, a shard gives only the nearest pair of any two components.
+    With ``one``, a shard gives each component its nearest pair only.
     """
     parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = ["shingle", "key", "n", "near", "comp", "fp", *BITS]
@@ -140,11 +140,11 @@ def tree_pairs(met: DataFrame, num: int, den: int, one: bool) -> DataFrame:
             a, b = a[hit], b[hit]
             if one and len(a):
                 away = np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64))
-                low, high = np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])
-                best = np.lexsort((away, high, low, shingle[a]))
-                a, b, low, high = a[best], b[best], low[best], high[best]
-                fresh_ = np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (shingle[a[1:]] != shingle[a[:-1]]))
-                a, b = a[fresh_], b[fresh_]
+                side, pair = np.concatenate([comp[a], comp[b]]), np.tile(np.arange(len(a)), 2)
+                best = np.lexsort((away[pair], side, shingle[a[pair]]))
+                side, shard = side[best], shingle[a[pair[best]]]
+                keep = np.unique(pair[best][np.append(True, (side[1:] != side[:-1]) | (shard[1:] != shard[:-1]))])
+                a, b = a[keep], b[keep]
             if len(a):
                 found.append(pa.RecordBatch.from_arrays([pa.array(np.minimum(key[a], key[b])), pa.array(np.maximum(key[a], key[b])), pa.array(shingle[a]), pa.array(n[a])], names=["a", "b", "cell", "m"]))
         return found
@@ -250,7 +250,7 @@ def groups(docs: DataFrame, row: str, text: str = "text", width: int = 5, num: i
     tried = materialise(both.withColumn("_at", F.row_number().over(most)).where(F.col("_at") <= FIRST).select("a", "b", "cell"), "copies-tried")
     links = verified(tried, sets, texts, width, num, den)
     roots = components(links, "a", "b", "copies")
-    for one in (True, False):
+    for one in (True, True, False):
         named = met.select("shingle", "key", "n", "near").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("root", "key"))
         open_ = named.groupBy("shingle").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low <> _high").select("shingle")
         named = named.join(open_, "shingle").join(sets.select("key", "fp", *BITS), "key")
