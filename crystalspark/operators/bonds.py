@@ -201,7 +201,7 @@ def unwrap(atoms: DataFrame, bonds: DataFrame, parts: DataFrame) -> DataFrame:
                     out.append((r.structure_id, p["atom_idx"], p["component"], *x.tolist()))
             yield pd.DataFrame(out, columns=["structure_id", "atom_idx", "component", "x", "y", "z"])
 
-    return rows.join(lists, "structure_id", "left").mapInPandas(run, "structure_id long, atom_idx int, component int, x double, y double, z double")
+    return rows.join(lists, "structure_id", "left").mapInPandas(run, f"structure_id {dict(rows.dtypes)['structure_id']}, atom_idx int, component int, x double, y double, z double")
 
 
 def boxed(points: DataFrame, box: float = 20.0) -> DataFrame:

@@ -114,7 +114,7 @@ def projection(points: DataFrame) -> DataFrame:
                 out += [(r.structure_id, p["atom_idx"], *f.tolist()) for p, f in zip(r.points, flat)]
             yield pd.DataFrame(out, columns=["structure_id", "atom_idx", "u", "v"])
 
-    return rows.mapInPandas(run, "structure_id long, atom_idx int, u double, v double")
+    return rows.mapInPandas(run, f"structure_id {dict(rows.dtypes)['structure_id']}, atom_idx int, u double, v double")
 
 
 def axis_limits(points: DataFrame, column: str, padding: float = 0.05) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 
 from crystalspark.functions import geometry as g
 from crystalspark.functions import text as t
-from crystalspark.operators import bonds, calculations, cells, corpus, dims, pdd, symmetry, typing, zmatrix
+from crystalspark.operators import bonds, calculations, cells, corpus, dims, pdd, results, symmetry, typing, zmatrix
 from crystalspark.operators.corpus import SQL, table
 from crystalspark.operators.store import written
 from crystalspark.sources import writers
@@ -506,27 +506,29 @@ def manifest_missing(spark, sf_dir):
 @query("SELECT c_custkey AS identifier, round(c_acctbal, 6) AS x, round(o.total, 2) AS y, c_mktsegment = 'BUILDING' AS is_hydrate FROM customer JOIN (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY ALL) o ON o_custkey = c_custkey WHERE c_acctbal IS NOT NULL")
 def results_points(spark, sf_dir):
     totals = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("identifier")).agg(F.sum("o_totalprice").alias("y"))
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("identifier"), F.col("c_acctbal").cast("string").try_cast("double").alias("x"), (F.upper(F.trim("c_mktsegment")) == "BUILDING").alias("is_hydrate"))
-    return c.where("x IS NOT NULL").join(totals, "identifier").select("identifier", F.round("x", 6).alias("x"), F.round("y", 2).alias("y"), "is_hydrate")
+    c = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "identifier").join(totals, "identifier")
+    found = results.points(c, "c_acctbal", "y", hydrate="c_mktsegment", exact="BUILDING")
+    return found.select(F.col("identifier").cast("long").alias("identifier"), F.round("x", 6).alias("x"), F.round("y", 2).alias("y"), "is_hydrate")
 
 
 @query("SELECT CASE WHEN s_suppkey % 17 = 3 THEN 'removed' ELSE 'kept' END AS side, count(*) AS n, round(sum(s_acctbal), 2) AS total FROM supplier GROUP BY ALL")
 def outlier_split(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").withColumn("side", F.when(F.col("s_suppkey") % 17 == 3, "removed").otherwise("kept"))
+    kept, removed = results.outliers(table(spark, sf_dir, "supplier"), F.col("s_suppkey") % 17 == 3)
+    s = kept.withColumn("side", F.lit("kept")).union(removed.withColumn("side", F.lit("removed")))
     return s.groupBy("side").agg(F.count("*").alias("n"), F.round(F.sum("s_acctbal"), 2).alias("total"))
 
 
 @query("WITH a AS (SELECT n_nationkey AS id, n_name AS label FROM nation WHERE n_nationkey % 3 <> 0), b AS (SELECT s_nationkey AS id, max(s_name) AS label FROM supplier WHERE s_nationkey % 2 = 0 GROUP BY ALL) SELECT coalesce(a.id, b.id) AS id, coalesce(b.label, a.label) AS label, a.id IS NOT NULL AS in_first, b.id IS NOT NULL AS in_second FROM a FULL OUTER JOIN b ON a.id = b.id")
 def merge_two_sources_full_outer(spark, sf_dir):
-    a = table(spark, sf_dir, "nation").where("n_nationkey % 3 <> 0").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("l1"), F.lit(True).alias("f1"))
-    b = table(spark, sf_dir, "supplier").where("s_nationkey % 2 = 0").groupBy(F.col("s_nationkey").alias("id")).agg(F.max("s_name").alias("l2")).withColumn("f2", F.lit(True))
-    return a.join(b, "id", "full_outer").select("id", F.coalesce("l2", "l1").alias("label"), F.coalesce("f1", F.lit(False)).alias("in_first"), F.coalesce("f2", F.lit(False)).alias("in_second"))
+    a = table(spark, sf_dir, "nation").where("n_nationkey % 3 <> 0").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("label"))
+    b = table(spark, sf_dir, "supplier").where("s_nationkey % 2 = 0").groupBy(F.col("s_nationkey").alias("id")).agg(F.max("s_name").alias("label"))
+    return results.merged(a, b, "id")
 
 
 @query("SELECT c_custkey AS id, CASE WHEN c_acctbal < 0 THEN 'invalid energy' WHEN c_mktsegment = 'HOUSEHOLD' THEN 'notes present' WHEN o.n IS NULL THEN 'missing file' WHEN o.n < 5 THEN 'signature mismatch' ELSE 'generated' END AS reason FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL) o ON o_custkey = c_custkey")
 def reason_rule_chain(spark, sf_dir):
     o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
-    rule = F.when(F.col("c_acctbal") < 0, "invalid energy").when(F.col("c_mktsegment") == "HOUSEHOLD", "notes present").when(F.col("n").isNull(), "missing file").when(F.col("n") < 5, "signature mismatch").otherwise("generated")
+    rule = results.reason({"invalid energy": F.col("c_acctbal") < 0, "notes present": F.col("c_mktsegment") == "HOUSEHOLD", "missing file": F.col("n").isNull(), "signature mismatch": F.col("n") < 5}, "generated")
     return table(spark, sf_dir, "customer").join(o, "c_custkey", "left").select(F.col("c_custkey").alias("id"), rule.alias("reason"))
 
 
@@ -570,9 +572,8 @@ def multiset_difference(spark, sf_dir):
 @query("WITH a AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderstatus = 'O') SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'missing left' WHEN b.id IS NULL THEN 'missing right' ELSE 'paired' END AS state FROM a FULL OUTER JOIN b ON a.id = b.id")
 def path_pairing_full_outer(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    a, b = (o.where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("id")).distinct().withColumn(s, F.lit(1)) for s in "FO")
-    state = F.when(F.col("F").isNull(), "missing left").when(F.col("O").isNull(), "missing right").otherwise("paired")
-    return a.join(b, "id", "full_outer").select("id", state.alias("state"))
+    a, b = (o.where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("id")) for s in "FO")
+    return results.paired(a, b, "id")
 
 
 @query("SELECT l_orderkey AS structure_id, l_linenumber AS line, l_discount AS occupancy, count(*) AS n FROM lineitem WHERE l_discount < 0.05 GROUP BY ALL")

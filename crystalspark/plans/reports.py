@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from crystalspark.operators import bonds, calculations, corpus, dims, pdd, reports, zmatrix
+from crystalspark.operators import bonds, calculations, compare, corpus, dims, pdd, reports, results, symmetry, zmatrix
 from crystalspark.operators.corpus import table
-from crystalspark.plans.catalog import _CHAIN, _MOLS, _SIGN, ELEMENTS_SQL, W_, cart, chain, query, r6, rs, split, zrows
-from crystalspark.sources import decks, writers
+from crystalspark.plans.catalog import _CHAIN, _MOLS, _SIGN, ELEMENTS_SQL, W_, cart, chain, ops, query, r6, rs, split, zrows
+from crystalspark.sources import decks, writers, zmatrix_files
 
 # decks
 
@@ -96,13 +96,27 @@ _STEPS = """sp AS (SELECT system, count(*) FILTER (WHERE event_type <> 'error')
 @query(f"""WITH {_CHAIN}, {_STEPS} SELECT system, CASE WHEN system % 9 <> 0 THEN CAST(ionic AS INT) END AS ionic_iterations, CASE WHEN system % 9 <> 0 THEN CAST(electronic AS INT) END AS total_electronic_iterations, CASE WHEN system % 9 <> 0 THEN CAST(last AS INT) END AS last_electronic_iterations,
 CASE WHEN system % 9 <> 0 THEN {rs('energy', 'final_energy_ev').replace(' AS final_energy_ev', '')} END AS final_energy_ev, CASE WHEN system % 9 <> 0 THEN last < 3 END AS converged_electronic, CASE WHEN system % 9 <> 0 THEN 40 > ionic END AS converged_ionic, system % 9 = 0 AS broken FROM sp""")
 def calculation_xml(spark, sf_dir):
+    docs = xml_docs(spark, sf_dir)
+    found = calculations.calculation_xml(F.col("xml"))
+    return docs.withColumns(found).select("system", "ionic_iterations", "total_electronic_iterations", "last_electronic_iterations", r6("final_energy_ev").alias("final_energy_ev"), "converged_electronic", "converged_ionic", F.col("parse_error").isNotNull().alias("broken"))
+
+
+def xml_docs(spark, sf_dir):
     """XML outputs made of the events: one ionic step an event, cut short for every ninth system."""
     step = F.when(F.col("event_type") != "error", F.concat(F.lit("<calculation>"), F.repeat(F.lit("<scstep><time>1 1</time></scstep>"), (F.col("event_id") % 4).cast("int")), F.lit('<energy><i name="e_fr_energy"> 1.0 </i><i name="e_0_energy"> '), F.col("value").cast("string"), F.lit(" </i></energy></calculation>")))
     doc = F.concat(F.lit('<?xml version="1.0"?>\n<modeling>\n<incar><i type="int" name="NELM"> 3</i><i type="int" name="NSW"> 40</i></incar>\n'), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", step.alias("x")))), lambda s: F.coalesce(s["x"], F.lit(""))), "\n"), F.lit("\n</modeling>\n"))
     docs = chain(spark, sf_dir).groupBy("system").agg(doc.alias("xml"))
-    docs = docs.withColumn("xml", F.when(F.col("system") % 9 == 0, F.expr("substring(xml, 1, length(xml) - 15)")).otherwise(F.col("xml")))
-    found = calculations.calculation_xml(F.col("xml"))
-    return docs.withColumns(found).select("system", "ionic_iterations", "total_electronic_iterations", "last_electronic_iterations", r6("final_energy_ev").alias("final_energy_ev"), "converged_electronic", "converged_ionic", F.col("parse_error").isNotNull().alias("broken"))
+    return docs.withColumn("xml", F.when(F.col("system") % 9 == 0, F.expr("substring(xml, 1, length(xml) - 15)")).otherwise(F.col("xml")))
+
+
+@query(f"""WITH {_CHAIN}, {_STEPS}, su AS (SELECT system % 20 AS s, system % 7 <> 0 AS good, system // 20 AS k, system % 9 <> 0 AS whole, energy, CASE WHEN system % 7 = 0 THEN 'old' ELSE '' END || (system // 20) || '/vasprun.xml' AS relative_path FROM sp),
+nu AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY good, CASE WHEN good THEN k END, relative_path) AS n, count(*) OVER (PARTITION BY s) AS m FROM su)
+SELECT CAST(s AS VARCHAR) AS system, relative_path, CAST(n AS INT) AS position, m AS calculation_count, n = m AS is_latest_calculation, NOT good AS chain_error, CASE WHEN whole THEN {rs('energy', 'e').replace(' AS e', '')} END AS final_energy_ev FROM nu""")
+def system_summary(spark, sf_dir):
+    k = F.expr("system div 20").cast("string")
+    runs = xml_docs(spark, sf_dir).select((F.col("system") % 20).cast("string").alias("system"), F.concat(F.when(F.col("system") % 7 == 0, "old").otherwise(""), k, F.lit("/vasprun.xml")).alias("relative_path"), F.col("xml").alias("text"))
+    found = results.system_summary(runs)
+    return found.select("system", "relative_path", "position", "calculation_count", "is_latest_calculation", F.col("chain_error").isNotNull().alias("chain_error"), r6("final_energy_ev").alias("final_energy_ev"))
 
 
 @query(f"WITH {_CHAIN} SELECT system, {rs('coalesce(max(value) FILTER (WHERE event_type = $$click$$), arg_max(value, step))', 'cpu_seconds')} FROM ev GROUP BY system")
@@ -211,3 +225,53 @@ def stage_label_order(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").withColumn("label", label)
     keys = calculations.stage_order(F.col("label"), F.lit("self"))[:2]
     return s.select(k.alias("id"), F.row_number().over(W.partitionBy("s_nationkey").orderBy(*keys, "s_name", "s_suppkey")).alias("place"))
+
+
+# files of Z-matrices, comparisons, result tables
+
+
+@query(f"""{W_} SELECT CAST(structure_id AS VARCHAR) AS mol_id, atom_idx + 1 AS row_index, element || row_number() OVER (PARTITION BY structure_id, element ORDER BY atom_idx) AS label, element, CASE WHEN atom_idx >= 1 THEN atom_idx END AS bond_to, {rs('CASE WHEN atom_idx >= 1 THEN 1.0 + fx END', 'bond_length')}, {rs('CASE WHEN atom_idx >= 2 THEN 60.0 + 100.0 * fy END', 'angle_deg')} FROM atoms""")
+def zmatrix_documents(spark, sf_dir):
+    texts = writers.zmatrix(zrows(spark, sf_dir)).select(F.concat("mol_id", F.lit(".zmat")).alias("path"), "text")
+    rows = zmatrix_files.atom_rows(zmatrix_files.documents(texts))
+    return rows.select("mol_id", "row_index", "label", "element", "bond_to", r6("bond_length").alias("bond_length"), r6("angle_deg").alias("angle_deg"))
+
+
+@query(f"{W_} SELECT CAST(structure_id AS VARCHAR) AS mol_id, atom_idx AS i, atom_idx + 1 AS j FROM atoms WHERE atom_idx >= 1")
+def zmatrix_bonds(spark, sf_dir):
+    texts = decks.zmatrix_text(zrows(spark, sf_dir), ["mol_id"], F.col("mol_id")).select(F.concat("mol_id", F.lit(".zmat")).alias("path"), "text")
+    return zmatrix_files.bond_rows(zmatrix_files.documents(texts))
+
+
+@query(f"""{W_}, c AS (SELECT structure_id, string_agg(element || '_' || atom_idx, ',' ORDER BY atom_idx) AS last FROM atoms GROUP BY ALL), f AS (SELECT last, min(structure_id) AS id FROM c WHERE structure_id % 2 = 0 GROUP BY ALL)
+SELECT a.structure_id, f.id AS mol_id, CASE WHEN f.id IS NOT NULL THEN a.atom_idx END AS row_index, CASE WHEN f.id IS NOT NULL THEN a.atom_idx END AS atom_idx FROM atoms a JOIN c USING (structure_id) LEFT JOIN f USING (last) WHERE f.id IS NOT NULL OR a.atom_idx = 0""")
+def label_match(spark, sf_dir):
+    """Structures take the order of the first even structure with their labels."""
+    a = corpus.atoms(spark, sf_dir).select("structure_id", F.lit(0).alias("component"), "atom_idx", F.concat_ws("_", "element", "atom_idx").alias("label"))
+    rows = a.where("structure_id % 2 = 0").select(F.col("structure_id").alias("mol_id"), F.col("atom_idx").alias("row_index"), "label")
+    return zmatrix_files.matched(a, rows).drop("component")
+
+
+@query()
+def round_trip(spark, sf_dir):
+    """Full cells reduced and expanded anew, held against themselves site by site (no distances: with k = 100 these took 74 s on sf0.001)."""
+    sites = symmetry.expand(corpus.atoms(spark, sf_dir), ops(spark))
+    full = sites.select("structure_id", *compare.CELL, (F.row_number().over(W.partitionBy("structure_id").orderBy("atom_idx", "op_idx")) - 1).alias("atom_idx"), F.col("site_label").alias("label"), "element", F.col("gx").alias("fx"), F.col("gy").alias("fy"), F.col("gz").alias("fz"))
+    found = compare.round_trip(full, k=None)
+    return found.select("structure_id", "full_atoms", "n_unique", "rebuilt_atoms", "n_operations", F.round("displacement_to_full", 4).alias("displacement_to_full"))
+
+
+@query("SELECT coalesce(x.s, k.s) AS status, coalesce(n, 0) AS n FROM (VALUES ('F'), ('X')) x(s) FULL OUTER JOIN (SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY ALL) k ON x.s = k.s")
+def status_counts(spark, sf_dir):
+    return results.status_counts(table(spark, sf_dir, "orders"), ["F", "X"], "o_orderstatus")
+
+
+@query("SELECT o_orderpriority AS value, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM orders GROUP BY ALL")
+def value_distribution(spark, sf_dir):
+    return results.distribution(table(spark, sf_dir, "orders"), "o_orderpriority").withColumn("share", F.round("share", 6))
+
+
+@query("SELECT DISTINCT c_custkey AS identifier, c_name AS label FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def highlighted_points(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("identifier"), F.col("c_name").alias("label"))
+    return results.highlighted(c, table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("identifier")))

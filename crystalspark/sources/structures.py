@@ -230,7 +230,7 @@ def expand(found: dict, tolerance: float = 0.01) -> tuple[list[tuple], int]:
 
 
 def read_structures(spark: SparkSession, path: str, fmt: str | None = None, expanded: bool = False, tolerance: float = 0.01) -> DataFrame:
-    """One row a file; ``expanded`` gives the full cell of files with operations."""
+    """One row a file; ``expanded`` gives the full cell of files with operations, and explicit cells as they are."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return parse_texts(files, fmt, expanded, tolerance)
 
@@ -246,7 +246,7 @@ def parse_texts(files: DataFrame, fmt: str | None = None, expanded: bool = False
                 try:
                     kind = fmt or format_of(path)
                     found = READERS[kind](text)
-                    atoms = expand(found, tolerance)[0] if expanded else found["atoms"]
+                    atoms = expand(found, tolerance)[0] if expanded and (found["operations"] or not found["explicit"]) else found["atoms"]
                     cells = [{"atom_idx": i, "label": a[0], "element": a[1], "fx": a[2], "fy": a[3], "fz": a[4], "occupancy": a[5]} for i, a in enumerate(atoms)]
                     out.append((path, name, kind, *found["cell"], found["space_group"], expanded or found["explicit"], found["lattice"], found["operations"], cells, None))
                 except (ValueError, KeyError, IndexError, AttributeError) as error:

@@ -74,7 +74,8 @@ def kpoints(structures: DataFrame, spacing: float = SPACING) -> DataFrame:
 
 def zmatrix(rows: DataFrame) -> DataFrame:
     """(mol_id, text) of numeric Z-matrix rows with ten decimals."""
-    row = F.concat_ws(" ", "element", "bond_to", F.format_number("bond_length", "0.0000000000"), "angle_to", F.format_number("angle_deg", "0.0000000000"), "dihedral_to", F.format_number("dihedral_deg", "0.0000000000"))
+    ten = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.10f", c))
+    row = F.concat_ws(" ", "element", "bond_to", ten("bond_length"), "angle_to", ten("angle_deg"), "dihedral_to", ten("dihedral_deg"))
     return rows.groupBy("mol_id").agg(_joined(["row_index"], row).alias("_rows")).select("mol_id", F.concat(F.lit("# ZMAT v1\n# title: "), "mol_id", F.lit("\n"), "_rows", F.lit("\n")).alias("text"))
 
 
@@ -101,6 +102,20 @@ def gas_phase(deck: Column) -> Column:
     return F.array_join(F.transform(F.split(deck, "\n"), line), "\n")
 
 
+#: What each format is written by; ``res`` also takes the lattice number and the operations, none given means a full cell without symmetry.
+FORMATS = ("cif", "pdb", "poscar", "res")
+
+
+def text_of(atoms: DataFrame, fmt: str, lattice: Column | None = None, operations: Column | None = None) -> DataFrame:
+    """(structure_id, text) of structures in one of FORMATS; a name with a dot gives the format by its ending."""
+    kind = fmt.rsplit(".", 1)[-1].lower()
+    if kind not in FORMATS:
+        raise ValueError(f"unsupported format {fmt}")
+    if kind == "res":
+        return res(atoms, F.lit(-1) if lattice is None else lattice, F.array().cast("array<string>") if operations is None else operations)
+    return {"cif": cif, "pdb": pdb, "poscar": poscar}[kind](atoms)
+
+
 def save(texts: DataFrame, path: str, name: str = "structure_id") -> None:
     """Write (name, text) rows as one text file a folder, through Spark's committer."""
     texts.select(F.col(name).cast("string").alias("name"), F.col("text").alias("value")).write.partitionBy("name").mode("errorifexists").text(path)
