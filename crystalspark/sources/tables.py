@@ -25,7 +25,7 @@ def potentials(numbered: DataFrame) -> DataFrame:
     return df.select(
         "path", "section", F.when(pair, parts[0]).alias("site_a"), F.when(pair, parts[1]).alias("site_b"),
         F.when(~pair, F.trim(F.substring_index("line", ":", 1))).alias("key"),
-        F.when(pair, F.transform(F.slice(parts, 3, 20), lambda x: x.try_cast("double"))).alias("values"),
+        F.when(pair, F.transform(F.slice(parts, F.lit(3), F.greatest(F.size(parts) - 2, F.lit(0))), lambda x: x.try_cast("double"))).alias("values"),
         F.when(~pair & F.col("line").contains(":"), F.trim(F.regexp_extract("line", ":(.*)$", 1))).alias("value"),
     )
 
