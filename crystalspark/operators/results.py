@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -107,6 +107,15 @@ def distribution(df: DataFrame, value: str) -> DataFrame:
     return counts.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy()))  # one row a value
 
 
+def runs(spark: SparkSession, root: str, name: str = "vasprun.xml") -> DataFrame:
+    """(system, relative_path, path, text) of the files of that name at any depth below the folders of ``root``, which are the systems."""
+    files = spark.read.option("pathGlobFilter", name).option("recursiveFileLookup", True).text(root, wholetext=True)
+    path, below = F.col("_metadata.file_path"), root.rstrip("/") + "/"
+    parts = F.split(F.substring(path, F.instr(path, below) + len(below), F.length(path)), "/")
+    df = files.select(path.alias("path"), parts.alias("_parts"), F.col("value").alias("text")).where(F.size("_parts") > 1)
+    return df.select(F.col("_parts")[0].alias("system"), F.array_join(F.slice("_parts", F.lit(2), F.size("_parts") - 1), "/").alias("relative_path"), "path", "text")
+
+
 def system_summary(runs: DataFrame) -> DataFrame:
     """A row a calculation, for runs (system, relative_path, text) of whole XML outputs.
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crystalspark.operators import results
-from crystalspark.sources import structures, writers
+from crystalspark.sources import structures, tables, writers
 
 XML = "<modeling><incar><i type='int' name=\"NELM\">60</i></incar><calculation><scstep><time name='total'>1 2</time></scstep><energy><i name='e_0_energy'> -1.5 </i></energy></calculation></modeling>"
 
@@ -66,3 +66,19 @@ def test_dispatch_by_format(spark):
     with pytest.raises(ValueError):
         writers.text_of(atoms, "x.xyz")
     assert writers.text_of(atoms.withColumns({c: F.lit(1.0) for c in "xyz"}), "pdb").head().text.startswith("CRYST1")
+
+
+def test_runs_of_a_folder_are_summed_up(spark, tmp_path):
+    for folder in ("s/1/2", "s/1", "t", "."):
+        (tmp_path / "root" / folder).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "root" / folder / "vasprun.xml").write_text(XML)
+    (tmp_path / "root" / "s" / "OUTCAR").write_text("x")
+    found = results.system_summary(results.runs(spark, str(tmp_path / "root"))).orderBy("system", "position").collect()
+    assert [(r.system, r.relative_path, r.is_latest_calculation, r.final_energy_ev) for r in found] == [("s", "1/vasprun.xml", False, -1.5), ("s", "1/2/vasprun.xml", True, -1.5), ("t", "vasprun.xml", True, -1.5)]
+
+
+def test_potentials_keep_all_values(spark):
+    line = "C N " + " ".join(str(k) for k in range(30))
+    rows = spark.createDataFrame([("p", i, x) for i, x in enumerate(["START PARAMS ! x", line, "END"])], "path string, line_no int, line string")
+    found = tables.potentials(rows).collect()
+    assert [(r.site_a, r.site_b, list(r["values"])) for r in found] == [("C", "N", [float(k) for k in range(30)])]
