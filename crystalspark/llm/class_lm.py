@@ -225,7 +225,7 @@ def join_classes(met: DataFrame, pairs: np.ndarray, group_class: np.ndarray) ->
     classes = len(pairs)
     log = lambda x: np.log(x + 0.5)
     gain = np.vstack([log(pairs) - log(pairs.sum(axis=0)), log(pairs.T) - log(pairs.sum(axis=1))])  # by code and class
-    gain[:, 0] = -np.inf  # the end keeps its class for itself
+    gain[:, 0] = -1e300  # the end keeps its class for itself
     parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = met.repartition(parts, "word").sortWithinPartitions("word")
 
@@ -234,11 +234,16 @@ def join_classes(met: DataFrame, pairs: np.ndarray, group_class: np.ndarray) ->
         of = np.repeat(np.cumsum(fresh) - 1, [len(p) // 4 for p in packed])
         values = np.frombuffer(b"".join(packed), dtype="<u4").astype(np.int64)
         names = [w for w, f in zip(words, fresh) if f]
-        counts = np.bincount(of * 2 * classes + values % 512, values // 512, minlength=len(names) * 2 * classes).reshape(-1, 2 * classes)
-        total = counts[:, :classes].sum(axis=1).astype(np.int64)
-        best = np.argmax(counts[:, :] @ np.where(np.isinf(gain), -1e300, gain), axis=1) if len(names) else np.empty(0, np.int64)
-        own = np.array([group_class[ending(w)] for w in names], dtype=np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(total), pa.array(np.where(total < LEAST, own, best).astype(np.int32))], names=["word", "c", "class"])
+        code, times = values % 512, values // 512
+        total = np.bincount(of, np.where(code < classes, times, 0), minlength=len(names)).astype(np.int64)
+        chosen = np.array([group_class[ending(w)] for w in names], dtype=np.int32)
+        often = np.flatnonzero(total >= LEAST)
+        place = np.full(len(names), -1)
+        place[often] = np.arange(len(often))
+        at = place[of]
+        counts = np.bincount(at[at >= 0] * 2 * classes + code[at >= 0], times[at >= 0], minlength=len(often) * 2 * classes)
+        chosen[often] = np.argmax(counts.reshape(-1, 2 * classes) @ gain, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(total), pa.array(chosen)], names=["word", "c", "class"])
 
     def run(batches):
         words, packed = [], []
