@@ -260,4 +260,6 @@ def groups(docs: DataFrame, row: str, text: str = "text", width: int = 5, num: i
         if not more.isEmpty():
             links = links.union(more)
             roots = components(links, "a", "b", "copies")
+    for done in (sets, met, tried):
+        _drop(done)
     return marked.select("row", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("row", F.coalesce("root", "key").alias("root"))
