@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crystalspark.llm import class_lm, decontaminate, exact_dedup, hilbert_shards, html_blocks, mixing, repeated_substrings, simhash_bktree, token_store, toxicity
+from crystalspark.llm import class_lm, decontaminate, delta_lloyd, exact_dedup, hilbert_shards, html_blocks, maxscore, merge_counts, mixing, repeated_substrings, simhash_bktree, token_store, toxicity
 from crystalspark.llm.common import crc_mod, table
 
 
@@ -74,9 +74,30 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delta_lloyd.compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6).drop("label")
+
+
+#: A document of more tokens is over the limit.
+LIMIT = 1024
+
+
+def op12_merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = merge_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
+
+
+def op13_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.rank_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_main_text, op2_token_store, op3_toxicity, op4_hilbert_shards, op5_repeats, op6_class_lm, op7_decontaminate, op8_exact_dedup, op9_mixing, op10_simhash)}
+    found = (
+        op1_main_text, op2_token_store, op3_toxicity, op4_hilbert_shards, op5_repeats, op6_class_lm, op7_decontaminate, op8_exact_dedup, op9_mixing,
+        op10_simhash, op11_delta_lloyd, op12_merge_counts, op13_maxscore,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.oracle()}
+    return {"op8_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.oracle(), "op11_delta_lloyd": delta_lloyd.oracle(), "op13_maxscore": maxscore.ORACLE}
