@@ -11,7 +11,7 @@ from hashlib import md5
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -27,27 +27,93 @@ def pairs(atoms: DataFrame, columns: list[str]) -> DataFrame:
     return left.join(right, "structure_id").where("i < j")
 
 
-def contacts(atoms: DataFrame, scale: float = 1.2, images: int = 1) -> DataFrame:
+#: Width in Angstrom that the boxes of the neighbour search aim at: well beyond a bond, and small cells stay one box.
+BOX = 6.0
+
+
+def let(name: str, value: str, then: str) -> str:
+    """SQL of ``then`` with ``name`` for a value that is worked out once, however often it is used."""
+    return f"get(transform(array({value}), {name} -> {then}), 0)"
+
+
+def along_axes(point: list[str], reach: str, then: str) -> Column:
+    """``then``, SQL over a struct ``v`` with, for each axis c, the fractional place fc of a point, one over the height of the cell sc, and the reach in cells rc."""
+    struct = lambda fields: "named_struct(" + ", ".join(f"'{k}', {x}" for k, x in fields.items()) + ")"
+    given = struct({c: c for c in g.LATTICE} | dict(zip("xyz", point)) | {"reach": reach})
+    cross = lambda p, q: {"x": f"l.{p}y * l.{q}z - l.{p}z * l.{q}y", "y": f"l.{p}z * l.{q}x - l.{p}x * l.{q}z", "z": f"l.{p}x * l.{q}y - l.{p}y * l.{q}x"}
+    normals = {f"{n}{k}": x for n, pq in zip("uvw", ("bc", "ca", "ab")) for k, x in cross(*pq).items()}
+    turned = struct(normals | {c: f"l.{c}" for c in ("ax", "ay", "az", "x", "y", "z", "reach")})
+    volume = "(n.ax * n.ux + n.ay * n.uy + n.az * n.uz)"
+    places = {f"f{c}": f"(n.x * n.{r}x + n.y * n.{r}y + n.z * n.{r}z) / {volume}" for c, r in zip("xyz", "uvw")}
+    sizes = {f"s{c}": f"sqrt(n.{r}x * n.{r}x + n.{r}y * n.{r}y + n.{r}z * n.{r}z) / abs({volume})" for c, r in zip("xyz", "uvw")}
+    placed = struct(places | sizes | {"reach": "n.reach"})
+    reaches = struct({f"{k}{c}": f"p.{k}{c}" for k in "fs" for c in "xyz"} | {f"r{c}": f"p.reach * p.s{c} + 1e-9D" for c in "xyz"})
+    return F.expr(let("l", given, let("n", turned, let("p", placed, let("v", reaches, then)))))
+
+
+def boxes(reach: str | None = None) -> Column:
+    """The box of a row's atom along each axis (x, y, z), or with ``reach`` (SQL) all boxes it touches there, as arrays; round the cell's edges.
+
+    The cell is cut so that a box is at least BOX wide, or is the whole cell.
+    """
+    fields = []
+    for c in "xyz":
+        n, f = f"greatest(1, int(floor(1 / v.s{c} / {BOX}D)))", f"(v.f{c} - floor(v.f{c}))"
+        if reach is None:
+            found = f"least(int(floor({f} * {n})), {n} - 1)"
+        else:
+            low, high = (f"int(floor(({f} {way} v.r{c}) * {n}))" for way in "-+")
+            found = f"transform(sequence({low}, least({high}, {low} + {n} - 1)), x -> pmod(x, {n}))"
+        fields.append(f"'{c}', {found}")
+    return along_axes(list("xyz"), reach or "0D", f"named_struct({', '.join(fields)})")
+
+
+def neighbours(atoms: DataFrame, reach: str, columns: list[str], looks: str) -> DataFrame:
+    """Every two atoms of a structure with an image within ``reach`` (SQL) of the one that ``looks`` for the other, and some more.
+
+    Rows have the lattice and, as ``a`` and ``b``, structs of atom_idx (as k)
+    and ``columns``; ``looks`` is a condition on them that holds for exactly one
+    order of each pair. A structure's cell is cut into boxes: an atom is sent to
+    those that its reach touches and meets there, by an equi-join, the atoms
+    that lie in them, so the work grows with the atoms and not with their pairs.
+    """
+    own = F.struct(F.col("atom_idx").alias("k"), *columns)
+    left = atoms.select("structure_id", *g.LATTICE, own.alias("a"), boxes(reach).alias("_t"))
+    for c in "xyz":
+        left = left.withColumn(f"_b{c}", F.explode_outer(f"_t.{c}"))  # never empty; the outer form lets no filter copy the expression
+    right = atoms.select("structure_id", own.alias("b"), boxes().alias("_t")).select("structure_id", "b", *[F.coalesce(F.col(f"_t.{c}"), F.lit(0)).alias(f"_b{c}") for c in "xyz"])
+    return left.drop("_t").join(right, ["structure_id", "_bx", "_by", "_bz"]).where(looks).drop("_bx", "_by", "_bz")
+
+
+def contacts(atoms: DataFrame, scale: float = 1.2) -> DataFrame:
     """(structure_id, i, j, sx, sy, sz, distance, ratio): the shortest image of each pair that lies within the scaled radius sum.
 
-    ``images`` cells are looked at to each side; one is enough while every cell
-    height exceeds the longest bond and coordinates lie within the cell.
+    Coordinates may lie in any cell and cells may be thinner than a bond: the
+    larger atom of a pair looks for the other in the boxes around it, and the
+    images looked at follow from the lattice.
     """
     radii = F.broadcast(dims.elements(atoms.sparkSession).select("element", "radius"))
     sized = atoms.join(radii, "element", "left")
-    both = pairs(sized.withColumn("radius", dims.known(sized, "radius")), ["element", "radius", "x", "y", "z"])
-    total = F.col("radius1") + F.col("radius2")
-    both = both.withColumns({"_longest": total * g.bond_scale(F.col("element1"), F.col("element2"), scale)} | {f"_d{c}": F.col(f"{c}2") - F.col(f"{c}1") for c in "xyz"})
+    sized = sized.withColumn("radius", dims.known(sized, "radius"))
+    longest = f"2 * radius * {max(scale, 1.3)}D"  # to an atom no larger than this one; hydrogen has a scale of its own
+    larger = "a.radius > b.radius OR a.radius = b.radius AND a.k < b.k"
+    both = neighbours(sized, longest, ["element", "radius", "x", "y", "z"], larger)
+    total = F.col("a.radius") + F.col("b.radius")
+    both = both.withColumns({"_longest": total * g.bond_scale(F.col("a.element"), F.col("b.element"), scale)} | {f"_d{c}": F.col(f"b.{c}") - F.col(f"a.{c}") for c in "xyz"})
     delta = tuple(F.col(f"_d{c}") for c in "xyz")
-    # Planes of the cell are 2 pi / |reciprocal vector| apart, so a step along an axis is of use only while its part of the way is short enough.
+    # planes of the cell are 2 pi / |reciprocal vector| apart, so a step along an axis is of use only while its part of the way is short enough
     along = {f"_f{c}": f for c, f in zip("xyz", g.to_fractional(delta))} | {f"_r{c}": F.col("_longest") * g.norm(v) / (2 * F.pi()) + 1e-9 for c, v in zip("xyz", g.reciprocal())}
     cells = both.withColumns(along)
-    for c in "xyz":
-        steps = [F.when(F.abs(F.col(f"_f{c}") + k) <= F.col(f"_r{c}"), F.lit(k)) for k in range(-images, images + 1)]
-        cells = cells.withColumn(f"s{c}", F.explode(F.array_compact(F.array(*steps))))
+    for c in "xyz":  # the outer form lets no filter copy the expressions
+        low, high = F.expr(f"int(ceil(-_r{c} - _f{c}))"), F.expr(f"int(floor(_r{c} - _f{c}))")
+        cells = cells.withColumn(f"s{c}", F.explode_outer(F.when(low <= high, F.sequence(low, high)))).where(F.col(f"s{c}").isNotNull())
     d = [F.col(f"_d{c}") + F.col("sx") * F.col(f"a{c}") + F.col("sy") * F.col(f"b{c}") + F.col("sz") * F.col(f"c{c}") for c in "xyz"]
     near = cells.withColumn("distance", g.norm(tuple(d))).where(F.col("distance") <= F.col("_longest"))
-    best = near.groupBy("structure_id", "i", "j", "element1", "element2").agg(F.min(F.struct("distance", "sx", "sy", "sz", (F.col("distance") / total).alias("ratio"))).alias("m"))
+    first = F.col("a.k") < F.col("b.k")
+    way = F.when(first, 1).otherwise(-1)
+    ends = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(n) for n, x, y in (("i", "a.k", "b.k"), ("j", "b.k", "a.k"), ("element1", "a.element", "b.element"), ("element2", "b.element", "a.element"))]
+    near = near.select("structure_id", *ends, F.struct("distance", *[(way * F.col(c)).alias(c) for c in ("sx", "sy", "sz")], (F.col("distance") / total).alias("ratio")).alias("m"))
+    best = near.groupBy("structure_id", "i", "j", "element1", "element2").agg(F.min("m").alias("m"))
     return best.select("structure_id", "i", "j", "element1", "element2", "m.sx", "m.sy", "m.sz", "m.distance", "m.ratio")
 
 
@@ -77,12 +143,15 @@ def single_hydrogen_bonds(bonds: DataFrame) -> DataFrame:
 
 
 def pair_table_bonds(atoms: DataFrame) -> DataFrame:
-    """(structure_id, i, j, distance) of pairs strictly within the cutoff of their elements, by the nearest image."""
-    cutoffs = F.broadcast(dims.pair_cutoffs(atoms.sparkSession))
-    both = pairs(atoms, ["element", "fx", "fy", "fz"]).join(cutoffs, (F.col("element1") == F.col("e1")) & (F.col("element2") == F.col("e2")))
-    f, h = (tuple(F.col(f"f{c}{k}") for c in "xyz") for k in (1, 2))
+    """(structure_id, i, j, distance) of pairs strictly within the cutoff of their elements, by the nearest image; atoms meet in boxes as for ``contacts``."""
+    cutoffs = dims.pair_cutoffs(atoms.sparkSession)
+    longest = max(dims.PAIR_CUTOFFS.values())
+    placed = atoms.withColumns(dict(zip("xyz", g.to_cartesian((F.col("fx"), F.col("fy"), F.col("fz"))))))
+    both = neighbours(placed, f"{longest}D", ["element", "fx", "fy", "fz"], "a.k < b.k")
+    both = both.join(F.broadcast(cutoffs), (F.col("a.element") == F.col("e1")) & (F.col("b.element") == F.col("e2")))
+    f, h = (tuple(F.col(f"{k}.f{c}") for c in "xyz") for k in "ab")
     near = both.withColumn("distance", g.nearest_image(f, h)).where("distance < cutoff")
-    return near.select("structure_id", "i", "j", "element1", "element2", "distance")
+    return near.select("structure_id", F.col("a.k").alias("i"), F.col("b.k").alias("j"), F.col("a.element").alias("element1"), F.col("b.element").alias("element2"), "distance")
 
 
 def components(atoms: DataFrame, bonds: DataFrame) -> DataFrame:

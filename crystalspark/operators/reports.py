@@ -55,13 +55,23 @@ def branch_report(atoms: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def open_bonds(points: DataFrame, elements: DataFrame, scale: float = 1.2, keys: list[str] = ["mol_id"]) -> DataFrame:  # noqa: B006
-    """(keys, i, j, distance) of points (keys, idx, element, x, y, z) without a cell, at most ``scale`` radius sums apart."""
+    """(keys, i, j, distance) of points (keys, idx, element, x, y, z) without a cell, at most ``scale`` radius sums apart.
+
+    Space is cut into boxes; the larger atom of a pair looks for the other in
+    the boxes that its reach touches, so the work grows with the points.
+    """
     df = points.join(F.broadcast(elements.select("element", "radius")), "element", "left")
     df = df.withColumn("radius", dims.known(df, "radius"))
-    left = df.select(*keys, F.col("idx").alias("i"), F.col("radius").alias("r1"), *[F.col(c).alias(f"{c}1") for c in "xyz"])
-    right = df.select(*keys, F.col("idx").alias("j"), F.col("radius").alias("r2"), *[F.col(c).alias(f"{c}2") for c in "xyz"])
-    distance = g.norm(tuple(F.col(f"{c}2") - F.col(f"{c}1") for c in "xyz"))
-    return left.join(right, keys).where("i < j").withColumn("distance", distance).where(F.col("distance") <= scale * (F.col("r1") + F.col("r2"))).select(*keys, "i", "j", "distance")
+    columns = ["idx", "radius", "x", "y", "z"]
+    boxes = [F.floor(F.col(c) / b.BOX).alias(f"_b{c}") for c in "xyz"]
+    reach = 2 * scale * F.col("radius") + 1e-9
+    left = df.select(*keys, F.struct(*columns).alias("a"), *[F.sequence(F.floor((F.col(c) - reach) / b.BOX), F.floor((F.col(c) + reach) / b.BOX)).alias(f"_b{c}") for c in "xyz"])
+    for c in "xyz":
+        left = left.withColumn(f"_b{c}", F.explode(f"_b{c}"))
+    right = df.select(*keys, F.struct(*columns).alias("b"), *boxes)
+    met = left.join(right, [*keys, "_bx", "_by", "_bz"]).where("a.radius > b.radius OR a.radius = b.radius AND a.idx < b.idx")
+    met = met.select(*keys, F.least("a.idx", "b.idx").alias("i"), F.greatest("a.idx", "b.idx").alias("j"), (F.col("a.radius") + F.col("b.radius")).alias("_sum"), g.norm(tuple(F.col(f"b.{c}") - F.col(f"a.{c}") for c in "xyz")).alias("distance"))
+    return met.where(F.col("distance") <= scale * F.col("_sum")).select(*keys, "i", "j", "distance")
 
 
 def merged_bonds(keys: list[str], **sources: DataFrame) -> DataFrame:

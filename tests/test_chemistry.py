@@ -74,3 +74,59 @@ def test_signatures_see_as_far_as_the_molecule(spark):
     signed = bonds.signatures(spark.createDataFrame(rows, "structure_id long, atom_idx int, element string"), spark.createDataFrame(links, "structure_id long, i int, j int"), spark.createDataFrame(parts, "structure_id long, atom_idx int, component int"))
     a, b, c = [r.signature for r in signed.orderBy("structure_id").collect()]
     assert a == c != b
+
+
+def brute_contacts(motif, cell, radii, scale=1.2):
+    """Shortest image of each pair within the scaled radius sum, over a wide block of cells."""
+    found = {}
+    steps = np.array([(i, j, k) for i in range(-6, 7) for j in range(-6, 7) for k in range(-6, 7)])
+    shifts = steps @ cell
+    for i in range(len(motif)):
+        for j in range(i + 1, len(motif)):
+            d = np.linalg.norm(motif[j] - motif[i] + shifts, axis=1)
+            h = 0.31 in (radii[i], radii[j])
+            if d.min() <= (radii[i] + radii[j]) * (1.3 if h else scale):
+                found[i, j] = round(float(d.min()), 9)
+    return found
+
+
+def test_bonds_of_any_coordinates_and_thin_cells(spark):
+    rng = random.Random(8)
+    radius = {"C": 0.76, "H": 0.31, "S": 1.05}
+    for trial in range(4):
+        size = 3 if trial < 2 else 14
+        cell = np.array([[rng.uniform(2, size), 0, 0], [rng.uniform(-3, 3), rng.uniform(2, size), 0], [rng.uniform(-3, 3), rng.uniform(-3, 3), rng.uniform(2, size)]])
+        motif = np.array([[rng.uniform(-1.9, 2.9) for _ in range(3)] for _ in range(6 if trial < 2 else 40)]) @ cell
+        kinds = [rng.choice("CHS") for _ in motif]
+        lattice = {f"{v}{c}": cell[i, j] for i, v in enumerate("abc") for j, c in enumerate("xyz")}
+        atoms = points(spark, [(1, i, e, *map(float, p)) for i, (e, p) in enumerate(zip(kinds, motif))], lattice)
+        rows = bonds.contacts(atoms).collect()
+        assert {(r.i, r.j): round(r.distance, 9) for r in rows} == brute_contacts(motif, cell, [radius[e] for e in kinds])
+        for r in rows:
+            assert abs(np.linalg.norm(motif[r.j] - motif[r.i] + np.array([r.sx, r.sy, r.sz]) @ cell) - r.distance) < 1e-9
+
+
+def test_bonds_of_a_large_cell_cost_its_atoms_not_its_pairs(spark):
+    n, edge = 15, 3.0  # a lattice of 3,375 pairs of carbons, each bonded along x only
+    cell = {k: 0.0 for k in LATTICE} | {"ax": n * edge, "by": n * edge, "cz": n * edge}
+    rows = []
+    for i in range(n):
+        for j in range(n):
+            for k in range(n):
+                rows += [(1, 2 * len(rows) // 2, "C", i * edge, j * edge, k * edge), (1, len(rows) + 1, "C", i * edge + 1.4, j * edge, k * edge)]
+    rows = [(1, at, *r[2:]) for at, r in enumerate(rows)]
+    atoms = points(spark, rows, cell)
+    assert bonds.contacts(atoms).count() == 2 * n**3  # 1.4 along, and 1.6 on to the next pair round the edge
+    met = bonds.neighbours(atoms.withColumn("radius", F.lit(0.76)), "2D", ["radius", "x"], "a.k < b.k").count()
+    assert met < 60 * len(rows)  # of 22,781,250 pairs
+
+
+def test_open_bonds_against_all_pairs(spark):
+    from crystalspark.operators import dims, reports
+
+    rng = random.Random(9)
+    where = [(m, i, rng.choice(["C", "H", "O"]), *[rng.uniform(-9, 9) for _ in range(3)]) for m in "ab" for i in range(60)]
+    df = spark.createDataFrame(where, "mol_id string, idx int, element string, x double, y double, z double")
+    radius = {"C": 0.76, "H": 0.31, "O": 0.66}
+    expected = {(p[0], p[1], q[1]) for p in where for q in where if p[0] == q[0] and p[1] < q[1] and np.linalg.norm(np.array(p[3:]) - np.array(q[3:])) <= 1.2 * (radius[p[2]] + radius[q[2]])}
+    assert {(r.mol_id, r.i, r.j) for r in reports.open_bonds(df, dims.elements(spark)).collect()} == expected
