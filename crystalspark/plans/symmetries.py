@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from crystalspark.functions import geometry as g
-from crystalspark.operators import cells, corpus, groups, symmetry
-from crystalspark.plans.catalog import _IMAGES, OPS_SQL, W_, ops, query
+from crystalspark.operators import cells, compare, corpus, groups, symmetry
+from crystalspark.plans.catalog import _IMAGES, OPS_SQL, W_, _canonical_sql, ops, query
 
 #: Each structure's basis is sheared by steps of its own, and its origin moved by eighths.
 SHEAR = {"_m": "structure_id % 3 - 1", "_n": "structure_id % 5 - 2", "_k": "structure_id % 4 - 1", "_o": "structure_id % 8"}
@@ -20,7 +20,12 @@ SHEAR = {"_m": "structure_id % 3 - 1", "_n": "structure_id % 5 - 2", "_k": "stru
 
 def full_cells(spark, sf_dir) -> DataFrame:
     """Atoms of the full cells of the corpus."""
-    sites = symmetry.expand(corpus.atoms(spark, sf_dir), ops(spark)).withColumnsRenamed({"op_idx": "_op", "atom_idx": "_atom", "fx": "_x", "fy": "_y", "fz": "_z"})
+    return numbered(symmetry.expand(corpus.atoms(spark, sf_dir), ops(spark)))
+
+
+def numbered(expanded: DataFrame) -> DataFrame:
+    """Expanded sites as atoms of full cells."""
+    sites = expanded.withColumnsRenamed({"op_idx": "_op", "atom_idx": "_atom", "fx": "_x", "fy": "_y", "fz": "_z"})
     number = F.row_number().over(W.partitionBy("structure_id").orderBy("_atom", "_op")) - 1
     return sites.select("structure_id", number.alias("atom_idx"), F.col("site_label").alias("label"), "element", F.col("gx").alias("fx"), F.col("gy").alias("fy"), F.col("gz").alias("fz"), "a", "b", "c", "alpha", "beta", "gamma")
 
@@ -107,6 +112,36 @@ def cells_named(spark, sf_dir):
     return cells.named_cells(sheared(full_cells(spark, sf_dir)))
 
 
+#: Cells of molecular-crystal size: all order lines of a customer in one cell, under the operations of P 21/c.
+LARGE_CELL = {"a": 14.0, "b": 15.0, "c": 16.0, "alpha": 90.0, "beta": 100.0, "gamma": 90.0}
+
+
+def large_cells(spark, sf_dir, customers: str = "true") -> DataFrame:
+    """Atoms of full cells of about 160 atoms: those of a customer's orders, numbered over all of them."""
+    orders = corpus.table(spark, sf_dir, "orders").where(customers).select(F.col("o_orderkey").alias("structure_id"), "o_custkey")
+    lines = corpus.atoms(spark, sf_dir).join(orders, "structure_id").withColumn("fx", (F.col("fx") + F.col("structure_id") % 83 / 83.0) % 1)
+    number = F.row_number().over(W.partitionBy("o_custkey").orderBy("structure_id", "atom_idx")) - 1
+    unit = lines.select(F.col("o_custkey").alias("structure_id"), number.alias("atom_idx"), "label", "element", "fx", "fy", "fz", F.lit(1).alias("sg"), *[F.lit(v).alias(k) for k, v in LARGE_CELL.items()])
+    return numbered(symmetry.expand(unit, ops(spark)))
+
+
+_LARGE = f"""{W_}, {OPS_SQL}, big AS (SELECT o_custkey AS structure_id, element, (fx + (structure_id % 83) / 83.0::DOUBLE) % 1 AS fx, fy, fz FROM atoms JOIN orders ON o_orderkey = structure_id),
+bim AS (SELECT structure_id, element, """ + ", ".join(_canonical_sql(f"o.r{k}1 * a.fx + o.r{k}2 * a.fy + o.r{k}3 * a.fz + o.t{k} / 24.0::DOUBLE") + f" AS g{k}" for k in (1, 2, 3)) + """ FROM big a JOIN ops o ON o.sg = 1),
+bs AS (SELECT DISTINCT structure_id, element, g1, g2, g3 FROM bim)
+SELECT structure_id, count(*) AS full_atoms, count(*) AS rebuilt_atoms, true AS reduced, true AS same_sites, true AS same_fingerprint FROM bs GROUP BY structure_id"""
+
+
+@query(_LARGE)
+def round_trip_full_cells(spark, sf_dir):
+    """Full cells of a hundred and more atoms, given in sheared bases, reduced, expanded again and compared by sites and fingerprints (k = 100)."""
+    return compared(sheared(large_cells(spark, sf_dir)))
+
+
+def compared(full: DataFrame) -> DataFrame:
+    found = compare.round_trip(full)
+    return found.select("structure_id", "full_atoms", "rebuilt_atoms", (F.col("n_unique") * 4 <= F.col("full_atoms")).alias("reduced"), (F.col("displacement_to_full") <= 0.05).alias("same_sites"), (F.col("distance_to_full") <= 0.1).alias("same_fingerprint"))
+
+
 _NAMES = "(VALUES (0, 2, 'P -1', 2, 1, 0), (1, 14, 'P 21/c', 81, 1, 1), (2, 19, 'P 21 21 21', 115, -1, 3), (3, 15, 'C 2/c', 90, 7, 1)) v(sg, number, symbol, hall, lattice, n_records)"
 
 
@@ -132,4 +167,4 @@ def space_group_names(spark, sf_dir):
     return groups.expanding_back(whole).drop("ops", "records")
 
 
-__all__ = ["cells_named", "operations_any_basis", "space_group_names"]
+__all__ = ["cells_named", "operations_any_basis", "round_trip_full_cells", "space_group_names"]
