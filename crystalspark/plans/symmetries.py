@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from crystalspark.functions import geometry as g
-from crystalspark.operators import cells, compare, corpus, groups, symmetry
-from crystalspark.plans.catalog import _IMAGES, OPS_SQL, W_, _canonical_sql, ops, query
+from crystalspark.operators import cells, compare, corpus, groups, jobs, symmetry
+from crystalspark.plans.catalog import _IMAGES, ELEMENTS_SQL, OPS_SQL, W_, _canonical_sql, ops, query
 
 #: Each structure's basis is sheared by steps of its own, and its origin moved by eighths.
 SHEAR = {"_m": "structure_id % 3 - 1", "_n": "structure_id % 5 - 2", "_k": "structure_id % 4 - 1", "_o": "structure_id % 8"}
@@ -142,6 +142,24 @@ def compared(full: DataFrame) -> DataFrame:
     return found.select("structure_id", "full_atoms", "rebuilt_atoms", (F.col("n_unique") * 4 <= F.col("full_atoms")).alias("reduced"), (F.col("displacement_to_full") <= 0.05).alias("same_sites"), (F.col("distance_to_full") <= 0.1).alias("same_fingerprint"))
 
 
+_JOBS = f"""{W_}, {ELEMENTS_SQL}, odd AS (SELECT structure_id, CASE WHEN fx = 0 THEN 'Qq' WHEN fx = 0.5 THEN 'O' ELSE element END AS element FROM atoms),
+counts AS (SELECT structure_id, element, count(*) AS n FROM odd GROUP BY ALL),
+each AS (SELECT structure_id, bool_or(element = 'Qq') AS unknown, bool_or(element = 'C') AS carbon, bool_or(element = 'H') AS hydrogen,
+  string_agg(element || n, ' ' ORDER BY element <> 'C', element <> 'H', element) AS formula, sum(n * mass) AS weight FROM counts LEFT JOIN el USING (element) GROUP BY structure_id)
+SELECT structure_id, CASE WHEN NOT unknown AND carbon AND hydrogen THEN formula END AS formula, CASE WHEN NOT unknown AND carbon AND hydrogen THEN round(weight, 3) END AS weight,
+  CASE WHEN unknown THEN 'elements' WHEN NOT carbon OR NOT hydrogen THEN 'composition' END AS failed_step,
+  CASE WHEN unknown THEN 'nothing is known of element Qq' WHEN NOT carbon THEN 'no carbon in the cell' WHEN NOT hydrogen THEN 'no hydrogen in the cell' END AS error FROM each"""
+
+
+@query(_JOBS)
+def cell_jobs(spark, sf_dir):
+    """The check of cells over the corpus with some elements made unknown or exchanged: structures that fail have a row that says where and why."""
+    odd = corpus.atoms(spark, sf_dir).withColumn("element", F.when(F.col("fx") == 0, "Qq").when(F.col("fx") == 0.5, "O").otherwise(F.col("element")))
+    steps = [x for x in jobs.CELL_STEPS if x[0] != "symmetry"]
+    done = jobs.run(odd.select("structure_id", "atom_idx", "element", "fx", "fy", "fz", *jobs.CELL), ["atom_idx"], steps, jobs.CELL_RESULTS)
+    return done.select("structure_id", "formula", F.round("weight", 3).alias("weight"), "failed_step", "error")
+
+
 _NAMES = "(VALUES (0, 2, 'P -1', 2, 1, 0), (1, 14, 'P 21/c', 81, 1, 1), (2, 19, 'P 21 21 21', 115, -1, 3), (3, 15, 'C 2/c', 90, 7, 1)) v(sg, number, symbol, hall, lattice, n_records)"
 
 
@@ -167,4 +185,4 @@ def space_group_names(spark, sf_dir):
     return groups.expanding_back(whole).drop("ops", "records")
 
 
-__all__ = ["cells_named", "operations_any_basis", "round_trip_full_cells", "space_group_names"]
+__all__ = ["cell_jobs", "cells_named", "operations_any_basis", "round_trip_full_cells", "space_group_names"]
