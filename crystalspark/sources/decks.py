@@ -1,14 +1,12 @@
 """Input decks of simulation codes, as text columns, and job folders.
 
 A deck is one row; its lines are ordered arrays joined inside the JVM. Job
-folders are written by the tasks that hold their rows.
+folders go through the committed sinks in ``folders``.
 """
 
 from __future__ import annotations
 
-import os
 import re
-import tarfile
 from dataclasses import dataclass
 from pathlib import Path, PurePosixPath
 
@@ -16,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from crystalspark.sources import writers
+from crystalspark.sources import folders, writers
 
 PARTS = ("bond", "angle", "dihedral")
 
@@ -263,32 +261,15 @@ def bundle(**files: DataFrame) -> DataFrame:
 
 
 def write_bundle(files: DataFrame, root: str, name: str = "structure_id") -> None:
-    """Write (name, filename, text) rows as ``root/name/filename`` on a shared file system; scripts become executable.
-
-    A file is written beside its place and then moved there, so that a task run
-    again after its executor was lost leaves the same whole file.
-    """
-    def run(rows):
-        for r in rows:
-            if r.text is None:
-                continue
-            folder = Path(root) / re.sub(r"[^A-Za-z0-9_.-]+", "_", str(r.name))
-            folder.mkdir(parents=True, exist_ok=True)
-            part = folder / f".{r.filename}.{os.getpid()}.part"
-            part.write_text(r.text, encoding="utf-8")
-            if r.filename.endswith((".sh", ".csh")):
-                part.chmod(0o755)
-            part.replace(folder / r.filename)
-
-    files.select(F.col(name).cast("string").alias("name"), "filename", "text").foreachPartition(run)
+    """Write (name, filename, text) rows as ``root/name/filename``, all or none (see ``folders``); scripts become executable, null texts are left out."""
+    folder = F.regexp_replace(F.col(name).cast("string"), r"[^A-Za-z0-9_.-]+", "_")
+    folders.write_files(files.where("text IS NOT NULL").select(F.concat_ws("/", folder, "filename").alias("path"), F.col("text").cast("binary").alias("content")), root)
 
 
 def archive(entries: DataFrame, path: str, apply: bool = False) -> Path:
-    """A tar.gz of manifest entries (path, relative_path), streamed in order of path; nothing is written unless ``apply``."""
+    """A tar.gz of manifest entries (path, relative_path) in order of path, compressed by tasks; nothing is written unless ``apply``."""
     target = Path(path)
     if apply:
         target.parent.mkdir(parents=True, exist_ok=True)
-        with tarfile.open(target, "w:gz") as out:
-            for r in entries.select("path", "relative_path").orderBy("relative_path").toLocalIterator():
-                out.add(r.path.removeprefix("file:"), arcname=r.relative_path)
+        folders.write_archive(entries, str(target))
     return target
