@@ -79,7 +79,7 @@ NAMES = {
 }
 #: Parts of names that say nothing about the content of what they name.
 NEUTRAL = {"area", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "content", "form", "group", "holder", "icons", "inner", "item", "items", "left", "links", "list", "main", "outer", "panel", "right", "row", "section", "site", "slot", "text", "title", "top", "unit", "wrap", "wrapper"}
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_SPECIAL, _NAME_END = re.compile("[>\"']"), re.compile(r"[\s/>]")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -101,6 +101,80 @@ def marks_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+class Markup:
+    """Comments, sections and tags of a page, found in time linear in its length however much of it is unfinished.
+
+    Between a tag's name and its ``>``, quoted strings are passed over. Where
+    that ends depends only on the next quote or ``>``, so it is worked out once
+    for each of these, and searches that only move forward are not repeated.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.ends, self.ahead = page, {}, {}
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+
+    def next(self, pattern: re.Pattern, at: int) -> int:
+        """The first match from ``at`` on, or the page's length; places come in rising order, but for steps back inside a name."""
+        began, found = self.ahead.get(pattern, (0, -1))
+        if not began <= at <= found:
+            m = pattern.search(self.page, at)
+            began, found = at, m.start() if m else len(self.page)
+            self.ahead[pattern] = began, found
+        return found
+
+    def end(self, at: int) -> int:
+        """Past the ``>`` that ends a tag whose attributes start at ``at``; 0 if none does."""
+        passed, found = [], 0
+        special = self.next(_SPECIAL, at)
+        while special < len(self.page):
+            if special in self.ends:
+                found = self.ends[special]
+                break
+            passed.append(special)
+            c = self.page[special]
+            if c == ">":
+                found = special + 1
+                break
+            close = self.page.find(c, special + 1) if special < self.last[c] else -1
+            if close < 0:
+                break
+            m = _SPECIAL.search(self.page, close + 1)
+            special = m.start() if m else len(self.page)
+        self.ends.update(dict.fromkeys(passed, found))
+        return found
+
+    def tag(self, start: int) -> tuple[int, str, str, str] | None:
+        """(end, slash, name, attributes) of the tag at a ``<``."""
+        page, slash = self.page, self.page[start + 1 : start + 2] == "/"
+        name = start + 1 + slash
+        if not ("a" <= page[name : name + 1] <= "z" or "A" <= page[name : name + 1] <= "Z"):
+            return None
+        stop = self.next(_NAME_END, name + 1)
+        end = self.end(stop)
+        while not end:  # a name may have run into a quoted string
+            stop = max(page.rfind('"', name + 1, stop), page.rfind("'", name + 1, stop))
+            if stop < 0:
+                return None
+            end = self.ends.get(stop) or self.end(stop)
+        return end, "/" if slash else "", page[name:stop], page[stop : end - 1]
+
+    def __iter__(self):
+        """(start, end, slash, name, attributes) in order; the name is empty for what is no tag."""
+        page, at = self.page, self.page.find("<")
+        while at >= 0:
+            found = None
+            for opens, closes in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+                if page.startswith(opens, at):
+                    close = page.find(closes, at + len(opens))
+                    found = len(page) if close < 0 else close + len(closes), "", "", ""
+                    break
+            if found is None and at < self.last[">"]:
+                found = (page.find(">", at) + 1, "", "", "") if page[at + 1] in "!?" else self.tag(at)
+            if found is not None:
+                yield at, *found
+            at = page.find("<", at + 1 if found is None else found[0])
+
+
 def blocks(page: str) -> tuple[list[str], np.ndarray]:
     """Texts of a page's blocks and their features."""
     texts: list[str] = []
@@ -128,22 +202,22 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
         if link:
             linked += len(text.split())
 
-    for m in _MARKUP.finditer(page):
+    for start, end, closing, name, attributes in Markup(page):
         if silent:
-            if m.group(1) and m.group(2).lower() == silent:
+            if closing and name.lower() == silent:
                 silent = ""
-            at = m.end()
+            at = end
             continue
-        if m.start() < at:  # inside what a silent element took
+        if start < at:  # inside what a silent element took
             continue
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        if m.group(2) is None:
-            if m.group().startswith("<![CDATA["):
-                parts.append(m.group()[9:].removesuffix("]]>"))
+        if start > at:
+            add(page[at:start])
+        at = end
+        if not name:
+            if page.startswith("<![CDATA[", start):
+                parts.append(page[start + 9 : end].removesuffix("]]>"))
             continue
-        closing, tag, attributes = m.group(1), m.group(2).lower(), m.group(3)
+        tag = name.lower()
         if tag in SILENT:
             if tag not in INLINE:
                 end_block()

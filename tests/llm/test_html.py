@@ -85,3 +85,28 @@ def test_links_between_paragraphs_of_a_bare_page():
     menu = "".join(f"<li><a href='/{i}'>item {i}</a></li>" for i in range(5))
     bare = f"<body><ul>{menu}</ul><div>|</div><ul>{menu}</ul><p>{long}</p><p><a href='x'>a whole sentence that is one link</a></p><p>{long}</p><ul>{menu}</ul></body>"
     assert hb.main_text(bare, tree)[0] == "\n".join([long.strip(), "a whole sentence that is one link", long.strip()])
+
+
+def test_markup_agrees_with_a_backtracking_pattern():
+    import random
+    import re
+
+    pattern = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+    rng = random.Random(4)
+    pieces = ["<", "<a", "</a", "<b ", "<a x='", '<a y="', "'", '"', ">", " ", "/", "x", "<!--", "-->", "<![CDATA[", "]]>", "<!", "<?", "=", "<1", "\n", "é", "\x1c"]
+    for _ in range(20_000):
+        page = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 14)))
+        expected = [(m.start(), m.end(), m.group(1) or "", m.group(2) or "", m.group(3) or "") for m in pattern.finditer(page)]
+        assert list(html_blocks.Markup(page)) == expected, page
+
+
+def test_unfinished_markup_takes_linear_time():
+    import time
+
+    for unit in ("<a ", "<a x='", "<a", "<a'", "<!", '<a x="y\' '):
+        took = []
+        for size in (200_000, 1_600_000):
+            began = time.process_time()
+            html_blocks.blocks(unit * (size // len(unit)))
+            took.append(time.process_time() - began)
+        assert took[1] < 30 * took[0] + 1, unit  # 64 times if it were quadratic, and far more than a second
