@@ -19,9 +19,8 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def _symbol(token: Column) -> Column:
-    """The element a token names, D and T as hydrogen; null if it names none."""
-    v = F.initcap(token)
+def _symbol(v: Column) -> Column:
+    """The element a token with an initial capital names, D and T as hydrogen; null if it names none."""
     return F.when(v.isin("D", "T"), "H").when(v.isin(*dims.ELEMENTS), v)
 
 
@@ -35,15 +34,21 @@ def _words(c: Column) -> Column:
     return F.filter(F.split(c, r"\s+"), lambda x: x != "")
 
 
-def _row(x: Column) -> Column:
-    """Element, label and value fields of a row's words: ``element …``, ``label element …`` or ``element label …``."""
-    w = x["words"]
-    first, second, odd = _symbol(w[0]), _symbol(F.get(w, F.lit(1))), F.size(w) % 2 == 1
-    form = F.when(first.isNotNull() & odd, 1).when(second.isNotNull() & ~odd, 2).when(first.isNotNull() & ~odd & F.get(w, F.lit(1)).try_cast("int").isNull(), 3)
-    return F.struct(
-        x["line_no"].alias("line_no"), F.when(form == 2, second).when(form.isNotNull(), first).alias("element"), F.when(form == 2, w[0]).when(form == 3, F.get(w, F.lit(1))).alias("label"),
-        F.when(form == 1, F.slice(w, 2, F.size(w) - 1)).when(form.isNotNull(), F.slice(w, 3, F.size(w) - 2)).alias("values"),
-    )
+def _rows(words: Column) -> Column:
+    """Element, label and value fields of each row's words: ``element …``, ``label element …`` or ``element label …``.
+
+    A lambda works out a value as often as it is named, so what is used again is a field of the step before.
+    """
+    second = lambda x: F.get(x["words"], F.lit(1))
+    capital = F.transform(words, lambda x: F.struct(x["line_no"].alias("line_no"), x["words"].alias("words"), F.initcap(x["words"][0]).alias("v"), F.initcap(second(x)).alias("w"), (F.size(x["words"]) % 2 == 1).alias("odd")))
+    named = F.transform(capital, lambda x: F.struct(x["line_no"].alias("line_no"), x["words"].alias("words"), _symbol(x["v"]).alias("first"), _symbol(x["w"]).alias("second"), x["odd"].alias("odd")))
+    form = lambda x: F.when(x["first"].isNotNull() & x["odd"], 1).when(x["second"].isNotNull() & ~x["odd"], 2).when(x["first"].isNotNull() & ~x["odd"] & second(x).try_cast("int").isNull(), 3)
+    formed = F.transform(named, lambda x: F.struct(x["line_no"].alias("line_no"), x["words"].alias("words"), x["first"].alias("first"), x["second"].alias("second"), form(x).alias("form")))
+    rest = lambda x, k: F.slice(x["words"], k, F.size(x["words"]) - k + 1)
+    return F.transform(formed, lambda x: F.struct(
+        x["line_no"].alias("line_no"), F.when(x["form"] == 2, x["second"]).when(x["form"].isNotNull(), x["first"]).alias("element"), F.when(x["form"] == 2, x["words"][0]).when(x["form"] == 3, second(x)).alias("label"),
+        F.when(x["form"] == 1, rest(x, 2)).when(x["form"].isNotNull(), rest(x, 3)).alias("values"),
+    ))
 
 
 def _atom(x: Column, i: Column) -> Column:
@@ -80,17 +85,18 @@ def documents(texts: DataFrame) -> DataFrame:
     df = texts.select("path", F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("mol_id"), F.filter(trimmed, lambda x: x["line"] != "").alias("_lines"))
     said = F.transform(F.filter("_lines", lambda x: x["line"].startswith("#")), lambda x: F.struct(x["line_no"].alias("line_no"), F.regexp_replace(x["line"], r"^#\s*", "").alias("body")))
     rows = F.transform(F.filter("_lines", lambda x: ~x["line"].startswith("#")), lambda x: F.struct(x["line_no"].alias("line_no"), _words(F.substring_index(x["line"], "#", 1)).alias("words")))
-    df = df.select("path", "mol_id", said.alias("_said"), F.transform(rows, _row).alias("_rows"))
+    df = df.select("path", "mol_id", said.alias("_said"), _rows(rows).alias("_rows"))
     titles = F.transform(F.filter(_body("_said", ["title"]), lambda x: x["body"] != ""), lambda x: x["body"])
     bonds = F.flatten(F.transform(_body("_said", ["bonds"]), lambda x: F.transform(_words(x["body"]), lambda t: F.struct(x["line_no"].alias("line_no"), t.alias("token")))))
     df = df.select(
         "path", "mol_id", "_rows", F.coalesce(F.try_element_at(titles, F.lit(-1)), "mol_id").alias("title"), bonds.alias("_bonds"),
         _words(F.try_element_at(_body("_said", ["labels", "atom-labels"]), F.lit(-1))["body"]).alias("_labels"),
     )
-    ends = lambda x: [F.regexp_extract(x["token"], r"^(\d+)-(\d+)$", k).try_cast("int") for k in (1, 2)]
-    good = lambda x: F.coalesce(ends(x)[0] != ends(x)[1], F.lit(False))
+    read = lambda x: F.struct(x["line_no"].alias("line_no"), x["token"].alias("token"), *[F.regexp_extract(x["token"], r"^(\d+)-(\d+)$", k).try_cast("int").alias(n) for k, n in ((1, "p"), (2, "q"))])
+    df = df.withColumn("_bonds", F.transform("_bonds", read))
+    good = lambda x: F.coalesce(x["p"] != x["q"], F.lit(False))
     df = df.select(
-        "path", "mol_id", "title", "_labels", F.transform("_rows", _atom).alias("atoms"), F.array_sort(F.array_distinct(F.transform(F.filter("_bonds", good), lambda x: F.struct(F.least(*ends(x)).alias("i"), F.greatest(*ends(x)).alias("j"))))).alias("bonds"),
+        "path", "mol_id", "title", "_labels", F.transform("_rows", _atom).alias("atoms"), F.array_sort(F.array_distinct(F.transform(F.filter("_bonds", good), lambda x: F.struct(F.least(x["p"], x["q"]).alias("i"), F.greatest(x["p"], x["q"]).alias("j"))))).alias("bonds"),
         F.transform(F.filter("_bonds", lambda x: ~good(x)), lambda x: F.concat(F.lit("line "), x["line_no"].cast("string"), F.lit(": no bond "), x["token"])).alias("_unread"),
     )
     names = F.transform("atoms", lambda x: x["label"])
@@ -103,14 +109,19 @@ def documents(texts: DataFrame) -> DataFrame:
     return df.select("path", "mol_id", "title", plain.alias("atoms"), "bonds", errors.alias("errors"))
 
 
+def _rows_of(found: DataFrame, name: str) -> DataFrame:
+    """Elements of an array of the files without errors; a filter on the errors would be pushed below the steps that make them, each then worked out as often as it is named."""
+    return found.select("mol_id", F.inline(F.when(F.size("errors") == 0, F.col(name))))
+
+
 def atom_rows(found: DataFrame) -> DataFrame:
     """Rows of the files without errors, one an atom."""
-    return found.where(F.size("errors") == 0).select("mol_id", F.inline("atoms"))
+    return _rows_of(found, "atoms")
 
 
 def bond_rows(found: DataFrame) -> DataFrame:
     """(mol_id, i, j) of the bonds that files without errors list."""
-    return found.where(F.size("errors") == 0).select("mol_id", F.inline("bonds"))
+    return _rows_of(found, "bonds")
 
 
 def matched(molecules: DataFrame, rows: DataFrame) -> DataFrame:

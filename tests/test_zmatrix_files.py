@@ -41,3 +41,12 @@ def test_molecules_take_the_first_matrix_with_their_labels(spark):
     rows = spark.createDataFrame([("b", 1, "C1"), ("b", 2, "O1"), ("a", 1, "O1"), ("a", 2, "C1"), ("c", 1, "C1")], "mol_id string, row_index int, label string")
     found = sorted(map(tuple, z.matched(atoms, rows).collect()), key=str)
     assert found == [(1, 0, "a", 1, 6), (1, 0, "a", 2, 5), (1, 9, None, None, None)]
+
+
+def test_the_condition_on_errors_is_no_filter(spark):
+    """A filter on the errors is pushed below the steps that make them, and each step is then worked out as often as the next ones name it."""
+    found = z.documents(spark.createDataFrame([("/x/water.zmat", GOOD), ("/x/bad.zmat", "Qq\n")], "path string, text string"))
+    for rows in (z.atom_rows(found), z.bond_rows(found)):
+        assert {r.mol_id for r in rows.collect()} == {"water"}
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_replace") < 10, plan[:2000]
