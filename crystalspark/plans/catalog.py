@@ -127,7 +127,8 @@ def expand_per_atom(spark, sf_dir):
 @query()
 def merge_near_sites(spark, sf_dir):
     sites = symmetry.expand(corpus.atoms(spark, sf_dir), ops(spark))
-    return cells.merge_sites(sites).groupBy("structure_id").agg(F.count("*").alias("n_sites"))
+    used = sites.select("structure_id", "atom_idx", "op_idx", "element", "gx", "gy", "gz", *cells.CELL)
+    return cells.merge_sites(used).groupBy("structure_id").agg(F.count("*").alias("n_sites"))
 
 
 @query(f"""{W_}, ct(latt, k, c1, c2, c3) AS (VALUES {', '.join(f'({n}, {k}, {c[0]}, {c[1]}, {c[2]})' for n, v in dims.CENTERINGS.items() for k, c in enumerate(v))})
