@@ -53,3 +53,25 @@ def test_names_of_equal_rotations_share_one_plan():
         operations = [(r, t + (np.eye(3) - r) @ np.array([0, shift, 0])) for r, t in OPERATIONS]
         assert groups.identify(operations) == (14, "P 21/c")
     assert groups._ways.cache_info().misses == 1
+
+
+def test_pairs_that_carry_their_atoms_give_the_distances_of_described_pairs(spark, monkeypatch):
+    """Steps of a few atoms, a structure named twice, and other compositions; no list of distances is shuffled."""
+    from pyspark.sql import functions as F
+
+    from crystalspark.operators import compare, pdd
+
+    monkeypatch.setattr(pdd, "STEP", 60)
+    points, elements, offsets, given = many(12)
+    rows = [(s, 6.0, 6.5, 7.0, 90.0, 95.0, 90.0, i, str(e), *map(float, p)) for s in range(12) for i, (p, e) in enumerate(zip(points[s], elements[s]))]
+    atoms = compare.placed(spark.createDataFrame(rows, "structure_id long, a double, b double, c double, alpha double, beta double, gamma double, atom_idx int, element string, fx double, fy double, fz double"))
+    pairs = spark.createDataFrame([(s, (s + k) % 12) for s in range(12) for k in (0, 1, 5)], "left_id long, right_id long")
+    want = {(r.left_id, r.right_id, r.element): r.distance for r in pdd.distances(pairs, pdd.descriptors(atoms, 6)).collect()}
+    df = pdd.compared(pdd.with_points(pairs, atoms), 6)
+    got = {(r.left_id, r.right_id, r.element): r.distance for r in df.collect()}
+    assert got.keys() == want.keys()
+    for key, d in want.items():
+        assert got[key] == (None if d is None else pytest.approx(d, abs=1e-12))
+    assert "distances" not in df._jdf.queryExecution().executedPlan().toString()
+    moved = atoms.withColumns({"fx": F.col("fx") + 0.001, "fz": F.col("fz") + 1.0})
+    assert {r.structure_id: r.n for r in pdd.site_matching(atoms, moved).collect()} == {s: len(p) for s, p in enumerate(points)}
