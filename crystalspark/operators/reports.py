@@ -86,8 +86,7 @@ def merged_bonds(keys: list[str], **sources: DataFrame) -> DataFrame:
 def geometry_warnings(rows: DataFrame, points: DataFrame, tolerance: float = 1e-5) -> DataFrame:
     """(mol_id, row_index, warning) of rows whose lengths, angles or dihedrals differ from those of the points."""
     names = {"bond": "bond_length", "angle": "angle_deg", "dihedral": "dihedral_deg"}
-    found = zmatrix.measured(rows, points).select("mol_id", "row_index", *[F.col(c).alias(f"m_{c}") for c in names.values()])
-    df = rows.join(found, ["mol_id", "row_index"])
+    df = zmatrix.measures(rows, points)
     off = {k: g.wrapped_difference(F.col(f"m_{c}") - F.col(c)) if k == "dihedral" else F.col(f"m_{c}") - F.col(c) for k, c in names.items()}
     made = F.array(*[F.when(F.abs(d) > tolerance, F.lit(f"{k} differs")) for k, d in off.items()])
     return df.select("mol_id", "row_index", F.explode(F.filter(made, lambda x: x.isNotNull())).alias("warning"))

@@ -8,14 +8,19 @@ from itertools import combinations, groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crystalspark.functions import geometry as g
+from crystalspark.operators import batches
 from crystalspark.operators.dims import ELEMENTS
 
 SCHEMA = "mol_id string, row_index int, element string, bond_to int, bond_length double, angle_to int, angle_deg double, dihedral_to int, dihedral_deg double"
 
+#: Rows of molecules that are rebuilt in one step, at most (a larger molecule is a step of its own).
+STEP = 200_000
+
 
 def perpendicular(v: np.ndarray) -> np.ndarray:
     axis = np.array([1.0, 0, 0]) if abs(v[0]) < 0.8 else np.array([0, 1.0, 0])
@@ -49,20 +54,69 @@ def rebuild(rows: list[tuple]) -> np.ndarray:
     return out
 
 
+def unit(v: np.ndarray) -> np.ndarray:
+    return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+
+
+def perpendiculars(v: np.ndarray) -> np.ndarray:
+    """``perpendicular`` of each row."""
+    return unit(np.cross(v, np.where((np.abs(v[:, 0]) < 0.8)[:, None], [1.0, 0, 0], [0, 1.0, 0])))
+
+
+def rebuild_many(offsets: np.ndarray, references: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """``rebuild`` of many molecules, whose rows lie one after another: the n-th rows of all are placed at once.
+
+    References are (bond_to, angle_to, dihedral_to), 0 for none; values are
+    (length, degrees, degrees).
+    """
+    out, sizes = np.zeros((len(values), 3)), np.diff(offsets)
+    order = np.argsort(-sizes, kind="stable")
+    heads, sizes = offsets[order], sizes[order]
+    length, theta, phi = values[:, 0], np.radians(values[:, 1]), np.radians(values[:, 2])
+    for i in range(1, int(sizes[0]) if len(sizes) else 0):
+        n = int(np.searchsorted(-sizes, -i))  # molecules with more than i rows
+        at, size = heads[:n] + i, sizes[:n]
+        ref = references[at, : min(i, 3)] - 1
+        if (ref >= size[:, None]).any() or (ref < -size[:, None]).any():
+            raise IndexError("reference to a row that is not there")
+        points = [out[heads[:n] + r] for r in (ref % size[:, None]).T]
+        r, t = length[at, None], theta[at, None]
+        if i == 1:
+            out[at] = points[0]
+            out[at, 0] += length[at]
+            continue
+        axis = unit(points[1] - points[0])
+        if i == 2:
+            out[at] = points[0] + r * (axis * np.cos(t) + perpendiculars(axis) * np.sin(t))
+            continue
+        across = points[2] - points[1]
+        across = across - axis * np.einsum("ij,ij->i", across, axis)[:, None]
+        size = np.sqrt(np.einsum("ij,ij->i", across, across))[:, None]
+        across = np.where(size < 1e-10, perpendiculars(axis), across / size)
+        side, f = np.cross(axis, across), phi[at, None]
+        out[at] = points[0] + r * (axis * np.cos(t) + (across * np.cos(f) - side * np.sin(f)) * np.sin(t))
+    return out
+
+
 def cartesian(rows: DataFrame) -> DataFrame:
-    """(mol_id, row_index, element, x, y, z) of Z-matrix rows; a molecule is rebuilt row by row, molecules in parallel."""
-    names = ["bond_to", "bond_length", "angle_to", "angle_deg", "dihedral_to", "dihedral_deg"]
+    """(mol_id, row_index, element, x, y, z) of Z-matrix rows; the molecules of a batch are rebuilt together, row by row."""
+    names = ["bond_to", "angle_to", "dihedral_to", "bond_length", "angle_deg", "dihedral_deg"]
     lists = rows.groupBy("mol_id").agg(F.array_sort(F.collect_list(F.struct("row_index", "element", *names))).alias("rows"))
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for m in pdf.itertuples(index=False):
-                points = rebuild([tuple(r[n] for n in names) for r in m.rows])
-                out += [(m.mol_id, r["row_index"], r["element"], *p.tolist()) for r, p in zip(m.rows, points)]
-            yield pd.DataFrame(out, columns=["mol_id", "row_index", "element", "x", "y", "z"])
+    def run(record_batches):
+        for whole in record_batches:
+            for lo, hi in batches.blocks(np.diff(whole.column("rows").offsets.to_numpy()), STEP):
+                batch = whole.slice(lo, hi - lo)
+                offsets = batch.column("rows").offsets.to_numpy()
+                flat = batch.column("rows").values.slice(offsets[0], offsets[-1] - offsets[0])
+                fields = dict(zip([f.name for f in flat.type], flat.flatten()))
+                numbers = np.stack([fields[c].to_numpy(zero_copy_only=False).astype(float) for c in names], axis=1)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    points = rebuild_many(offsets - offsets[0], np.nan_to_num(numbers[:, :3]).astype(int), numbers[:, 3:])
+                ids = batch.column("mol_id").take(pa.array(np.repeat(np.arange(len(batch)), np.diff(offsets))))
+                yield pa.RecordBatch.from_arrays([ids, fields["row_index"], fields["element"], *[pa.array(points[:, c]) for c in range(3)]], names=["mol_id", "row_index", "element", "x", "y", "z"])
 
-    return lists.mapInPandas(run, "mol_id string, row_index int, element string, x double, y double, z double")
+    return lists.mapInArrow(run, "mol_id string, row_index int, element string, x double, y double, z double")
 
 
 def problems(rows: DataFrame) -> DataFrame:
@@ -92,16 +146,30 @@ def dihedral_kinds(rows: DataFrame, bonds: DataFrame) -> DataFrame:
     return df.withColumn("kind", kind).drop("_ba", "_ad", "_bd")
 
 
+def measures(rows: DataFrame, points: DataFrame) -> DataFrame:
+    """The rows with ``m_bond_length``, ``m_angle_deg`` and ``m_dihedral_deg``, measured on points (mol_id, row_index, x, y, z).
+
+    A molecule's rows and points meet once, and references are looked up in
+    the list of its points: by place where it has every row from the first on.
+    """
+    whole = F.forall(F.transform("points", lambda p, i: p["row_index"] == i + 1), lambda x: x)
+    lists = points.groupBy("mol_id").agg(F.array_sort(F.collect_list(F.struct("row_index", "x", "y", "z"))).alias("points")).withColumn("whole", whole)
+    own = rows.groupBy("mol_id").agg(F.collect_list(F.struct(*[c for c in rows.columns if c != "mol_id"])).alias("rows"))
+
+    def found(ref):
+        return F.when(F.col("whole"), F.when(ref > 0, F.get("points", ref - 1))).otherwise(F.get(F.filter("points", lambda p: p["row_index"] == ref), 0))
+
+    ends = {"o": "row_index", "b": "bond_to", "a": "angle_to", "d": "dihedral_to"}
+    met = own.join(lists, "mol_id", "left").select("mol_id", F.explode(F.transform("rows", lambda r: F.struct(r.alias("r"), *[found(r[c]).alias(n) for n, c in ends.items()]))).alias("m"))
+    o, b, a, d = (tuple(F.col(f"m.{n}.{c}") for c in "xyz") for n in ends)
+    values = {"bond_length": g.norm(g.minus(o, b)), "angle_deg": g.angle(o, b, a), "dihedral_deg": g.dihedral(o, b, a, d)}
+    return met.select("mol_id", *[F.col(f"m.r.{c}").alias(c) for c in rows.columns if c != "mol_id"], *[v.alias(f"m_{c}") for c, v in values.items()])
+
+
 def measured(rows: DataFrame, points: DataFrame) -> DataFrame:
     """The rows with lengths, angles and dihedrals measured on points (mol_id, row_index, x, y, z)."""
-    df = rows
-    for name, column in (("o", "row_index"), ("b", "bond_to"), ("a", "angle_to"), ("d", "dihedral_to")):
-        p = points.select("mol_id", F.col("row_index").alias(column), *[F.col(c).alias(f"{name}{c}") for c in "xyz"])
-        df = df.join(p, ["mol_id", column], "left")
-    o, b, a, d = (tuple(F.col(f"{n}{c}") for c in "xyz") for n in "obad")
-    return df.select(
-        "mol_id", "row_index", "element", "bond_to", g.norm(g.minus(o, b)).alias("bond_length"), "angle_to", g.angle(o, b, a).alias("angle_deg"), "dihedral_to", g.dihedral(o, b, a, d).alias("dihedral_deg")
-    )
+    given = measures(rows.select("mol_id", "row_index", "element", "bond_to", "angle_to", "dihedral_to"), points)
+    return given.select("mol_id", "row_index", "element", "bond_to", F.col("m_bond_length").alias("bond_length"), "angle_to", F.col("m_angle_deg").alias("angle_deg"), "dihedral_to", F.col("m_dihedral_deg").alias("dihedral_deg"))
 
 
 def neighbours(n: int, links: set[tuple[int, int]]) -> list[set[int]]:
