@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from crystalspark.operators import reports, zmatrix
+from crystalspark.operators import pdd, reports, zmatrix
 
 NAMES = "mol_id string, row_index int, element string, bond_to int, bond_length double, angle_to int, angle_deg double, dihedral_to int, dihedral_deg double"
 
@@ -50,3 +50,20 @@ def test_rows_and_points_meet_once(spark):
     for mol, i, _, b, r, *_ in rows:
         gone = mol == "m9" and 2 in (i, b)
         assert lost[mol, i] is None if gone or b is None else abs(lost[mol, i] - r) < 1e-5
+
+
+def test_rows_of_many_structures_are_sorted_together():
+    r = np.random.default_rng(5)
+    near, names = np.sort(r.uniform(1, 9, (40, 6, 5)), axis=2), r.choice(["C", "H", "O"], (40, 6))
+    near[3, 1], near[3, 4] = near[3, 0], near[3, 0] + 5e-5  # merge where their elements agree
+    near[5:9, 2, :3] = near[5:9, 3, :3]  # tied at first, apart further on
+    names[3] = names[5:9, 2:4] = "C"
+    codes = np.unique(names, return_inverse=True)[1].reshape(names.shape)
+    for tolerance, typed in ((1e-4, True), (None, True), (1e-4, False)):
+        order, plain = pdd.separate(near, codes if typed else np.zeros_like(codes), tolerance)
+        assert plain.sum() == (40 if tolerance is None else 39) and plain[3] == (tolerance is None)
+        for s in np.flatnonzero(plain):
+            want = pdd.described(near[s], names[s].tolist(), tolerance, typed)
+            rows = order[s] - 6 * s
+            assert [x[0] for x in want] == names[s][rows].tolist()
+            assert np.allclose([x[2] for x in want], near[s][rows], rtol=0, atol=1e-12)
