@@ -67,3 +67,19 @@ def test_rows_of_many_structures_are_sorted_together():
             rows = order[s] - 6 * s
             assert [x[0] for x in want] == names[s][rows].tolist()
             assert np.allclose([x[2] for x in want], near[s][rows], rtol=0, atol=1e-12)
+
+
+def test_pairs_of_one_key_are_many_rows(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, i % 2, [float(x) for x in r.uniform(-1, 1, 5)]) for i in range(40)]
+    rows += [(40, 0, [0.5, None, 9.0]), (41, 0, None), (42, 0, [None]), (43, None, [1.0])]
+    found = pdd.largest_differences(spark.createDataFrame(rows, "vec_id long, label int, v array<double>"), "label", part=4)
+    shuffled = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_r" in next(line for line in shuffled.splitlines() if "Join" in line)  # by block, not by the label alone
+    want = {}
+    for a, k, v in rows:
+        for b, m, w in rows:
+            if a < b and k == m and k is not None and v and w:
+                d = [abs(x - y) for x, y in zip(v, w) if x is not None and y is not None]
+                want[a, b] = (k, max(d) if d else None)
+    assert {(x.left_id, x.right_id): (x.label, x.distance) for x in found.collect()} == want
