@@ -6,6 +6,8 @@ so one shuffle by structure serves every step and no structure meets another.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import lru_cache
 from hashlib import md5
 
 import numpy as np
@@ -187,7 +189,13 @@ def is_water(formula) -> object:
     return formula == "H2O1"
 
 
-def refined(elements: list[str], links: list[tuple[int, int]]) -> str:
+@lru_cache(16_384)
+def signed(elements: tuple[str, ...], links: tuple[tuple[int, int], ...]) -> str:
+    """``refined`` of a molecule; equal small ones are many."""
+    return refined(elements, links)
+
+
+def refined(elements: Sequence[str], links: Sequence[tuple[int, int]]) -> str:
     """A signature of a molecule: labels of its atoms and bonds, refined until they tell no more atoms apart.
 
     Labels start from element and degree and take in the sorted labels of the
@@ -213,23 +221,31 @@ def signatures(atoms: DataFrame, bonds: DataFrame, parts: DataFrame) -> DataFram
     links = bonds.groupBy("structure_id").agg(F.collect_list(F.struct("i", "j")).alias("links"))
     kinds = dict(members.dtypes)
 
+    def flat(lists: pa.Array) -> tuple[list[int], list[list]]:
+        """Offsets of a batch's lists and the fields of their structs, as lists of plain values."""
+        offsets = lists.offsets.to_numpy()
+        inner = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
+        return (offsets - offsets[0]).tolist(), [x.to_pylist() for x in inner.flatten()]
+
     def sign(batches):
         for batch in batches:
-            ids, components, found = [], [], []
-            for name, points, ends in zip(*(batch.column(c).to_pylist() for c in ("structure_id", "atoms", "links"))):
+            rows, components, found = [], [], []
+            starts, (index, elements, parts) = flat(batch.column("atoms"))
+            ends, (first, second) = flat(batch.column("links"))
+            for row in range(len(batch)):
                 place, molecules = {}, {}
-                for p in points:
-                    elements, _ = molecules.setdefault(p["component"], ([], []))
-                    place[p["atom_idx"]] = p["component"], len(elements)
-                    elements.append(p["element"])
-                for e in ends or ():
-                    component, i = place[e["i"]]
-                    molecules[component][1].append((i, place[e["j"]][1]))
-                for component, molecule in molecules.items():
-                    ids.append(name)
+                for p in range(starts[row], starts[row + 1]):
+                    own, _ = molecules.setdefault(parts[p], ([], []))
+                    place[index[p]] = parts[p], len(own)
+                    own.append(elements[p])
+                for e in range(ends[row], ends[row + 1]):
+                    component, i = place[first[e]]
+                    molecules[component][1].append((i, place[second[e]][1]))
+                for component, (own, near) in molecules.items():
+                    rows.append(row)
                     components.append(component)
-                    found.append(refined(*molecule))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("structure_id").type), pa.array(components, pa.int32()), pa.array(found, pa.string())], names=["structure_id", "component", "signature"])
+                    found.append(signed(tuple(own), tuple(near)) if len(own) <= 64 else refined(own, near))
+            yield pa.RecordBatch.from_arrays([batch.column("structure_id").take(pa.array(rows, pa.int64())), pa.array(components, pa.int32()), pa.array(found, pa.string())], names=["structure_id", "component", "signature"])
 
     return rows.join(links, "structure_id", "left").mapInArrow(sign, f"structure_id {kinds['structure_id']}, component int, signature string")
 

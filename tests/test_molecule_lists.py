@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from crystalspark.operators import pdd, reports, zmatrix
+from crystalspark.operators import bonds, pdd, reports, zmatrix
 
 NAMES = "mol_id string, row_index int, element string, bond_to int, bond_length double, angle_to int, angle_deg double, dihedral_to int, dihedral_deg double"
 
@@ -83,3 +83,9 @@ def test_pairs_of_one_key_are_many_rows(spark):
                 d = [abs(x - y) for x, y in zip(v, w) if x is not None and y is not None]
                 want[a, b] = (k, max(d) if d else None)
     assert {(x.left_id, x.right_id): (x.label, x.distance) for x in found.collect()} == want
+
+
+def test_equal_molecules_are_signed_once():
+    bonds.signed.cache_clear()
+    names = {bonds.signed(("H", "O", "H"), ((0, 1), (1, 2))) for _ in range(5)}
+    assert names == {bonds.refined(["H", "O", "H"], [(0, 1), (1, 2)])} and bonds.signed.cache_info().misses == 1
