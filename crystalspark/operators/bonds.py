@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from crystalspark.functions import geometry as g
-from crystalspark.operators import dims
+from crystalspark.operators import bonded, dims
+from crystalspark.operators.bonded import BOX
 
 
 def pairs(atoms: DataFrame, columns: list[str]) -> DataFrame:
@@ -29,10 +30,6 @@ def pairs(atoms: DataFrame, columns: list[str]) -> DataFrame:
     return left.join(right, "structure_id").where("i < j")
 
 
-#: Width in Angstrom that the boxes of the neighbour search aim at: well beyond a bond, and small cells stay one box.
-BOX = 6.0
-
-
 def let(name: str, value: str, then: str) -> str:
     """SQL of ``then`` with ``name`` for a value that is worked out once, however often it is used."""
     return f"get(transform(array({value}), {name} -> {then}), 0)"
@@ -92,31 +89,9 @@ def contacts(atoms: DataFrame, scale: float = 1.2) -> DataFrame:
 
     Coordinates may lie in any cell and cells may be thinner than a bond: the
     larger atom of a pair looks for the other in the boxes around it, and the
-    images looked at follow from the lattice.
+    images looked at follow from the lattice; the structures of a batch together.
     """
-    radii = F.broadcast(dims.elements(atoms.sparkSession).select("element", "radius"))
-    sized = atoms.join(radii, "element", "left")
-    sized = sized.withColumn("radius", dims.known(sized, "radius"))
-    longest = f"2 * radius * {max(scale, 1.3)}D"  # to an atom no larger than this one; hydrogen has a scale of its own
-    larger = "a.radius > b.radius OR a.radius = b.radius AND a.k < b.k"
-    both = neighbours(sized, longest, ["element", "radius", "x", "y", "z"], larger)
-    total = F.col("a.radius") + F.col("b.radius")
-    both = both.withColumns({"_longest": total * g.bond_scale(F.col("a.element"), F.col("b.element"), scale)} | {f"_d{c}": F.col(f"b.{c}") - F.col(f"a.{c}") for c in "xyz"})
-    delta = tuple(F.col(f"_d{c}") for c in "xyz")
-    # planes of the cell are 2 pi / |reciprocal vector| apart, so a step along an axis is of use only while its part of the way is short enough
-    along = {f"_f{c}": f for c, f in zip("xyz", g.to_fractional(delta))} | {f"_r{c}": F.col("_longest") * g.norm(v) / (2 * F.pi()) + 1e-9 for c, v in zip("xyz", g.reciprocal())}
-    cells = both.withColumns(along)
-    for c in "xyz":  # the outer form lets no filter copy the expressions
-        low, high = F.expr(f"int(ceil(-_r{c} - _f{c}))"), F.expr(f"int(floor(_r{c} - _f{c}))")
-        cells = cells.withColumn(f"s{c}", F.explode_outer(F.when(low <= high, F.sequence(low, high)))).where(F.col(f"s{c}").isNotNull())
-    d = [F.col(f"_d{c}") + F.col("sx") * F.col(f"a{c}") + F.col("sy") * F.col(f"b{c}") + F.col("sz") * F.col(f"c{c}") for c in "xyz"]
-    near = cells.withColumn("distance", g.norm(tuple(d))).where(F.col("distance") <= F.col("_longest"))
-    first = F.col("a.k") < F.col("b.k")
-    way = F.when(first, 1).otherwise(-1)
-    ends = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(n) for n, x, y in (("i", "a.k", "b.k"), ("j", "b.k", "a.k"), ("element1", "a.element", "b.element"), ("element2", "b.element", "a.element"))]
-    near = near.select("structure_id", *ends, F.struct("distance", *[(way * F.col(c)).alias(c) for c in ("sx", "sy", "sz")], (F.col("distance") / total).alias("ratio")).alias("m"))
-    best = near.groupBy("structure_id", "i", "j", "element1", "element2").agg(F.min("m").alias("m"))
-    return best.select("structure_id", "i", "j", "element1", "element2", "m.sx", "m.sy", "m.sz", "m.distance", "m.ratio")
+    return bonded.bond_rows(atoms, list("xyz"), lambda found: found.contacts(scale))
 
 
 def single_hydrogen_bonds(bonds: DataFrame) -> DataFrame:
@@ -146,14 +121,8 @@ def single_hydrogen_bonds(bonds: DataFrame) -> DataFrame:
 
 def pair_table_bonds(atoms: DataFrame) -> DataFrame:
     """(structure_id, i, j, distance) of pairs strictly within the cutoff of their elements, by the nearest image; atoms meet in boxes as for ``contacts``."""
-    cutoffs = dims.pair_cutoffs(atoms.sparkSession)
-    longest = max(dims.PAIR_CUTOFFS.values())
-    placed = atoms.withColumns(dict(zip("xyz", g.to_cartesian((F.col("fx"), F.col("fy"), F.col("fz"))))))
-    both = neighbours(placed, f"{longest}D", ["element", "fx", "fy", "fz"], "a.k < b.k")
-    both = both.join(F.broadcast(cutoffs), (F.col("a.element") == F.col("e1")) & (F.col("b.element") == F.col("e2")))
-    f, h = (tuple(F.col(f"{k}.f{c}") for c in "xyz") for k in "ab")
-    near = both.withColumn("distance", g.nearest_image(f, h)).where("distance < cutoff")
-    return near.select("structure_id", F.col("a.k").alias("i"), F.col("b.k").alias("j"), F.col("a.element").alias("element1"), F.col("b.element").alias("element2"), "distance")
+    near = bonded.bond_rows(atoms, ["fx", "fy", "fz"], lambda found: found.within_cutoffs())
+    return near.select("structure_id", "i", "j", "element1", "element2", "distance")
 
 
 def components(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
@@ -185,8 +154,11 @@ def molecules(atoms: DataFrame, parts: DataFrame) -> DataFrame:
     )
 
 
+WATER = "H2O1"
+
+
 def is_water(formula) -> object:
-    return formula == "H2O1"
+    return formula == WATER
 
 
 @lru_cache(16_384)
@@ -215,23 +187,28 @@ def refined(elements: Sequence[str], links: Sequence[tuple[int, int]]) -> str:
 
 
 def signatures(atoms: DataFrame, bonds: DataFrame, parts: DataFrame) -> DataFrame:
-    """(structure_id, component, signature): ``refined`` of every molecule; structures travel as one row each, many to a batch."""
+    """(structure_id, component, signature): ``refined`` of every molecule."""
     members = atoms.select("structure_id", "atom_idx", "element").join(parts, ["structure_id", "atom_idx"])
     rows = members.groupBy("structure_id").agg(F.collect_list(F.struct("atom_idx", "element", "component")).alias("atoms"))
     links = bonds.groupBy("structure_id").agg(F.collect_list(F.struct("i", "j")).alias("links"))
-    kinds = dict(members.dtypes)
+    return signed_rows(rows.join(links, "structure_id", "left"))
+
+
+def signed_rows(rows: DataFrame) -> DataFrame:
+    """``signatures`` of structures as one row each, with ``atoms`` (atom_idx, element, component) and ``links`` (i, j); many to a batch."""
 
-    def flat(lists: pa.Array) -> tuple[list[int], list[list]]:
+    def flat(lists: pa.Array, *names: str) -> tuple[list[int], list[list]]:
         """Offsets of a batch's lists and the fields of their structs, as lists of plain values."""
         offsets = lists.offsets.to_numpy()
         inner = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
-        return (offsets - offsets[0]).tolist(), [x.to_pylist() for x in inner.flatten()]
+        fields = dict(zip([f.name for f in inner.type], inner.flatten()))
+        return (offsets - offsets[0]).tolist(), [fields[n].to_pylist() for n in names]
 
     def sign(batches):
         for batch in batches:
             rows, components, found = [], [], []
-            starts, (index, elements, parts) = flat(batch.column("atoms"))
-            ends, (first, second) = flat(batch.column("links"))
+            starts, (index, elements, parts) = flat(batch.column("atoms"), "atom_idx", "element", "component")
+            ends, (first, second) = flat(batch.column("links"), "i", "j")
             for row in range(len(batch)):
                 place, molecules = {}, {}
                 for p in range(starts[row], starts[row + 1]):
@@ -247,7 +224,7 @@ def signatures(atoms: DataFrame, bonds: DataFrame, parts: DataFrame) -> DataFram
                     found.append(signed(tuple(own), tuple(near)) if len(own) <= 64 else refined(own, near))
             yield pa.RecordBatch.from_arrays([batch.column("structure_id").take(pa.array(rows, pa.int64())), pa.array(components, pa.int32()), pa.array(found, pa.string())], names=["structure_id", "component", "signature"])
 
-    return rows.join(links, "structure_id", "left").mapInArrow(sign, f"structure_id {kinds['structure_id']}, component int, signature string")
+    return rows.select("structure_id", "atoms", "links").mapInArrow(sign, f"structure_id {dict(rows.dtypes)['structure_id']}, component int, signature string")
 
 
 def unique_molecules(signed: DataFrame) -> DataFrame:

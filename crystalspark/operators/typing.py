@@ -6,19 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crystalspark.functions import text as t
-from crystalspark.operators import bonds as b
+from crystalspark.operators import bonded
 
 
 def types(atoms: DataFrame, label_type: str = "fit") -> DataFrame:
     """(structure_id, atom_idx, element, site_type, error): heavy atoms by element, hydrogens by their one heavy neighbour."""
     if label_type not in ("fit", "fit_hp"):
         raise ValueError(f"unknown label type {label_type!r}")
-    near = b.pair_table_bonds(atoms)
-    ends = near.select("structure_id", F.col("i").alias("atom_idx"), F.col("element1").alias("e"), F.col("element2").alias("o")).union(
-        near.select("structure_id", F.col("j"), F.col("element2"), F.col("element1"))
-    )
-    parents = ends.where("e = 'H' AND o <> 'H'").groupBy("structure_id", "atom_idx").agg(F.count("*").alias("n"), F.min("o").alias("parent"))
-    joined = atoms.select("structure_id", "atom_idx", "element").join(parents, ["structure_id", "atom_idx"], "left")
+    joined = bonded.heavy_neighbours(atoms)
     hydrogen = F.col("element") == "H"
     kind = F.when(~hydrogen, t.heavy_type(F.col("element"))).when(F.col("n") == 1, t.hydrogen_type(F.col("parent"), label_type))
     problem = F.when(hydrogen & F.col("n").isNull(), "no heavy neighbour").when(hydrogen & (F.col("n") > 1), "several heavy neighbours").when(kind.isNull(), "unsupported neighbour")

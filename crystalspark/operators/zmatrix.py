@@ -7,9 +7,8 @@ from hashlib import blake2b
 from itertools import combinations, groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crystalspark.functions import geometry as g
@@ -119,18 +118,30 @@ def cartesian(rows: DataFrame) -> DataFrame:
     return lists.mapInArrow(run, "mol_id string, row_index int, element string, x double, y double, z double")
 
 
-def problems(rows: DataFrame) -> DataFrame:
-    """Adds ``errors``: reference counts by row, references to earlier rows, positive lengths, finite values."""
-    i = F.col("row_index")
-    given = sum(F.col(c).isNotNull().cast("int") for c in ("bond_to", "angle_to", "dihedral_to"))
+def faults(c) -> Column:
+    """What is wrong with a row whose columns are ``c(name)``: reference counts by row, references to earlier rows, positive lengths, finite values."""
+    i = c("row_index")
+    bond, angle, turn = c("bond_to"), c("angle_to"), c("dihedral_to")
+    given = sum(x.isNotNull().cast("int") for x in (bond, angle, turn))
     checks = [
         F.when(given != F.least(i - 1, F.lit(3)), "wrong number of references"),
-        F.when((F.col("bond_to") >= i) | (F.col("angle_to") >= i) | (F.col("dihedral_to") >= i) | (F.least("bond_to", "angle_to", "dihedral_to") < 1), "reference to a later row"),
-        F.when((F.col("bond_to") == F.col("angle_to")) | (F.col("bond_to") == F.col("dihedral_to")) | (F.col("angle_to") == F.col("dihedral_to")), "repeated reference"),
-        F.when(F.col("bond_length") <= 0, "length not positive"),
-        F.when(F.isnan("bond_length") | F.isnan("angle_deg") | F.isnan("dihedral_deg"), "value not finite"),
+        F.when((bond >= i) | (angle >= i) | (turn >= i) | (F.least(bond, angle, turn) < 1), "reference to a later row"),
+        F.when((bond == angle) | (bond == turn) | (angle == turn), "repeated reference"),
+        F.when(c("bond_length") <= 0, "length not positive"),
+        F.when(F.isnan(c("bond_length")) | F.isnan(c("angle_deg")) | F.isnan(c("dihedral_deg")), "value not finite"),
     ]
-    return rows.withColumn("errors", F.filter(F.array(*checks), lambda x: x.isNotNull()))
+    return F.filter(F.array(*checks), lambda x: x.isNotNull())
+
+
+def problems(rows: DataFrame) -> DataFrame:
+    """Adds ``errors``, the ``faults`` of each row."""
+    return rows.withColumn("errors", faults(F.col))
+
+
+def kind_of(bond: int, angle: int, turn: int, links: set[tuple[int, int]]) -> str:
+    """The kind of a dihedral by the bonds (both ways round) along its references, as of ``dihedral_kinds``."""
+    first, chain, star = (bond, angle) in links, (angle, turn) in links, (bond, turn) in links
+    return "fallback" if not first or not (chain or star) else "ambiguous" if chain and star else "proper" if chain else "improper"
 
 
 def dihedral_kinds(rows: DataFrame, bonds: DataFrame) -> DataFrame:
@@ -386,34 +397,56 @@ def generate_all(points: DataFrame, bonds: DataFrame) -> DataFrame:
     references through the match, so their rows line up; ``atom_idx`` names
     the atom of each row.
     """
-    rows = points.groupBy("structure_id").agg(F.array_sort(F.collect_list(F.struct("component", "atom_idx", "element", "x", "y", "z"))).alias("points"))
-    edges = bonds.groupBy("structure_id").agg(F.collect_list(F.struct("i", "j")).alias("edges"))
-    schema = "structure_id long, component int, row_index int, atom_idx int, element string, bond_to int, bond_length double, angle_to int, angle_deg double, dihedral_to int, dihedral_deg double, warnings array<string>"
-    names = [f.split()[0] for f in schema.split(", ")]
-
-    def molecules(structure):
-        models: list[tuple] = []
-        links = [(e["i"], e["j"]) for e in (structure.edges if structure.edges is not None else ())]
-        for component, group in groupby(structure.points, key=lambda p: p["component"]):
-            atoms = list(group)
-            at = {p["atom_idx"]: k for k, p in enumerate(atoms)}
-            near = neighbours(len(atoms), {(at[i], at[j]) for i, j in links if i in at and j in at})
-            elements, xyz = [p["element"] for p in atoms], np.array([[p["x"], p["y"], p["z"]] for p in atoms])
-            matched = ((m, isomorphism(m[0], m[1], elements, near)) for m in models)
-            model, match = next(((m, f) for m, f in matched if f is not None), (None, None))
-            if model is None:
-                model, match = (elements, near, *references(elements, near, xyz)), list(range(len(atoms)))
-                models.append(model)
-            template = [tuple(None if k is None else match[k] for k in r) for r in model[2]]
-            for k, (row, ref) in enumerate(zip(numbered(template, elements, xyz), template)):
-                yield (structure.structure_id, component, k + 1, atoms[ref[0]]["atom_idx"], *row, *[None] * (7 - len(row)), model[3])
-
-    def run(batches):
-        for pdf in batches:
-            frame = pd.DataFrame([r for s in pdf.itertuples(index=False) for r in molecules(s)], columns=names)
-            yield frame.astype({c: "Int32" for c in ("bond_to", "angle_to", "dihedral_to")})
-
-    return rows.join(edges, "structure_id", "left").mapInPandas(run, schema)
+    rows = points.groupBy("structure_id").agg(F.array_sort(F.collect_list(F.struct("component", "atom_idx", "element", "x", "y", "z"))).alias("atoms"))
+    edges = bonds.groupBy("structure_id").agg(F.collect_list(F.struct("i", "j")).alias("links"))
+    return generate_rows(rows.join(edges, "structure_id", "left"))
+
+
+def lined_up(structure_atoms: list[dict], links: list[dict] | None):
+    """Z-matrix rows (component, row_index, atom_idx, element, references and values, warnings) of a structure's molecules, whose atoms lie together."""
+    models: dict[tuple, list[tuple]] = {}
+    pairs = [(e["i"], e["j"]) for e in links or ()]
+    for component, group in groupby(structure_atoms, key=lambda p: p["component"]):
+        atoms = list(group)
+        elements = [p["element"] for p in atoms]
+        if len(atoms) == 1:
+            yield (component, 1, atoms[0]["atom_idx"], elements[0], *[None] * 6, [])
+            continue
+        at = {p["atom_idx"]: k for k, p in enumerate(atoms)}
+        near = neighbours(len(atoms), {(at[i], at[j]) for i, j in pairs if i in at and j in at})
+        xyz = np.array([[p["x"], p["y"], p["z"]] for p in atoms])
+        alike = models.setdefault(tuple(sorted((e, len(k)) for e, k in zip(elements, near))), [])  # only these can match
+        matched = ((m, isomorphism(m[0], m[1], elements, near)) for m in alike)
+        model, match = next(((m, f) for m, f in matched if f is not None), (None, None))
+        if model is None:
+            model, match = (elements, near, *references(elements, near, xyz)), list(range(len(atoms)))
+            alike.append(model)
+        template = [tuple(None if k is None else match[k] for k in r) for r in model[2]]
+        for k, (row, ref) in enumerate(zip(numbered(template, elements, xyz), template)):
+            yield (component, k + 1, atoms[ref[0]]["atom_idx"], *row, *[None] * (7 - len(row)), model[3])
+
+
+#: The fields of a row that ``lined_up`` makes.
+ROW = {"component": "int", "row_index": "int", "atom_idx": "int", "element": "string", "bond_to": "int", "bond_length": "double", "angle_to": "int", "angle_deg": "double", "dihedral_to": "int", "dihedral_deg": "double", "warnings": "array<string>"}
+ARROW = {"int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+
+
+def generate_rows(rows: DataFrame) -> DataFrame:
+    """``generate_all`` of structures as one row each, with ``atoms`` (component, atom_idx, element, x, y, z; a molecule's lie together) and ``links`` (i, j)."""
+
+    def run(record_batches):
+        for whole in record_batches:
+            for lo, hi in batches.blocks(np.diff(whole.column("atoms").offsets.to_numpy()), STEP):
+                batch, made, of = whole.slice(lo, hi - lo), [], []
+                for place, (atoms, links) in enumerate(zip(batch.column("atoms").to_pylist(), batch.column("links").to_pylist())):
+                    made += lined_up(atoms, links)
+                    of += [place] * (len(made) - len(of))
+                columns = list(zip(*made)) or [()] * len(ROW)
+                arrays = [pa.array(c, ARROW[kind]) for c, kind in zip(columns, ROW.values())]
+                yield pa.RecordBatch.from_arrays([batch.column("structure_id").take(pa.array(of, pa.int64())), *arrays], names=["structure_id", *ROW])
+
+    kind = dict(rows.dtypes)["structure_id"]
+    return rows.select("structure_id", "atoms", "links").mapInArrow(run, ", ".join([f"structure_id {kind}", *[f"{n} {k}" for n, k in ROW.items()]]))
 
 
 def viewer_payload(rows: DataFrame, points: DataFrame) -> DataFrame:

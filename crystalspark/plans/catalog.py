@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 
 from crystalspark.functions import geometry as g
 from crystalspark.functions import text as t
-from crystalspark.operators import bonds, calculations, cells, corpus, dims, pdd, results, symmetry, typing, zmatrix
+from crystalspark.operators import bonded, bonds, calculations, cells, corpus, dims, pdd, results, symmetry, typing, zmatrix
 from crystalspark.operators.corpus import SQL, table
 from crystalspark.operators.store import written
 from crystalspark.sources import writers
@@ -198,7 +198,8 @@ def bond_self_join(spark, sf_dir):
 
 @query()
 def bond_shortest_per_h(spark, sf_dir):
-    return bonds.single_hydrogen_bonds(bonds.contacts(cart(spark, sf_dir))).select("structure_id", "i", "j", r6("distance").alias("distance"))
+    near = bonded.bond_rows(cart(spark, sf_dir), list("xyz"), lambda atoms: atoms.contacts().single_hydrogen())
+    return near.select("structure_id", "i", "j", r6("distance").alias("distance"))
 
 
 _TABLE_BONDS = f"""{PAIRS_SQL}, tp AS (SELECT a.structure_id, a.atom_idx AS i, b.atom_idx AS j, a.element AS e1, b.element AS e2, cutoff, a.ax, a.ay, a.az, a.bx, a."by", a.bz, a.cx, a.cy, a.cz,
@@ -218,21 +219,25 @@ rc AS (SELECT structure_id, atom_idx, atom_idx AS k FROM atoms UNION SELECT rc.s
 parts AS (SELECT structure_id, atom_idx, min(k) AS component FROM rc GROUP BY ALL)"""
 
 
-def split(spark, sf_dir):
-    a = cart(spark, sf_dir)
-    b = written(bonds.contacts(a), "bonds")
-    return a, b, bonds.components(a, b)
+def found(spark, sf_dir, *fields: str, **how) -> DataFrame:
+    """Structures with their atoms by molecule, bonds or molecules, as one row each."""
+    return bonded.structures(cart(spark, sf_dir), *fields, **how)
+
+
+def split(spark, sf_dir) -> DataFrame:
+    """Atoms and their molecules."""
+    return found(spark, sf_dir, "atoms").select("structure_id", F.inline("atoms"))
 
 
 @query(f"{W_}, {_PARTS} SELECT structure_id, atom_idx, component FROM parts")
 def connected_components(spark, sf_dir):
-    return split(spark, sf_dir)[2]
+    return split(spark, sf_dir).select("structure_id", "atom_idx", "component")
 
 
 @query(f"{W_}, {_PARTS}, ms AS (SELECT structure_id, component, count(*) AS n FROM parts GROUP BY ALL) SELECT structure_id, count(*) AS n_molecules, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n DESC) AS sizes FROM ms GROUP BY ALL")
 def molecule_sizes(spark, sf_dir):
-    sizes = split(spark, sf_dir)[2].groupBy("structure_id", "component").agg(F.count("*").alias("n"))
-    return sizes.groupBy("structure_id").agg(F.count("*").alias("n_molecules"), F.array_join(F.sort_array(F.collect_list("n"), False).cast("array<string>"), ",").alias("sizes"))
+    sizes = F.sort_array(F.transform("molecules", lambda m: m["n_atoms"]), False)
+    return found(spark, sf_dir, "molecules").select("structure_id", F.size("molecules").cast("long").alias("n_molecules"), F.array_join(sizes.cast("array<string>"), ",").alias("sizes"))
 
 
 _MOLS = f"""{_PARTS}, me AS (SELECT structure_id, component, element, count(*) AS n, sum(mass) AS m FROM parts JOIN atoms USING (structure_id, atom_idx) JOIN el USING (element) GROUP BY ALL),
@@ -241,18 +246,17 @@ mols AS (SELECT structure_id, component, CAST(sum(n) AS BIGINT) AS n_atoms, sum(
 
 @query(f"{W_}, {_MOLS} SELECT structure_id, component, {rs('weight', 'weight')}, formula, CAST(row_number() OVER (PARTITION BY structure_id ORDER BY round(weight, 6) DESC, component) AS INT) AS place FROM mols")
 def molecule_weight_order(spark, sf_dir):
-    a, _, p = split(spark, sf_dir)
-    m = bonds.molecules(a, p)
-    place = F.row_number().over(W.partitionBy("structure_id").orderBy(F.round("weight", 6).desc(), "component"))
-    return m.select("structure_id", "component", r6("weight").alias("weight"), "formula", place.alias("place"))
+    heaviest = F.array_sort(F.transform("molecules", lambda m: F.struct((-F.round(m["weight"], 6)).alias("w"), m["component"].alias("component"), m.alias("m"))))
+    placed = found(spark, sf_dir, "molecules").select("structure_id", F.posexplode(heaviest).alias("place", "x"))
+    return placed.select("structure_id", "x.component", r6("x.m.weight").alias("weight"), "x.m.formula", (F.col("place") + 1).alias("place"))
 
 
 @query(f"{W_}, {_MOLS} SELECT structure_id, CAST(sum(CASE WHEN formula = 'H2O1' THEN 1 ELSE 0 END) AS BIGINT) AS n_water, CAST(sum(CASE WHEN formula <> 'H2O1' AND regexp_matches(formula, 'C[0-9]') THEN 1 ELSE 0 END) AS BIGINT) AS n_organic, count(*) AS n_all FROM mols GROUP BY ALL")
 def water_vs_api(spark, sf_dir):
-    a, _, p = split(spark, sf_dir)
-    m = bonds.molecules(a, p)
-    water = bonds.is_water(F.col("formula"))
-    return m.groupBy("structure_id").agg(F.count_if(water).alias("n_water"), F.count_if(~water & F.col("formula").rlike("C[0-9]")).alias("n_organic"), F.count("*").alias("n_all"))
+    n = lambda kind: F.size(F.filter("molecules", kind)).cast("long")
+    water = lambda m: bonds.is_water(m["formula"])
+    counts = n(water).alias("n_water"), n(lambda m: ~water(m) & m["formula"].rlike("C[0-9]")).alias("n_organic"), F.size("molecules").cast("long").alias("n_all")
+    return found(spark, sf_dir, "molecules").select("structure_id", *counts)
 
 
 _SIGN = f"""{_PARTS}, dg AS (SELECT structure_id, i AS atom_idx, count(*) AS degree FROM ed GROUP BY ALL),
@@ -265,7 +269,7 @@ l{k} AS (SELECT structure_id, atom_idx, md5(label || '|' || coalesce(around, '')
 @query(f"{W_}, {_SIGN} SELECT structure_id, component, min(component) OVER (PARTITION BY structure_id, signature) AS first_alike, count(*) OVER (PARTITION BY signature) AS alike FROM sg_")
 def molecule_signature(spark, sf_dir):
     """Which molecules have one signature, in their structure and anywhere; the SQL refines for as many rounds as a structure here has atoms."""
-    signed = bonds.signatures(*split(spark, sf_dir))
+    signed = bonds.signed_rows(found(spark, sf_dir, "atoms", "links"))
     alike = signed.groupBy("signature").agg(F.count("*").alias("alike"))  # summed up before it meets the rows
     first = F.min("component").over(W.partitionBy("structure_id", "signature"))
     return signed.withColumn("first_alike", first).join(alike, "signature").select("structure_id", "component", "first_alike", "alike")
@@ -273,19 +277,17 @@ def molecule_signature(spark, sf_dir):
 
 @query(f"{W_}, {_SIGN} SELECT structure_id, min(component) AS representative, count(*) AS copies FROM sg_ GROUP BY structure_id, signature")
 def molecule_dedupe(spark, sf_dir):
-    return bonds.unique_molecules(bonds.signatures(*split(spark, sf_dir))).select("structure_id", "representative", "copies")
+    return bonds.unique_molecules(bonds.signed_rows(found(spark, sf_dir, "atoms", "links"))).select("structure_id", "representative", "copies")
 
 
 @query(f"{W_}, {_PARTS} SELECT structure_id, atom_idx, component, " + ", ".join(rs(f"{c} - avg({c}) OVER (PARTITION BY structure_id, component) + 10.0", c) for c in "xyz") + " FROM cart JOIN parts USING (structure_id, atom_idx)")
 def gas_phase_center(spark, sf_dir):
-    a, _, p = split(spark, sf_dir)
-    return bonds.boxed(a.join(p, ["structure_id", "atom_idx"])).select("structure_id", "atom_idx", "component", *[r6(c).alias(c) for c in "xyz"])
+    return bonds.boxed(split(spark, sf_dir)).select("structure_id", "atom_idx", "component", *[r6(c).alias(c) for c in "xyz"])
 
 
 @query()
 def molecules_unwrapped(spark, sf_dir):
-    a, b, p = split(spark, sf_dir)
-    return bonds.unwrap(a, b, p).select("structure_id", "atom_idx", "component", *[r6(c).alias(c) for c in "xyz"])
+    return found(spark, sf_dir, "atoms", unwrapped=True).select("structure_id", F.inline("atoms")).select("structure_id", "atom_idx", "component", *[r6(c).alias(c) for c in "xyz"])
 
 
 # angles
@@ -627,9 +629,7 @@ def dihedral_kind(spark, sf_dir):
 
 @query()
 def zmat_generate(spark, sf_dir):
-    a, b, p = split(spark, sf_dir)
-    points = bonds.unwrap(a, b, p).join(a.select("structure_id", "atom_idx", "element"), ["structure_id", "atom_idx"])
-    z = zmatrix.generate_all(points, b)
+    z = zmatrix.generate_rows(found(spark, sf_dir, "atoms", "links", unwrapped=True))
     return z.select("structure_id", "component", "row_index", "element", "bond_to", r6("bond_length").alias("bond_length"), "angle_to", "dihedral_to", F.size("warnings").alias("n_warnings"))
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 
 from crystalspark.operators import bonds, calculations, compare, corpus, dims, pdd, reports, results, symmetry, zmatrix
 from crystalspark.operators.corpus import table
-from crystalspark.plans.catalog import _CHAIN, _MOLS, _SIGN, ELEMENTS_SQL, W_, cart, chain, ops, query, r6, rs, split, zrows
+from crystalspark.operators.store import written
+from crystalspark.plans.catalog import _CHAIN, _MOLS, _SIGN, ELEMENTS_SQL, W_, cart, chain, found, ops, query, r6, rs, zrows
 from crystalspark.sources import decks, writers, zmatrix_files
 
 # decks
@@ -44,32 +45,31 @@ _EACH = lambda name, v: f"'{name} ' || string_agg('{v}', ' ') || chr(10)"  # noq
 @query(f"""{W_}, {_MOLS} SELECT structure_id, 'Num_Mols_Asm ' || count(*) || chr(10) || 'Num_Atoms ' || string_agg(CAST(n_atoms AS VARCHAR), ' ' ORDER BY round(weight, 6) DESC, component) || chr(10) || 'exp_Ulatt -100.0' || chr(10) || 'Pressure 0.0' || chr(10)
 || {_EACH('scal_disp', '1.0')} || {_EACH('scal_elec', '1.0')} || {_EACH('Charges', '0')} || {_EACH('Multiplicity', '1')} AS text FROM mols GROUP BY structure_id""")
 def rigid_info_deck(spark, sf_dir):
-    a, _, p = split(spark, sf_dir)
-    return decks.rigid_info(bonds.molecules(a, p), exp_ulatt=-100.0)
+    return decks.rigid_info(found(spark, sf_dir, "molecules").select("structure_id", F.inline("molecules")), exp_ulatt=-100.0)
 
 
 _UNIQUE = f"{_SIGN}, mt AS (SELECT structure_id, component, CAST(count(*) AS BIGINT) AS n_atoms FROM parts GROUP BY ALL), mf AS (SELECT structure_id, component, string_agg(element || n, '' ORDER BY element) AS formula FROM (SELECT structure_id, component, element, count(*) AS n FROM parts JOIN atoms USING (structure_id, atom_idx) GROUP BY ALL) GROUP BY ALL), un AS (SELECT structure_id, signature, min(component) AS component, count(*) AS copies FROM sg_ GROUP BY ALL), uq AS (SELECT * FROM un JOIN mt USING (structure_id, component) JOIN mf USING (structure_id, component))"
 
 
 def unique(spark, sf_dir):
-    a, b, p = split(spark, sf_dir)
-    return bonds.molecules(a, p), bonds.signatures(a, b, p)
+    both = written(found(spark, sf_dir, "atoms", "links", "molecules"), "molecules")
+    return both.select("structure_id", F.inline("molecules")), bonds.signed_rows(both)
 
 
 @query(f"""{W_}, {_UNIQUE} SELECT structure_id, CAST(row_number() OVER (PARTITION BY structure_id ORDER BY component) AS INT) AS index, CASE WHEN formula = 'H2O1' THEN 'WATER' ELSE CAST(structure_id AS VARCHAR) END AS molecule_name, n_atoms,
 CASE WHEN formula = 'H2O1' THEN -76.3688745965::DOUBLE ELSE -100.5::DOUBLE END AS energy, '/jobs/intra_lam_global_' || row_number() OVER (PARTITION BY structure_id ORDER BY component) AS global_intra FROM uq""")
 def flexible_molecules(spark, sf_dir):
     m, s = unique(spark, sf_dir)
-    found = m.join(bonds.unique_molecules(s).withColumnRenamed("representative", "component"), ["structure_id", "component"]).withColumnRenamed("component", "representative")
-    d = decks.flexible_molecules(found, F.col("structure_id").cast("string"), F.lit(-100.5), "/jobs")
+    uniques = m.join(bonds.unique_molecules(s).withColumnRenamed("representative", "component"), ["structure_id", "component"]).withColumnRenamed("component", "representative")
+    d = decks.flexible_molecules(uniques, F.col("structure_id").cast("string"), F.lit(-100.5), "/jobs")
     return d.select("structure_id", "index", "molecule_name", "n_atoms", "energy", "global_intra")
 
 
 @query()
 def flexible_input_deck(spark, sf_dir):
     m, s = unique(spark, sf_dir)
-    found = m.join(bonds.unique_molecules(s).withColumnRenamed("representative", "component"), ["structure_id", "component"]).withColumnRenamed("component", "representative")
-    return decks.flexible_input(decks.flexible_molecules(found, F.col("structure_id").cast("string"), F.lit(-100.5), "/jobs"))
+    uniques = m.join(bonds.unique_molecules(s).withColumnRenamed("representative", "component"), ["structure_id", "component"]).withColumnRenamed("component", "representative")
+    return decks.flexible_input(decks.flexible_molecules(uniques, F.col("structure_id").cast("string"), F.lit(-100.5), "/jobs"))
 
 
 @query(f"""{W_}, f AS (SELECT structure_id, element, min(atom_idx) AS first FROM atoms GROUP BY ALL)
