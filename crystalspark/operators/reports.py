@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from crystalspark.functions import geometry as g
+from crystalspark.operators import batches, bonded, dims, zmatrix
 from crystalspark.operators import bonds as b
-from crystalspark.operators import dims, zmatrix
 from crystalspark.operators.store import written
 
 
@@ -34,24 +37,80 @@ def branch_report(atoms: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``atoms`` are full cells with lattice and Cartesian columns. The report
     counts rows by kind of dihedral, warnings and rows with errors.
     """
-    near = written(b.single_hydrogen_bonds(written(b.contacts(atoms), "contacts")), "bonds")
-    parts = written(b.components(atoms, near), "components")
-    chosen = chosen_molecules(b.molecules(atoms, parts), b.signatures(atoms, near, parts))
-    points = b.unwrap(atoms, near, parts).join(chosen.select("structure_id", "component"), ["structure_id", "component"], "left_semi")
-    rows = written(zmatrix.generate_all(points.join(atoms.select("structure_id", "atom_idx", "element"), ["structure_id", "atom_idx"]), near), "zmatrices")
-    place = rows.select("structure_id", F.col("atom_idx"), "row_index")
-    ends = [place.select("structure_id", F.col("atom_idx").alias(k), F.col("row_index").alias(f"r{k}")) for k in "ij"]
-    links = near.select("structure_id", "i", "j").join(ends[0], ["structure_id", "i"]).join(ends[1], ["structure_id", "j"])
-    links = links.select(F.col("structure_id").alias("mol_id"), F.least("ri", "rj").alias("a"), F.greatest("ri", "rj").alias("b"))
-    named = rows.withColumnRenamed("structure_id", "mol_id")
-    kinds = zmatrix.dihedral_kinds(named, links).groupBy(F.col("mol_id").alias("structure_id")).agg(
-        *[F.count_if(F.col("kind") == k).alias(f"{k}_count") for k in ("proper", "improper", "fallback", "ambiguous")]
-    )
-    checked = zmatrix.problems(named).groupBy(F.col("mol_id").alias("structure_id")).agg(
-        F.count("*").alias("entry_count"), F.max(F.size("warnings")).alias("warning_count"), F.count_if(F.size("errors") > 0).alias("validation_error_count")
+    molecules = bonded.structures(atoms, "atoms", "links", "molecules", unwrapped=True, single_hydrogen=True)
+    done = written(of_interest(molecules), "branches")
+    rows = done.select("structure_id", F.inline("rows")).drop("kind")
+    count = lambda test: F.size(F.filter("rows", test)).cast("long")
+    of_kind = lambda k: lambda r: r["kind"] == k
+    most = F.array_max(F.transform("rows", lambda r: F.size(r["warnings"])))
+    report = done.select(
+        "structure_id", "component", "n_atoms", "formula", "copies", F.size("rows").cast("long").alias("entry_count"), most.alias("warning_count"),
+        count(lambda r: F.size(zmatrix.faults(lambda c: r[c])) > 0).alias("validation_error_count"),
+        *[count(of_kind(k)).alias(f"{k}_count") for k in ("proper", "improper", "fallback", "ambiguous")],
     )
-    counts = [f"{k}_count" for k in ("proper", "improper", "fallback", "ambiguous")]
-    return rows, chosen.join(checked, "structure_id").join(kinds, "structure_id", "left").fillna(0, counts)
+    return rows, report
+
+
+def chosen(molecules: list[dict], atoms: dict[int, list[dict]], links: list[dict]) -> tuple[dict, int] | None:
+    """``chosen_molecules`` of one structure: the molecule and its copies. Only molecules that are as good but for their copies are signed."""
+    rank = lambda m: (lambda c: (c > 0, m["n_atoms"], c))(int((re.search(r"C(\d+)", m["formula"]) or (0, 0))[1]))
+    some = [(rank(m), m) for m in molecules if m["formula"] != b.WATER]
+    if not some:
+        return None
+    top = max(r for r, _ in some)
+    best = sorted((m for r, m in some if r == top), key=lambda m: m["component"])
+    if len(best) == 1:
+        return best[0], 1
+    names: dict[str, list[dict]] = {}
+    for m in best:
+        own = atoms[m["component"]]
+        at = {p["atom_idx"]: k for k, p in enumerate(own)}
+        near = [(at[e["i"]], at[e["j"]]) for e in links if e["i"] in at] if len(own) > 1 else []
+        names.setdefault(b.refined([p["element"] for p in own], near), []).append(m)
+    first = max(names.values(), key=len)  # of equally many the earliest
+    return first[0], len(first)
+
+
+def of_interest(molecules: DataFrame) -> DataFrame:
+    """(structure_id, component, n_atoms, formula, copies, rows) of the chosen molecules: their Z-matrix rows, each with the kind of its dihedral.
+
+    ``molecules`` are structures as one row each, with the fields of
+    ``bonded.structures``; all that concerns one is worked out in its row.
+    """
+    fields = {"component": "int", "n_atoms": "long", "formula": "string", "copies": "long"}
+    row = zmatrix.ROW | {"kind": "string"}
+    kinds = pa.struct([(n, zmatrix.ARROW[k]) for n, k in row.items()])
+
+    def made(record):
+        atoms: dict[int, list[dict]] = {}
+        for p in record["atoms"]:
+            atoms.setdefault(p["component"], []).append(p)
+        found = chosen(record["molecules"], atoms, record["links"])
+        if found is None:
+            return None
+        molecule, copies = found
+        rows = list(zmatrix.lined_up(atoms[molecule["component"]], record["links"]))
+        place = {r[2]: r[1] for r in rows}
+        links = {(place[e[x]], place[e[y]]) for e in record["links"] if e["i"] in place and e["j"] in place for x, y in ("ij", "ji")}
+        named = [dict(zip(zmatrix.ROW, r)) for r in rows]
+        for r in named:
+            r["kind"] = None if r["dihedral_to"] is None else zmatrix.kind_of(r["bond_to"], r["angle_to"], r["dihedral_to"], links)
+        return molecule["component"], molecule["n_atoms"], molecule["formula"], copies, named
+
+    def run(record_batches):
+        for whole in record_batches:
+            for lo, hi in batches.blocks(np.diff(whole.column("atoms").offsets.to_numpy()), zmatrix.STEP):
+                batch = whole.slice(lo, hi - lo)
+                done = [made(r) for r in batch.select(["atoms", "links", "molecules"]).to_pylist()]
+                kept = [x for x in done if x is not None]
+                columns = list(zip(*kept)) or [()] * (len(fields) + 1)
+                arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.list_(kinds)))]
+                ids = batch.column("structure_id").take(pa.array([k for k, x in enumerate(done) if x is not None], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, *arrays], names=["structure_id", *fields, "rows"])
+
+    each = ", ".join(f"{n}: {k}" for n, k in row.items())
+    schema = ", ".join([f"structure_id {dict(molecules.dtypes)['structure_id']}", *[f"{n} {k}" for n, k in fields.items()], f"rows array<struct<{each}>>"])
+    return molecules.select("structure_id", "atoms", "links", "molecules").mapInArrow(run, schema)
 
 
 def open_bonds(points: DataFrame, elements: DataFrame, scale: float = 1.2, keys: list[str] = ["mol_id"]) -> DataFrame:  # noqa: B006
