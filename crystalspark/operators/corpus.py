@@ -25,12 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(structure_id, atom_idx, label, element, fx, fy, fz, sg, cell) of every order line; lines of an order are ordered by all their parts."""
-    li = table(spark, sf_dir, "lineitem")
-    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    parts = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
+    order = W.partitionBy("l_orderkey").orderBy(*parts)
+    # numbered before anything is named or derived: only given columns are shuffled, once for all that is drawn from them, and what follows stays dealt by structure
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", *parts).withColumn("_n", F.row_number().over(order))
     element = F.element_at(F.array(*[F.lit(e) for e in SYMBOL_ELEMENTS]), F.col("l_linenumber"))
     key = F.col("l_orderkey")
     out = li.select(
-        key.alias("structure_id"), (F.row_number().over(order) - 1).cast("int").alias("atom_idx"), element.alias("element"),
+        key.alias("structure_id"), (F.col("_n") - 1).cast("int").alias("atom_idx"), element.alias("element"),
         (F.col("l_quantity") % 50 / 50.0).alias("fx"), (F.col("l_partkey") % 997 / 997.0).alias("fy"), (F.floor("l_extendedprice") % 1009 / 1009.0).alias("fz"),
         (key % 4).cast("int").alias("sg"), (5.0 + key % 7).alias("a"), (6.0 + key % 5).alias("b"), (7.0 + key % 3).alias("c"),
         F.lit(90.0).alias("alpha"), (90.0 + key % 20).alias("beta"), F.lit(90.0).alias("gamma"),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crystalspark.functions import geometry as g
-from crystalspark.operators import bonded, bonds, typing, zmatrix
+from crystalspark.operators import bonded, bonds, corpus, typing, zmatrix
 
 
 @pytest.fixture(scope="module")
@@ -93,3 +93,10 @@ def test_structures_may_be_missing_places_or_all_atoms(spark, atoms):
         same(find(lost).select("structure_id", "i", "j"), expected)
     with pytest.raises(Exception, match="no radius is known for element Qq"):
         bonds.contacts(atoms.withColumn("element", F.lit("Qq"))).collect()
+
+
+def test_the_corpus_is_dealt_once_by_structure(spark, tmp_path):
+    rows = [(i % 9, i // 9 + 1, i, i, float(i), float(i), "x") for i in range(50)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_shipdate string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    grouped = corpus.atoms(spark, str(tmp_path)).groupBy("structure_id").agg(F.collect_list("fx"))
+    assert plan_of(grouped).count("Exchange") == 1 and grouped.count() == 9
