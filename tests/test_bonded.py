@@ -100,3 +100,13 @@ def test_the_corpus_is_dealt_once_by_structure(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_shipdate string").write.parquet(str(tmp_path / "lineitem.parquet"))
     grouped = corpus.atoms(spark, str(tmp_path)).groupBy("structure_id").agg(F.collect_list("fx"))
     assert plan_of(grouped).count("Exchange") == 1 and grouped.count() == 9
+
+
+def test_hydrogens_and_rigid_molecules_need_no_shuffle_of_their_own(spark, tmp_path):
+    from crystalspark.plans import catalog, reports  # noqa: F401
+
+    rows = [(i % 9, i // 9 + 1, i, i, float(i), float(i), "x") for i in range(50)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_shipdate string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    for name, most in (("bond_shortest_per_h", 1), ("rigid_info_deck", 2)):
+        plan = plan_of(catalog.queries()[name](spark, str(tmp_path)))
+        assert plan.count("Exchange") <= most and "Join" not in plan, name
