@@ -46,6 +46,8 @@ LONGS, BUCKETS = 8, 512
 BITS = [f"s{i}" for i in range(LONGS)]
 #: Neighbours a set is compared with before components are followed; the second round looks at all others.
 FIRST = 2
+#: Pairs that a shard holds or hands on in one go.
+PAIRS = 1 << 17
 #: Shingles of the pairs checked in one go, and bytes of sets held meanwhile.
 CELL, HELD = 1 << 21, 64 << 20
 
@@ -121,7 +123,7 @@ def tree_pairs(met: DataFrame, num: int, den: int, one: bool) -> DataFrame:
 
     def flush(t: dict):
         shingle, key, n, near, comp, fp = (t[c] for c in names[:6])
-        bits, found = np.stack([t[s] for s in BITS], axis=1), []
+        bits = np.stack([t[s] for s in BITS], axis=1)
         # sizes of a linked pair lie in one band or in neighbouring ones: group g holds bands g and g + 1
         band = np.floor(np.log(np.maximum(n, 1)) / np.log(den / num) + 1e-9).astype(np.int64)
         of, group = np.tile(np.arange(len(n)), 2), np.concatenate([band, band - 1])
@@ -129,25 +131,44 @@ def tree_pairs(met: DataFrame, num: int, den: int, one: bool) -> DataFrame:
         of, group = of[order], group[order]
         fresh = np.ones(len(of), dtype=bool)
         fresh[1:] = (group[1:] != group[:-1]) | (shingle[of[1:]] != shingle[of[:-1]])
-        forest = BKForest(fp.view(np.uint64)[of], np.cumsum(fresh))
-        for i, j in forest.search(np.where(n < SMALL, 64, RADIUS)[of]):  # the smaller set of a pair comes first
-            first = band[of[i]] == group[i]
-            i, j = of[i[first]], of[j[first]]
-            able = near[i] & (comp[i] != comp[j]) & (n[j] * num <= n[i] * den)
-            a, b = i[able], j[able]
-            apart = np.bitwise_count((bits[a] ^ bits[b]).view(np.uint64)).sum(axis=1, dtype=np.int64)
-            hit = apart * (num + den) <= (den - num) * (n[a] + n[b])
-            a, b = a[hit], b[hit]
-            if one and len(a):
-                away = np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64))
-                side, pair = np.concatenate([comp[a], comp[b]]), np.tile(np.arange(len(a)), 2)
-                best = np.lexsort((away[pair], side, shingle[a[pair]]))
-                side, shard = side[best], shingle[a[pair[best]]]
-                keep = np.unique(pair[best][np.append(True, (side[1:] != side[:-1]) | (shard[1:] != shard[:-1]))])
-                a, b = a[keep], b[keep]
-            if len(a):
-                found.append(pa.RecordBatch.from_arrays([pa.array(np.minimum(key[a], key[b])), pa.array(np.maximum(key[a], key[b])), pa.array(shingle[a]), pa.array(n[a])], names=["a", "b", "cell", "m"]))
-        return found
+
+        def blocks():
+            forest = BKForest(fp.view(np.uint64)[of], np.cumsum(fresh))
+            for i, j in forest.search(np.where(n < SMALL, 64, RADIUS)[of]):  # the smaller set of a pair comes first
+                first = band[of[i]] == group[i]
+                i, j = of[i[first]], of[j[first]]
+                able = near[i] & (comp[i] != comp[j]) & (n[j] * num <= n[i] * den)
+                a, b = i[able], j[able]
+                apart = np.bitwise_count((bits[a] ^ bits[b]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                hit = apart * (num + den) <= (den - num) * (n[a] + n[b])
+                if hit.any():
+                    yield a[hit], b[hit]
+
+        def nearest(a, b):
+            away = np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64))
+            side, pair = np.concatenate([comp[a], comp[b]]), np.tile(np.arange(len(a)), 2)
+            best = np.lexsort((away[pair], side, shingle[a[pair]]))
+            side, shard = side[best], shingle[a[pair[best]]]
+            keep = np.unique(pair[best][np.append(True, (side[1:] != side[:-1]) | (shard[1:] != shard[:-1]))])
+            return a[keep], b[keep]
+
+        def kept():
+            most = PAIRS
+            held, size = [], 0
+            for a, b in blocks():
+                held.append((a, b))
+                size += len(a)
+                if size > most:
+                    held = [nearest(*map(np.concatenate, zip(*held)))]
+                    size = len(held[0][0])
+                    most = PAIRS + 2 * size
+            if held:
+                yield nearest(*map(np.concatenate, zip(*held)))
+
+        for a, b in kept() if one else blocks():
+            for at in range(0, len(a), PAIRS):
+                x, y = a[at : at + PAIRS], b[at : at + PAIRS]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[x], key[y])), pa.array(np.maximum(key[x], key[y])), pa.array(shingle[x]), pa.array(n[x])], names=["a", "b", "cell", "m"])
 
     def run(batches):
         held = None
@@ -209,7 +230,7 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, nu
                             sets_, held = {k: v for k, v in sets_.items() if k in (a, b)}, 0
                         values = shingles(press.decompress(packed[key]), width)
                         sets_[key] = values, np.bincount((values >> np.uint64(32)).astype(np.int64) % BUCKETS, minlength=BUCKETS)
-                        held += values.nbytes
+                        held += sum(x.nbytes for x in sets_[key])
                 (x, xs), (y, ys) = sets_[a], sets_[b]
                 least = num * (len(x) + len(y))
                 if np.minimum(xs, ys).sum() * (num + den) < least:

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from crystalspark.llm.common import delete, materialise, raw
 
-#: Links examined at once in one task.
-BLOCK = 1 << 18
+#: Edges walked at once in one task.
+BLOCK = 1 << 16
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -106,26 +106,36 @@ class BKForest:
     def search(self, radius):
         """Yield blocks (a, b) of indices linked within a's radius (a number, or one an element), a before b in its group."""
         radius = np.broadcast_to(np.asarray(radius, dtype=np.int64), len(self.values))
-        stack = [(q, self.root[q]) for q in np.array_split(np.arange(len(self.values)), max(1, len(self.values) // BLOCK))]
-        while stack:
-            query, node = stack.pop()
-            if len(query) > BLOCK:
-                half = len(query) // 2
-                stack += [(query[:half], node[:half]), (query[half:], node[half:])]
-                continue
-            d = np.bitwise_count(self.values[query] ^ self.values[node]).astype(np.int64)
-            reach = radius[query]
-            hit = (d <= reach) & (query < node)
-            if hit.any():
-                yield query[hit], node[hit]
-            low = np.searchsorted(self.keys, node * 65 + np.maximum(d - reach, 0))
-            high = np.searchsorted(self.keys, node * 65 + np.minimum(d + reach, 64), side="right")
-            count = high - low
-            live = count > 0
-            if live.any():
-                query, low, count = query[live], low[live], count[live]
-                offsets = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                stack.append((np.repeat(query, count), self.children[np.repeat(low, count) + offsets]))
+        n, stack = len(self.values), []
+        for at in range(0, n, BLOCK):
+            query = np.arange(at, min(n, at + BLOCK))
+            todo = query, self.root[query]
+            while todo is not None:
+                query, node = todo
+                d = np.bitwise_count(self.values[query] ^ self.values[node]).astype(np.int64)
+                reach = radius[query]
+                hit = (d <= reach) & (query < node)
+                if hit.any():
+                    yield query[hit], node[hit]
+                low = np.searchsorted(self.keys, node * 65 + np.maximum(d - reach, 0))
+                count = np.searchsorted(self.keys, node * 65 + np.minimum(d + reach, 64), side="right") - low
+                live = np.flatnonzero(count)
+                if len(live):
+                    stack.append((query[live], low[live], count[live]))
+                todo = self._next(stack)
+
+    def _next(self, stack: list):
+        """(query, node) of the next edges, BLOCK at most; edges not walked yet wait as ranges, so a level of a wide tree is never held whole."""
+        if not stack:
+            return None
+        query, low, count = stack.pop()
+        upto = np.cumsum(count)
+        k = max(1, int(np.searchsorted(upto, BLOCK, side="right")))
+        if k < len(query):
+            stack.append((query[k:], low[k:], count[k:]))
+        count, upto = count[:k], upto[:k]
+        offsets = np.arange(upto[-1]) - np.repeat(upto - count, count)
+        return np.repeat(query[:k], count), self.children[np.repeat(low[:k], count) + offsets]
 
 
 def local_components(n: int, blocks) -> np.ndarray:

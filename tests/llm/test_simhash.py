@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import xxhash
@@ -89,3 +90,24 @@ def test_whole_pairs_meet_in_a_shard(spark):
 
     keyed = spark.createDataFrame(rows, "i long, fp long").select("i", "fp", F.explode(F.array(*sh.shard_keys())).alias("k"))
     assert keyed.groupBy("i", "k").agg(F.countDistinct("fp").alias("n")).where("n = 2").select("i").distinct().count() == 300
+
+
+def test_a_wide_tree_is_walked_in_bounded_blocks(monkeypatch):
+    monkeypatch.setattr(sh, "BLOCK", 1 << 10)
+    rng = np.random.default_rng(5)
+    values, asked = rng.integers(0, 1 << 63, 3000, dtype=np.uint64), []
+    forest = sh.BKForest(values, np.zeros(len(values), dtype=np.int64))
+    count = np.bitwise_count
+    monkeypatch.setattr(sh.np, "bitwise_count", lambda x: asked.append(len(x)) or count(x))
+    found = sorted((int(a), int(b)) for block in forest.search(22) for a, b in zip(*block))
+    monkeypatch.undo()
+    near = np.bitwise_count(values[:, None] ^ values[None, :]) <= 22
+    assert found == sorted(zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1)))))
+    assert max(asked) <= 1 << 10
+    tracemalloc.start()
+    forest = sh.BKForest(rng.integers(0, 1 << 63, 6000, dtype=np.uint64), np.zeros(6000, dtype=np.int64))
+    for _ in forest.search(40):
+        pass
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 << 20
