@@ -104,3 +104,18 @@ def test_hot_anchors_are_split(spark, monkeypatch):
     rows += [(300 + i, word(50) + passage[:i * 17] + "#" + passage[i * 17:] + word(90)) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     check(rs.remove_repeats(df).collect(), rows, 400)
+
+
+def test_pieces_of_a_common_line_are_grouped_in_proportion(spark, monkeypatch):
+    """Five times the documents around a common line give about five times the grouped pieces."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
+    line, made, groups = word(260), [], rs._context_groups
+    monkeypatch.setattr(rs, "_context_groups", lambda *a: made.append(groups(*a).count()) or groups(*a))
+    for n in (500, 2500):
+        rows = [(i, word(300) + line + word(300)) for i in range(n)] + [(-1, "x" * 500), (-2, "x" * 450)]
+        made.append(0)
+        found = rs.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+        assert sorted(r.doc_id for r in found if r.n_removed) == [-2, -1]
+    few, many = made[1 : made.index(0, 1)], made[made.index(0, 1) + 1 :]
+    assert 0 < sum(few) and sum(many) <= 6 * sum(few)
