@@ -118,3 +118,13 @@ def test_frames(spark):
     frame = spark.createDataFrame(atoms, "structure_id string, atom_idx int, element string, fx double, fy double, fz double, a double, b double, c double, alpha double, beta double, gamma double")
     one = cells.named_cells(frame).collect()[0]
     assert (one.n_operations, one.n_unique, one.number, one.symbol) == (2, 2, 2, "P -1")
+
+
+def test_a_centring_that_a_rotation_takes_elsewhere_is_no_group():
+    turn = np.array(groups.ABOUT_Z[4])
+    half = [np.zeros(3), np.array([0.5, 0, 0])]
+    assert groups.identify([(np.linalg.matrix_power(turn, k), t) for k in range(4) for t in half]) is None
+    gap = [np.zeros(3), np.array([0.5, 0, 0]), np.array([0, 0.5, 0])]  # the sum of the two is missing
+    assert groups.identify([(np.eye(3, dtype=int), t) for t in gap]) is None
+    both = [np.zeros(3), np.array([0.5, 0.5, 0])]
+    assert groups.identify([(np.linalg.matrix_power(turn, k), t) for k in range(4) for t in both]) == (75, "P 4")
