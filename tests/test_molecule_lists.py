@@ -89,3 +89,13 @@ def test_equal_molecules_are_signed_once():
     bonds.signed.cache_clear()
     names = {bonds.signed(("H", "O", "H"), ((0, 1), (1, 2))) for _ in range(5)}
     assert names == {bonds.refined(["H", "O", "H"], [(0, 1), (1, 2)])} and bonds.signed.cache_info().misses == 1
+
+
+def test_blocks_of_vectors_are_shuffled_once_not_once_a_partner(spark):
+    rows = [(i, 0, [float(i), 1.0]) for i in range(400)]
+    frame = spark.createDataFrame(rows, "vec_id long, label int, v array<double>")
+    found = pdd.largest_differences(frame, "label", part=10)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "vs#" not in plan and "collect_list" not in plan  # what travels for the pairs names the blocks
+    got = {(r.left_id, r.right_id): r.distance for r in found.collect()}
+    assert len(got) == 400 * 399 // 2 and all(d == j - i for (i, j), d in got.items())
